@@ -24,11 +24,11 @@ FROM marked GROUP BY rid, doc_id
 OP6 = r"""
 WITH RECURSIVE tokens AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents
 ), sets AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
-         ELSE list_transform(range(1, len(w) - 2), i -> w[i : i + 3]) END) AS s
+         ELSE list_transform(range(1, len(w) - 2), lambda i: w[i : i + 3]) END) AS s
   FROM tokens
 ), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
 links AS (
@@ -43,4 +43,39 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN found USING (doc_id)
 """
 
-ORACLES = {"op2_line_dedup": OP2, "op6_near_dedup": OP6}
+#: SHA-1 comes from the queries' own digest only in hex here, so base32 is spelled out over its bits.
+OP5 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), first AS (SELECT html, min(page_id) AS owner FROM p GROUP BY html),
+bits AS (
+  SELECT *, list_aggregate(list_transform(range(1, 41), lambda i:
+           lpad(bin(CAST(('0x' || substr(sha1(html), CAST(i AS INT), 1)) AS INT)), 4, '0')), 'string_agg', '') AS b
+  FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+         16 * CAST(substr(b, CAST(5 * j + 1 AS INT), 1) AS INT) + 8 * CAST(substr(b, CAST(5 * j + 2 AS INT), 1) AS INT)
+         + 4 * CAST(substr(b, CAST(5 * j + 3 AS INT), 1) AS INT) + 2 * CAST(substr(b, CAST(5 * j + 4 AS INT), 1) AS INT)
+         + CAST(substr(b, CAST(5 * j + 5 AS INT), 1) AS INT) AS INT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM bits JOIN first USING (html)
+"""
+
+#: What reading back must give: every turn and every assistant text unchanged.
+OP10 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), spelled AS (
+  SELECT *, regexp_replace(replace(text, '\', '\\'), '(<)(/?turn)', '\\\1\2', 'g') AS body FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<turn>') + length(role) + 1 + length(body) + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+FROM spelled GROUP BY conv_id
+"""
+
+ORACLES = {"op5_warc": OP5, "op10_chat": OP10, "op2_line_dedup": OP2, "op6_near_dedup": OP6}
