@@ -306,10 +306,10 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     Figures of responses come from their payloads, those of revisits from their headers.
     """
     register(spark)
-    records = spark.read.format("warc").load(folder)
     kinds = []
     for kind in ("response", "revisit"):
-        part = records.filter(F.col("record_type") == kind)
+        # each kind loads the folder anew: Spark keeps pushed filters with a loaded source
+        part = spark.read.format("warc").load(folder).filter(F.col("record_type") == kind)
         if kind == "response":
             part = _digests("payload", part.select("record_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")).drop("payload")
         else:
