@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import chat, decontaminate, language_id, line_dedup, near_dedup, packing, quality, warc
+from marketloom.llm import ann, chat, decontaminate, language_id, line_dedup, near_dedup, packing, quality, warc
 from marketloom.llm.sampling import fold
 
 
@@ -46,6 +46,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
 
@@ -61,4 +65,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(extra), tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality, op5_warc, op6_near_dedup, op7_packing, op9_decontamination, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality, op4_ann, op5_warc, op6_near_dedup, op7_packing, op9_decontamination, op10_chat)}
