@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import ann, chat, decontaminate, language_id, line_dedup, near_dedup, packing, quality, warc
+from marketloom.llm import ann, chat, decontaminate, language_id, line_dedup, near_dedup, packing, pii, quality, warc
 from marketloom.llm.sampling import fold
 
 
@@ -36,6 +36,11 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(_table(spark, sf_dir, "documents"), key="public test key", found_col="n_entities")
+    return out.select("doc_id", "text", "n_entities")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -65,4 +70,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(extra), tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality, op4_ann, op5_warc, op6_near_dedup, op7_packing, op9_decontamination, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality, op4_ann, op5_warc, op6_near_dedup, op7_packing, op8_pii, op9_decontamination, op10_chat)}
