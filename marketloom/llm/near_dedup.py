@@ -206,6 +206,19 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
+def survivors(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group with all its columns: the smallest id; rows without an id stay.
+
+    Rows that repeat an id are one document: those equal in every column are one row.
+    """
+    found = near_duplicates(documents, id_col, text_col, **options)
+    ids = found.filter("kept").groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__rows")).filter("__id is not null")
+    known = documents.join(ids, F.col(id_col) == F.col("__id"))
+    single = known.filter("__rows = 1").drop("__id", "__rows")
+    repeated = known.filter("__rows > 1").drop("__id", "__rows").distinct()
+    return single.unionByName(repeated).unionByName(documents.filter(F.col(id_col).isNull()))
+
+
 def _linked(members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
     """(node, root) of all linked classes: one compared with its bucket, then what that leaves open."""
     turn = F.struct(F.xxhash64("node").alias("t"), F.col("node").alias("u"))
