@@ -1 +1 @@
-"""..."""
+"""Column functions for time series and closed-form distribution functions."""

@@ -1 +1 @@
-"""..."""
+"""Table operators: reshaping, validation, features, labels, diagnostics, statistics."""

@@ -1 +1 @@
-"""..."""
+"""Incremental scoring of streams."""
