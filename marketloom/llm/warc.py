@@ -146,10 +146,10 @@ class WarcReader(DataSourceReader):
                     break
                 row = {c: headers.get(h.lower()) for c, h in HEADERS.items()}
                 length = int(headers.get("content-length", 0))
+                block_end = stream.tell() + length
                 if not _matches(row, self.filters):
-                    stream.seek(length, io.SEEK_CUR)
+                    stream.seek(block_end + 4)  # past the two line ends that close a record
                     continue
-                block_end = stream.tell() + length
                 row["http_length"], row["payload"] = None, None
                 if "msgtype=response" in (row["content_type"] or "").replace(" ", ""):
                     while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
@@ -158,8 +158,7 @@ class WarcReader(DataSourceReader):
                 if self.with_payload:
                     row["payload"] = stream.read(block_end - stream.tell())
                     held += len(row["payload"])
-                else:
-                    stream.seek(block_end)
+                stream.seek(block_end + 4)
                 rows.append(row)
                 if held > _BATCH_BYTES or len(rows) >= 10_000:
                     yield _batch(rows)
@@ -320,8 +319,8 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     return both.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
-def round_trip(pages: DataFrame, least_bytes: int = 0, **columns) -> DataFrame:
+def round_trip(pages: DataFrame, least_bytes: int = 0, compression: str | None = "gzip", **columns) -> DataFrame:
     """Archive the pages in the shared folder and read the archives back."""
     folder = Scratch(pages.sparkSession, "warc").path("archive")
-    archive_pages(pages, folder, least_bytes=least_bytes, **columns)
+    archive_pages(pages, folder, least_bytes=least_bytes, compression=compression, **columns)
     return read_archive(pages.sparkSession, folder)
