@@ -19,9 +19,11 @@ only the named columns are read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -42,23 +44,51 @@ _PLAIN = np.zeros(256, dtype=bool)  # ASCII that is not white space
 _PLAIN[33:127] = True
 
 
+#: How byte-level BPE of this family cuts text before merging: a fixed value.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_characters() -> dict[str, int]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def _plain_encoder(path: str):
+    """(encode, added strings): the file's merges run by tiktoken, several times faster chunk by chunk."""
+    import tiktoken
+
+    data = json.loads(Path(path).read_text())
+    added = [t["content"] for t in data["added_tokens"]]
+    of = _byte_characters()
+    ranks = {bytes(of[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("chunks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, added
+
+
 class ChunkTokenizer:
-    """Encodes columns of texts, each distinct chunk once."""
+    """Encodes columns of texts with a byte-level BPE file of ``tokenizers``, each distinct chunk once."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain, self.added = _plain_encoder(path)
         self._clear()
 
+    def _encoded(self, chunk: str) -> list[int]:
+        if any(a in chunk for a in self.added):
+            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return self.plain(chunk)
+
     def _clear(self) -> None:
         self.known: dict[int, int] = {}
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
 
     def _remember(self, hashes: list[int], chunks: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        encoded = [self._encoded(c) for c in chunks]
         sizes = np.array([len(x) for x in encoded], dtype=np.int64)
         new = np.fromiter((i for x in encoded for i in x), dtype=np.uint32, count=int(sizes.sum()))
         first = len(self.known)
