@@ -79,8 +79,8 @@ def class_scores(df: DataFrame, columns: list[str], label: str, majority: int =
     long = unpivot(df.filter(F.col(label).isNotNull()), columns, [label]).withColumnRenamed(label, "y")
     stats = long.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
     over = Window.partitionBy("feature")
-    stats = stats.withColumns({"N": F.sum("n").over(over), "inv": F.sum(1 / F.col("n")).over(over)})
-    stats = stats.withColumn("grand", F.sum(F.col("n") * F.col("m")).over(over) / F.col("N"))
+    stats = stats.withColumns({"all_n": F.sum("n").over(over), "inv": F.sum(1 / F.col("n")).over(over)})
+    stats = stats.withColumn("grand", F.sum(F.col("n") * F.col("m")).over(over) / F.col("all_n"))
     dev = F.pow(F.col("m") - F.col("grand"), 2)
     ratio = stats.groupBy("feature").agg(S.ratio(F.sum(dev / F.col("inv")), F.sum(F.col("n") * (F.col("v") + dev))).alias("balanced_ratio"))
     major = F.col("y") == majority

@@ -94,7 +94,7 @@ def t_test(df: DataFrame, x: str, flag: Column) -> DataFrame:
     free = a.n + b.n - 2
     pooled = ((a.n - 1) * a.v + (b.n - 1) * b.v) / free
     t = (a.m - b.m) / math.sqrt(pooled * (1 / a.n + 1 / b.n))
-    return _one_row(df, t=t, df=int(free), p=D.t_sf2(t, free))
+    return _one_row(df, t=t, dof=int(free), p=D.t_sf2(t, free))
 
 
 def mann_whitney(df: DataFrame, x: str, flag: Column) -> DataFrame:

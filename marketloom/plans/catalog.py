@@ -612,7 +612,7 @@ def class_scores(spark, sf_dir):
     return feature_quality.tiers(feature_quality.class_scores(full, ["imbalance", "sigma"], "y")).drop("tier", "extreme_specialist")
 
 
-@register("outliers", "SELECT 'r' AS feature, low, high, count(*) FILTER (WHERE r < low) AS n_low, count(*) FILTER (WHERE r > high) AS n_high, 100.0 * count(*) FILTER (WHERE r < low OR r > high) / count(*) AS pct, min(r) AS min, max(r) AS max FROM rets, (SELECT quantile_cont(r, 0.25) - 1.5 * (quantile_cont(r, 0.75) - quantile_cont(r, 0.25)) AS low, quantile_cont(r, 0.75) + 1.5 * (quantile_cont(r, 0.75) - quantile_cont(r, 0.25)) AS high FROM rets) GROUP BY low, high", "feature n_low n_high", "low high pct min max", _RET)
+@register("outliers", "SELECT 'r' AS feature, b.lo AS low, b.hi AS high, count(*) FILTER (WHERE r < b.lo) AS n_low, count(*) FILTER (WHERE r > b.hi) AS n_high, 100.0 * count(*) FILTER (WHERE r < b.lo OR r > b.hi) / count(*) AS pct, min(r) AS min, max(r) AS max FROM rets, (SELECT quantile_cont(r, 0.25) - 1.5 * (quantile_cont(r, 0.75) - quantile_cont(r, 0.25)) AS lo, quantile_cont(r, 0.75) + 1.5 * (quantile_cont(r, 0.75) - quantile_cont(r, 0.25)) AS hi FROM rets) b GROUP BY b.lo, b.hi", "feature n_low n_high", "low high pct min max", _RET)
 def outliers(spark, sf_dir):
     return feature_quality.outliers(_returns(spark, sf_dir), ["r"])
 
@@ -654,7 +654,7 @@ def autocorrelation(spark, sf_dir):
     return statistics.autocorrelation(_returns(spark, sf_dir), "r", "open_time", (1, 5, 10))
 
 
-@register("t_test", "SELECT (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0 / n1 + 1.0 / n0)) AS t, n1 + n0 - 2 AS df FROM (SELECT avg(r) FILTER (WHERE w) AS m1, avg(r) FILTER (WHERE NOT w) AS m0, var_samp(r) FILTER (WHERE w) AS v1, var_samp(r) FILTER (WHERE NOT w) AS v0, count(*) FILTER (WHERE w) AS n1, count(*) FILTER (WHERE NOT w) AS n0 FROM (SELECT r, isodow(make_timestamp(open_time * 1000)) > 5 AS w FROM rets))", "df", "t", _RET)
+@register("t_test", "SELECT (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0 / n1 + 1.0 / n0)) AS t, n1 + n0 - 2 AS dof FROM (SELECT avg(r) FILTER (WHERE w) AS m1, avg(r) FILTER (WHERE NOT w) AS m0, var_samp(r) FILTER (WHERE w) AS v1, var_samp(r) FILTER (WHERE NOT w) AS v0, count(*) FILTER (WHERE w) AS n1, count(*) FILTER (WHERE NOT w) AS n0 FROM (SELECT r, isodow(make_timestamp(open_time * 1000)) > 5 AS w FROM rets))", "dof", "t", _RET)
 def t_test(spark, sf_dir):
     return statistics.t_test(_returns(spark, sf_dir), "r", F.weekday(F.timestamp_millis("open_time")).isin(5, 6)).drop("p")
 
@@ -738,7 +738,7 @@ _PIN = " + ".join(f"greatest({q} * (y - z{i}), ({q} - 1) * (y - z{i}))" for i, q
 _LOGP = "(CASE y % 4 WHEN 0 THEN z1 WHEN 1 THEN z2 WHEN 2 THEN z3 ELSE z4 END - greatest(z1, z2, z3, z4) - ln(exp(z1 - greatest(z1, z2, z3, z4)) + exp(z2 - greatest(z1, z2, z3, z4)) + exp(z3 - greatest(z1, z2, z3, z4)) + exp(z4 - greatest(z1, z2, z3, z4))))"
 
 
-@register("losses", f"SELECT avg(({_BCE}) / 4) AS ordinal, avg(-(1 - exp({_LOGP})) ** 2 * {_LOGP}) AS focal, avg(({_PIN}) / 4) AS quantile, avg(((z1 > 0)::INT + (z2 > 0)::INT + (z3 > 0)::INT + (z4 > 0)::INT = y)::INT) AS accuracy FROM (SELECT {_Z4}, label % 5 AS y FROM embeddings)", "", "ordinal focal quantile accuracy")
+@register("losses", f"SELECT avg(({_BCE}) / 4) AS ordinal, avg(-1 * pow(1 - exp({_LOGP}), 2) * {_LOGP}) AS focal, avg(({_PIN}) / 4) AS quantile, avg(((z1 > 0)::INT + (z2 > 0)::INT + (z3 > 0)::INT + (z4 > 0)::INT = y)::INT) AS accuracy FROM (SELECT {_Z4}, label % 5 AS y FROM embeddings)", "", "ordinal focal quantile accuracy")
 def loss_values(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     e = e.select(F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("z"), F.pmod("label", F.lit(5)).alias("y"), F.pmod(F.pmod("label", F.lit(5)), F.lit(4)).cast("int").alias("y4"))
