@@ -9,7 +9,8 @@ digits, separators stay; names keep the gender of their title and their script.
 
 Collision checks: a surrogate that another entity of its type has drawn too, or that is
 a real entity of the corpus, is drawn again with the next attempt number until none is
-left, so distinct entities stay distinct.
+left, so distinct entities stay distinct.  After ``PLAIN_ATTEMPTS`` attempts a format is
+taken to be nearly used up, and its surrogates get a drawn tail, so the rounds end.
 
 Rows without entities are passed on as they are, without a shuffle; those with entities
 are joined with the replacements of their own entities.
@@ -39,6 +40,8 @@ GIVEN = {
 SYLLABLES = {"latin": ("ba", "del", "kor", "lin", "mar", "nov", "per", "ros", "sen", "tal", "ver", "zan", "hal", "gro", "fen", "dor"), "cyrillic": ("бел", "вор", "гор", "дан", "кор", "лен", "мар", "нов", "пет", "сер", "тол", "чер")}
 LETTERS = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "accent": "áàâäãéèêëíìîïñóòôöõúùûüç", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
+PLAIN_ATTEMPTS = 6  # rounds of drawing in which a surrogate has the length of its entity
+
 _PARTS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*(?<=\.\p{L}{2,24})",
     "secret": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|(?=[0-9]{0,63}[A-Fa-f])(?=[A-Fa-f]{0,63}[0-9])[0-9A-Fa-f]{32,64})(?![0-9A-Za-z])",
@@ -102,14 +105,16 @@ def _mapped(value: Column, draw: Column, fixed: int = 0, hexadecimal: bool = Fal
 def surrogate(of: Column, value: Column, key: Column, attempt: Column) -> Column:
     """The canonical surrogate of a canonical entity."""
     draw = F.sha2(F.concat_ws("|", key, of, value, attempt.cast("string")), 256)
+    tail = lambda choices, n=8: F.when(attempt >= PLAIN_ATTEMPTS, F.concat(*[_pick(choices, draw, f"t{i}") for i in range(n)])).otherwise("")
+    digits = tail("0123456789")
     octets = [(F.pmod(F.xxhash64(draw, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)]
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     last = F.substring_index(domain, ".", -1)
     host = domain.substr(F.lit(1), F.length(domain) - F.length(last) - 1)
-    email = F.concat(_mapped(local, draw), F.lit("@"), _mapped(host, F.concat(draw, F.lit("d"))), F.lit("."), last)
+    email = F.concat(_mapped(local, draw), tail(LETTERS["lower"]), F.lit("@"), _mapped(host, F.concat(draw, F.lit("d"))), F.lit("."), last)
     name = None
     for (g, script), given in GIVEN.items():
-        parts = [_pick(SYLLABLES[script], draw, f"s{i}") for i in range(4)]
+        parts = [_pick(SYLLABLES[script], draw, f"s{i}") for i in range(4)] + [tail(SYLLABLES[script], 6)]
         full = F.concat(_pick(given, draw, "g"), F.lit(" "), F.initcap(F.concat(*parts)))
         single = F.initcap(F.concat(*parts))
         body = F.concat(F.lit(f"{g}:"), F.when(value.contains(" "), full).otherwise(single))
@@ -117,16 +122,18 @@ def surrogate(of: Column, value: Column, key: Column, attempt: Column) -> Column
         name = F.when(test, body) if name is None else name.when(test, body)
     prefix = F.when(value.rlike("^(akia|ghp_)"), 4).when(value.rlike("^sk-"), 3).otherwise(0)
     plain = F.when(prefix > 0, F.concat(F.substring(value, 1, 4), _mapped(value.substr(F.lit(5), F.length(value)), draw))).otherwise(_mapped(value, draw, hexadecimal=True))
+    plain = F.concat(plain, tail("0123456789abcdef"))
     return (F.when(of == "email", email).when(of == "ip", F.concat_ws(".", *octets)).when(of == "secret", plain)
-            .when(of == "name", name).when(of == "iban", _mapped(value, draw, fixed=2)).otherwise(_mapped(value, draw, fixed=1)))
+            .when(of == "name", name).when(of == "iban", F.concat(_mapped(value, draw, fixed=2), digits)).otherwise(F.concat(_mapped(value, draw, fixed=1), digits)))
 
 
 def rendered(entity: Column, of: Column, made: Column) -> Column:
     """A canonical surrogate in the format of one mention."""
     spread = lambda pattern: F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike(pattern), made.substr(F.length(F.regexp_replace(entity.substr(F.lit(1), i + 1), f"(?!{pattern}).", "")), F.lit(1))).otherwise(c)), "")
+    rest = lambda pattern: made.substr(F.length(F.regexp_replace(entity, f"(?!{pattern}).", "")) + 1, F.length(made))
     title = F.regexp_extract(entity, r"^(\p{L}+\.? )", 1)
     shout = (entity == F.upper(entity)) & (entity != F.lower(entity))
-    return (F.when(of.isin("phone", "card", "ssn"), spread("[0-9]")).when(of == "iban", spread("[0-9A-Z]"))
+    return (F.when(of.isin("phone", "card", "ssn"), F.concat(spread("[0-9]"), rest("[0-9]"))).when(of == "iban", F.concat(spread("[0-9A-Z]"), rest("[0-9A-Z]")))
             .when(of == "name", F.concat(title, F.substring(made, 3, 1000))).when(shout, F.upper(made)).otherwise(made))
 
 
