@@ -6,13 +6,14 @@ codes of their directions.
 
 Graph: random hyperplanes deal classes into blocks of bounded size, whose best pairs
 start the lists.  NN-descent then joins every class's list and a sample of the lists it
-is in (each with ``degree`` entries on average, drawn anew each round) with the codes;
-neighbours of a common class are compared in tasks, and pairs better than a list's worst
-entry are merged into it.
+is in (``degree`` fresh and ``degree`` older entries on average, drawn anew each round)
+with the codes; neighbours of a common class are compared in tasks where one of the two
+entries is fresh, that is of the round before, and pairs better than a list's worst entry
+are merged into it.  Rounds end when at most the share ``delta`` of all entries is fresh.
 
 Search: a query starts at its own lists and keeps the ``beam`` best classes seen.  Each
 hop joins the ``expand`` best ones not yet expanded with the graph and scores their
-neighbours.  The best ``rescore`` classes are scored on the original vectors in double
+neighbours, until no class of its beam is left to expand.  The best ``rescore`` classes are scored on the original vectors in double
 precision, and the classes' members are ranked by (score, smaller id).
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite parts
@@ -23,6 +24,7 @@ count once; with fewer than ``k`` candidates all are returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.scratch import Scratch
 
 BLOCK = 400
-DEGREE = 24
+DEGREE = 40
 
 
 def directions(vectors: np.ndarray) -> np.ndarray:
@@ -46,6 +48,12 @@ def _unit(codes: np.ndarray) -> np.ndarray:
     return wide / np.maximum(np.linalg.norm(wide, axis=1, keepdims=True), 1e-9)
 
 
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of codes; the products are whole numbers, so a pair scores the same in any block (up to 1040 parts)."""
+    a, b = a.astype(np.float32), b.astype(np.float32)
+    return (a @ b.T) / np.outer(np.maximum(np.linalg.norm(a, axis=1), 1), np.maximum(np.linalg.norm(b, axis=1), 1))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Codes of equal length as rows."""
     if not len(column):
@@ -95,7 +103,7 @@ def _best(scores: np.ndarray, most: int) -> np.ndarray:
     return np.argpartition(-scores, most - 1, axis=1)[:, :most]
 
 
-_FOUND = "node long, other long, score float"
+_FOUND = "node long, other long, score float, fresh boolean"
 
 
 def _start(coded: DataFrame, degree: int) -> DataFrame:
@@ -105,14 +113,14 @@ def _start(coded: DataFrame, degree: int) -> DataFrame:
     dealt = leaf.join(parts, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), "parts")).drop("parts")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        node, unit = table.column("node").to_numpy(), _unit(_matrix(table.column("code").combine_chunks()))
-        score = unit @ unit.T
+        node, code = table.column("node").to_numpy(), _matrix(table.column("code").combine_chunks())
+        score = _cosines(code, code)
         np.fill_diagonal(score, -2)
         at = _best(score, min(degree, max(1, len(node) - 1)))
         row = np.repeat(np.arange(len(node)), at.shape[1])
         col = at.ravel()
         ok = row != col
-        return pa.table({"node": node[row[ok]], "other": node[col[ok]], "score": score[row[ok], col[ok]].astype(np.float32)})
+        return pa.table({"node": node[row[ok]], "other": node[col[ok]], "score": score[row[ok], col[ok]].astype(np.float32), "fresh": np.ones(int(ok.sum()), bool)})
 
     return dealt.groupBy("tree", "leaf", "part").applyInArrow(run, _FOUND)
 
@@ -151,60 +159,73 @@ def _kept(found: DataFrame, degree: int) -> DataFrame:
         for table in _whole_groups(batches):
             if not table.num_rows:
                 continue
-            node, other, score = (table.column(c).to_numpy() for c in ("node", "other", "score"))
-            order = np.lexsort((other, -score, node))
-            node, other, score = node[order], other[order], score[order]
-            same = np.zeros(len(node), dtype=bool)  # equal entries of a list have equal scores, so they are neighbours here
-            same[1:] = (node[1:] == node[:-1]) & (other[1:] == other[:-1])
-            node, other, score = node[~same], other[~same], score[~same]
+            node, other, score, fresh = (table.column(c).to_numpy() for c in ("node", "other", "score", "fresh"))
+            order = np.lexsort((fresh, other, node))  # of equal entries, the one that the list had already
+            same = np.zeros(len(node), dtype=bool)
+            same[1:] = (np.diff(node[order]) == 0) & (np.diff(other[order]) == 0)
+            order = order[~same]
+            order = order[np.lexsort((other[order], -score[order], node[order]))]
+            node, other, score, fresh = node[order], other[order], score[order], fresh[order]
             cut = _runs(node)
             rank = np.arange(len(node)) - np.repeat(cut[:-1], np.diff(cut))
             ok = rank < degree
             size = np.minimum(np.diff(cut), degree)
             worst = np.where(size == degree, score[cut[:-1] + size - 1], np.float32(-2))
-            yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array(other[ok]), pa.array(score[ok]), pa.array(np.repeat(worst, size).astype(np.float32))], names=["node", "other", "score", "worst"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array(other[ok]), pa.array(score[ok]), pa.array(fresh[ok]), pa.array(np.repeat(worst, size).astype(np.float32))], names=["node", "other", "score", "fresh", "worst"])
 
     return found.repartition("node").sortWithinPartitions("node").mapInArrow(run, f"{_FOUND}, worst float")
 
 
 def _both_ways(graph: DataFrame, degree: int, round_no: int) -> DataFrame:
-    """(center, node): the entries of each list and a sample, ``degree`` on average, of the lists a class is in."""
-    back = graph.groupBy(F.col("other").alias("o")).agg(F.count(F.lit(1)).alias("lists"))
+    """(center, node, fresh): the entries of each list and a sample, ``degree`` fresh and ``degree`` older ones on average, of the lists a class is in."""
+    back = graph.groupBy(F.col("other").alias("o"), F.col("fresh").alias("f")).agg(F.count(F.lit(1)).alias("lists"))
     draw = F.shiftrightunsigned(F.xxhash64("node", "other", F.lit(round_no)), 34).cast("double") / float(1 << 30)
-    sampled = graph.join(back, F.col("other") == F.col("o")).filter(draw * F.col("lists") < degree)
-    return graph.select(F.col("node").alias("center"), F.col("other").alias("node")).union(sampled.select("other", "node")).distinct()
+    sampled = graph.join(back, (F.col("other") == F.col("o")) & (F.col("fresh") == F.col("f"))).filter(draw * F.col("lists") < degree)
+    both = graph.select(F.col("node").alias("center"), F.col("other").alias("node"), "fresh").union(sampled.select("other", "node", "fresh"))
+    return both.groupBy("center", "node").agg(F.max("fresh").alias("fresh"))
 
 
 def _round(graph: DataFrame, coded: DataFrame, degree: int, round_no: int) -> DataFrame:
-    """Better entries from comparing the neighbours of each class with each other."""
+    """Better entries from comparing the neighbours of each class with each other, where one of the two is fresh."""
     worst = graph.select("node", "worst").distinct()
-    around = _both_ways(graph, degree, round_no).join(coded.select("node", "code"), "node").join(worst, "node").select("center", "node", "worst", "code")
+    around = _both_ways(graph, degree, round_no).join(coded.select("node", "code"), "node").join(worst, "node").select("center", "node", "worst", "fresh", "code")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
             if not table.num_rows:
                 continue
-            node, worst = (table.column(c).to_numpy() for c in ("node", "worst"))
-            unit = _unit(_matrix(table.column("code").combine_chunks()))
+            node, worst, fresh = (table.column(c).to_numpy() for c in ("node", "worst", "fresh"))
+            codes = _matrix(table.column("code").combine_chunks())
             cut, out = _runs(table.column("center").to_numpy()), []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                score = unit[a:b] @ unit[a:b].T
-                np.fill_diagonal(score, -2)
-                i, j = np.nonzero(score > worst[a:b, None])
-                out.append((node[a + i], node[a + j], score[i, j]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out])) for c in range(3)], names=["node", "other", "score"])
+                new = np.flatnonzero(fresh[a:b])
+                if not len(new):
+                    continue
+                score = _cosines(codes[a + new], codes[a:b])
+                score[np.arange(len(new)), new] = -2
+                i, j = np.nonzero(score > worst[a + new, None])
+                out.append((node[a + new[i]], node[a + j], score[i, j]))
+                score[:, new] = -2  # both fresh: done above in both directions
+                i, j = np.nonzero(score > worst[None, a:b])
+                out.append((node[a + j], node[a + new[i]], score[i, j]))
+            if out:
+                found = [np.concatenate([x[c] for x in out]) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(np.ones(len(found[0]), bool))], names=["node", "other", "score", "fresh"])
 
     return around.repartition("center").sortWithinPartitions("center").mapInArrow(run, _FOUND)
 
 
-def build_graph(coded: DataFrame, scratch: Scratch, degree: int, rounds: int) -> DataFrame:
-    """(node, other, score, worst): the neighbour lists after ``rounds`` rounds of NN-descent."""
-    graph = scratch.save(_kept(_start(coded, degree), degree), "graph-0")
-    for r in range(1, rounds + 1):
-        found = graph.select("node", "other", "score").union(_round(graph, coded, degree, r))
-        graph = scratch.save(_kept(found, degree), f"graph-{r}")
+def build_graph(coded: DataFrame, scratch: Scratch, degree: int, delta: float) -> DataFrame:
+    """(node, other, score, fresh, worst): the neighbour lists, after rounds of NN-descent until at most the share ``delta`` of them is fresh."""
+    graph, r = scratch.save(_kept(_start(coded, degree), degree), "graph-0"), 0
+    while True:
+        entries, fresh = graph.agg(F.count(F.lit(1)), F.count(F.when(F.col("fresh"), 1))).first()
+        if fresh <= delta * entries:
+            return graph
+        r += 1
+        old = graph.select("node", "other", "score", F.lit(False).alias("fresh"))
+        graph = scratch.save(_kept(old.union(_round(graph, coded, degree, r)), degree), f"graph-{r}")
         scratch.drop(f"graph-{r - 1}")
-    return graph
 
 
 _BEAM = "query long, code binary, nodes array<long>, scores array<float>, expanded array<boolean>"
@@ -212,7 +233,7 @@ _BEAM = "query long, code binary, nodes array<long>, scores array<float>, expand
 
 def _packed(graph: DataFrame, coded: DataFrame, degree: int) -> DataFrame:
     """(center, nodes, codes): the neighbours of each class with their codes, packed in one row."""
-    near = _both_ways(graph, degree, 0).join(coded.select("node", "code"), "node").select("center", "node", "code")
+    near = _both_ways(graph.withColumn("fresh", F.lit(False)), degree, 0).join(coded.select("node", "code"), "node").select("center", "node", "code")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
@@ -226,8 +247,8 @@ def _packed(graph: DataFrame, coded: DataFrame, degree: int) -> DataFrame:
     return near.repartition("center").sortWithinPartitions("center").mapInArrow(run, "center long, nodes array<long>, codes binary")
 
 
-def search(queries: DataFrame, graph: DataFrame, coded: DataFrame, scratch: Scratch, degree: int, beam: int, expand: int, hops: int) -> DataFrame:
-    """(query, nodes, scores): the best classes that a greedy search from each query class meets."""
+def search(queries: DataFrame, graph: DataFrame, coded: DataFrame, scratch: Scratch, degree: int, beam: int, expand: int) -> DataFrame:
+    """(query, nodes, scores): the best classes that a greedy search from each query class meets before its beam is expanded."""
     packed = scratch.save(_packed(graph, coded, degree), "packed")
     state = queries.join(coded.select(F.col("node").alias("query"), "code"), "query").select(
         "query", "code", F.array("query").alias("nodes"), F.array(F.lit(1.0).cast("float")).alias("scores"), F.array(F.lit(False)).alias("expanded"))
@@ -248,8 +269,8 @@ def search(queries: DataFrame, graph: DataFrame, coded: DataFrame, scratch: Scra
         for batch in batches:
             query, found, value = [], [], []
             for q, code, least, nodes, codes in zip(*(batch.column(i) for i in range(5)), strict=True):
-                mine = _unit(np.frombuffer(code.as_buffer(), np.int8)[None])
-                s = _unit(np.frombuffer(codes.as_buffer(), np.int8).reshape(-1, mine.shape[1])) @ mine[0]
+                mine = np.frombuffer(code.as_buffer(), np.int8)[None]
+                s = _cosines(np.frombuffer(codes.as_buffer(), np.int8).reshape(-1, mine.shape[1]), mine)[:, 0]
                 ok = s > least.as_py()
                 query.append(q.as_py())
                 found.append(nodes.values.to_numpy()[ok])
@@ -271,14 +292,19 @@ def search(queries: DataFrame, graph: DataFrame, coded: DataFrame, scratch: Scra
         out = {"query": [row["query"]], "code": [row["code"]], "nodes": [nodes.tolist()], "scores": [scores.tolist()], "expanded": [[n in done for n in nodes.tolist()]]}
         return pa.table(out, schema=old.schema)
 
-    for hop in range(1, hops + 1):
+    ended, hop = [], 0
+    left = F.exists("expanded", lambda x: ~x)
+    while not state.isEmpty():
+        hop += 1
         asked = state.mapInArrow(frontier, "center long, query long, code binary, least float")
         met = asked.join(packed, "center").select("query", "code", "least", "nodes", "codes").mapInArrow(score, "query long, found array<long>, value array<float>")
-        state = scratch.save(state.groupBy("query").cogroup(met.groupBy("query")).applyInArrow(advance, _BEAM), f"beam-{hop}")
-    return state.select("query", "nodes", "scores")
+        moved = scratch.save(state.groupBy("query").cogroup(met.groupBy("query")).applyInArrow(advance, _BEAM), f"beam-{hop}")
+        ended.append(moved.filter(~left))
+        state = moved.filter(left)
+    return reduce(DataFrame.union, ended, state).select("query", "nodes", "scores")
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, degree: int = DEGREE, rounds: int = 4, beam: int = 240, expand: int = 60, hops: int = 4, rescore: int = 30, trees: int = 3, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, degree: int = DEGREE, delta: float = 0.02, beam: int = 400, expand: int = 200, rescore: int = 30, trees: int = 3, seed: int = 11) -> DataFrame:
     """query_id, rank, id and score of the ``k`` nearest rows of each query row."""
     scratch = Scratch(vectors.sparkSession, "ann")
     rows = vectors.filter(usable(vector_col) & F.col(id_col).isNotNull())
@@ -288,10 +314,10 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     count = nodes.count()
     planes = max(0, int(np.ceil(np.log2(max(1, count / BLOCK)))))
     coded = scratch.save(_coded(nodes, planes, trees, seed), "coded")
-    graph = build_graph(coded, scratch, degree, rounds)
+    graph = build_graph(coded, scratch, degree, delta)
     by_vector = rows.join(asked, F.col("id") == F.col("query_id"), "left_semi").groupBy("id").agg(F.min("vector").alias("vector"))
     of_query = scratch.save(by_vector.join(nodes.select("node", "vector"), "vector").select(F.col("id").alias("query_id"), F.col("node").alias("query")), "asked")
-    found = search(of_query.select("query").distinct(), graph, coded, scratch, degree, beam, expand, hops)
+    found = search(of_query.select("query").distinct(), graph, coded, scratch, degree, beam, expand)
     near = found.select("query", F.explode(F.slice("nodes", 1, rescore)).alias("node"))
     side = lambda n, v: nodes.select(F.col("node").alias(n), F.col("vector").alias(v))
     exact = near.join(nodes, "node").join(side("query", "qv"), "query")

@@ -45,6 +45,19 @@ def test_nearest(spark):
     assert few.count() == 6
 
 
+def test_nearest_goes_on_until_done(spark):
+    """A narrow beam on vectors without clusters: the search lasts until the beam is expanded, not for a fixed number of hops."""
+    data = np.random.default_rng(5).normal(size=(2500, 64))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(frame, F.col("vec_id") % 50 == 0, k=5, degree=10, beam=40, expand=5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    best = {q: set(np.argsort(-(unit @ unit[q]))[1:6].tolist()) for q in range(0, 2500, 50)}
+    recall = sum(len(got[q] & best[q]) for q in best) / (5 * len(best))
+    assert recall >= 0.77, recall
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, record_type string")
 
