@@ -7,6 +7,12 @@ in whatever letter case or digit grouping, stay one entity.  A surrogate keeps t
 type and the format: letters stay letters of their case and script, digits stay
 digits, separators stay; names keep the gender of their title and their script.
 
+Names: a title, further neutral titles, and any number of name words with inner capitals,
+apostrophes, hyphens, initials and particles.  Within a document a titled surname is the
+one full name with it of a fitting gender, and its untitled later mentions (the full name,
+the surname) are replaced too; a surname of several persons without a title is the first
+one's.  Given names alone, and surnames of one letter, stay in clear without a title.
+
 Collision checks: a surrogate that another entity of its type has drawn too, or that is
 a real entity of the corpus, is drawn again with the next attempt number until none is
 left, so distinct entities stay distinct.  After ``PLAIN_ATTEMPTS`` attempts a format is
@@ -28,12 +34,15 @@ from marketloom.llm.scratch import Scratch
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: Titles by gender: fixed words of the supported languages.
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Госпожа")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Госпожа", "Dra", "Doctora", "Professorin")
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин")
+NEUTRAL = ("Dr", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "Professeur", "Mx", "Доктор", "Профессор")
 #: Given names by gender and script, and syllables of surnames: fixed words.
 GIVEN = {
     ("f", "latin"): ("Anna", "Clara", "Elena", "Greta", "Irene", "Julia", "Laura", "Maria", "Nora", "Paula", "Rosa", "Sofia"),
     ("m", "latin"): ("Adrian", "Bruno", "Daniel", "Emil", "Felix", "Hugo", "Ivan", "Leo", "Martin", "Oscar", "Pablo", "Simon"),
+    ("n", "latin"): ("Alex", "Kim", "Robin", "Sascha", "Noa", "Mika", "Jona", "Charlie"),
+    ("n", "cyrillic"): ("Саша", "Женя", "Валя", "Слава", "Паша", "Шура"),
     ("f", "cyrillic"): ("Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "София"),
     ("m", "cyrillic"): ("Антон", "Борис", "Иван", "Лев", "Марк", "Олег", "Павел", "Фёдор"),
 }
@@ -42,6 +51,13 @@ LETTERS = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRST
 
 PLAIN_ATTEMPTS = 6  # rounds of drawing in which a surrogate has the length of its entity
 
+_GAP, _END = r"[  ]+", r"(?:\.[  ]*|[  ]+)"
+_PARTICLES = rf"(?:(?:von|van|vom|der|den|de|del|della|di|da|do|dos|das|du|la|le|los|las|y|zu|zum|zur|ten|ter|bin|ibn|al|el|af|av|фон|де|ван){_GAP})*+"
+_WORD = r"(?:(?:[dlDL]['’]|al-|el-)?\p{Lu}[\p{L}\p{M}]*+(?:['’\-‐‑](?!s(?![\p{L}\p{M}]))[\p{L}\p{M}]++)*+)"
+#: A name word, or initials before another one
+_TOKEN = rf"(?:(?:\p{{Lu}}\.-?)++(?=[  ]?{_PARTICLES}\p{{Lu}})|{_WORD})"
+_TITLES = "(?:" + "|".join(FEMALE + MALE + NEUTRAL) + rf"){_END}(?:(?:" + "|".join(NEUTRAL) + rf"){_END})*+"
+
 _PARTS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*(?<=\.\p{L}{2,24})",
     "secret": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|(?=[0-9]{0,63}[A-Fa-f])(?=[A-Fa-f]{0,63}[0-9])[0-9A-Fa-f]{32,64})(?![0-9A-Za-z])",
@@ -50,7 +66,7 @@ _PARTS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "name": r"(?<!\p{L})(?:" + "|".join(FEMALE + MALE) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?!\p{L})",
+    "name": rf"(?<!\p{{L}}){_TITLES}{_PARTICLES}{_TOKEN}(?:(?:{_GAP}{_PARTICLES}|(?<=[.-])){_TOKEN})*+(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in _PARTS.values())
 
@@ -58,7 +74,7 @@ PATTERN = "|".join(f"(?:{p})" for p in _PARTS.values())
 def may_hold(text: Column) -> Column:
     """False only for texts without any entity: each has a digit, an @, a title or a key's prefix."""
     out = text.rlike("[0-9@]")
-    for word in ("AKIA", "ghp_", "sk-", *(f"{t}{end}" for t in FEMALE + MALE for end in (" ", ". "))):
+    for word in ("AKIA", "ghp_", "sk-", *(f"{t}{end}" for t in FEMALE + MALE + NEUTRAL for end in (" ", ".", "\u00a0"))):
         out = out | text.contains(word)
     return out
 
@@ -73,13 +89,29 @@ def kind(entity: Column) -> Column:
 
 
 def gender(entity: Column) -> Column:
-    return F.when(entity.rlike("^(?:" + "|".join(FEMALE) + r")\.? "), "f").otherwise("m")
+    starts = lambda titles: entity.rlike("^(?:" + "|".join(titles) + f"){_END}")
+    return F.when(starts(FEMALE), "f").when(starts(MALE), "m").otherwise("n")
+
+
+def body(entity: Column) -> Column:
+    """A name without its titles, with plain spaces."""
+    return F.regexp_replace(F.regexp_replace(entity, f"^{_TITLES}", ""), _GAP, " ")
+
+
+def surname(body: Column) -> Column:
+    """The last word, before a suffix."""
+    return F.regexp_extract(F.regexp_replace(body, r" (?:Jr|Sr|II|III|IV)$", ""), r"([^ .]+)$", 1)
+
+
+def alone(body: Column) -> Column:
+    """Whether a name is a surname without given names."""
+    return ~F.regexp_replace(body, f"^{_PARTICLES}", "").rlike("[ .]")
 
 
 def canonical(entity: Column, of: Column) -> Column:
     """What all mentions of one entity share."""
     digits = F.regexp_replace(entity, "[^0-9]", "")
-    name = F.concat(gender(entity), F.lit(":"), F.regexp_replace(entity, r"^\p{L}+\.? ", ""))
+    name = F.concat(gender(entity), F.lit(":"), body(entity))
     return F.when(of.isin("phone", "card", "ssn"), digits).when(of == "name", name).when(of == "iban", F.regexp_replace(entity, " ", "")).otherwise(F.lower(entity))
 
 
@@ -117,9 +149,9 @@ def surrogate(of: Column, value: Column, key: Column, attempt: Column) -> Column
         parts = [_pick(SYLLABLES[script], draw, f"s{i}") for i in range(4)] + [tail(SYLLABLES[script], 6)]
         full = F.concat(_pick(given, draw, "g"), F.lit(" "), F.initcap(F.concat(*parts)))
         single = F.initcap(F.concat(*parts))
-        body = F.concat(F.lit(f"{g}:"), F.when(value.contains(" "), full).otherwise(single))
+        whole = F.concat(F.lit(f"{g}:"), F.when(alone(value.substr(F.lit(3), F.length(value))), single).otherwise(full))
         test = value.startswith(f"{g}:") & (value.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~value.rlike(r"\p{IsCyrillic}"))
-        name = F.when(test, body) if name is None else name.when(test, body)
+        name = F.when(test, whole) if name is None else name.when(test, whole)
     prefix = F.when(value.rlike("^(akia|ghp_)"), 4).when(value.rlike("^sk-"), 3).otherwise(0)
     plain = F.when(prefix > 0, F.concat(F.substring(value, 1, 4), _mapped(value.substr(F.lit(5), F.length(value)), draw))).otherwise(_mapped(value, draw, hexadecimal=True))
     plain = F.concat(plain, tail("0123456789abcdef"))
@@ -131,10 +163,11 @@ def rendered(entity: Column, of: Column, made: Column) -> Column:
     """A canonical surrogate in the format of one mention."""
     spread = lambda pattern: F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike(pattern), made.substr(F.length(F.regexp_replace(entity.substr(F.lit(1), i + 1), f"(?!{pattern}).", "")), F.lit(1))).otherwise(c)), "")
     rest = lambda pattern: made.substr(F.length(F.regexp_replace(entity, f"(?!{pattern}).", "")) + 1, F.length(made))
-    title = F.regexp_extract(entity, r"^(\p{L}+\.? )", 1)
+    title = F.regexp_extract(entity, f"^({_TITLES})", 1)
+    shown = F.when(alone(body(entity)), F.substring_index(F.substring(made, 3, 1000), " ", -1)).otherwise(F.substring(made, 3, 1000))
     shout = (entity == F.upper(entity)) & (entity != F.lower(entity))
     return (F.when(of.isin("phone", "card", "ssn"), F.concat(spread("[0-9]"), rest("[0-9]"))).when(of == "iban", F.concat(spread("[0-9A-Z]"), rest("[0-9A-Z]")))
-            .when(of == "name", F.concat(title, F.substring(made, 3, 1000))).when(shout, F.upper(made)).otherwise(made))
+            .when(of == "name", F.concat(title, shown)).when(shout, F.upper(made)).otherwise(made))
 
 
 def distinct_surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
@@ -160,6 +193,23 @@ def distinct_surrogates(entities: DataFrame, key: str, scratch: Scratch) -> Data
         todo = scratch.save(again.withColumn("made", surrogate(F.col("kind"), F.col("value"), secret, F.lit(attempt))), f"drawn-{attempt}")
 
 
+def persons(names: DataFrame) -> DataFrame:
+    """``value`` of the person that each titled mention (__key, entity) means within its document."""
+    parts = names.withColumns({"g": gender(F.col("entity")), "b": body(F.col("entity"))}).withColumns({"last": surname(F.col("b")), "short": alone(F.col("b"))})
+    parts = parts.withColumn("last", F.when(F.col("last") == "", F.col("b")).otherwise(F.col("last")))
+    seen = parts.groupBy("__key", "last").agg(F.array_sort(F.collect_set(F.struct("short", "b", "g"))).alias("seen"))
+    fits = lambda x: (x["g"] == F.col("g")) | (x["g"] == "n") | (F.col("g") == "n")
+    own = lambda x: fits(x) & ((x["b"] == F.col("b")) | (F.col("short") & ~x["short"]))
+    out = parts.join(seen, ["__key", "last"]).withColumn("all", F.filter("seen", own))
+    out = out.withColumn("full", F.filter("all", lambda x: ~x["short"])).withColumn("all", F.when(F.size("full") > 0, F.col("full")).otherwise(F.col("all")))
+    out = out.withColumns({"bodies": F.array_distinct(F.transform("all", lambda x: x["b"])), "genders": F.array_distinct(F.transform(F.concat("all", F.array(F.struct("short", "b", "g"))), lambda x: x["g"]))})
+    out = out.withColumn("genders", F.array_remove("genders", "n"))
+    one = F.size("bodies") == 1
+    who = F.when(one, F.col("bodies")[0]).otherwise(F.col("b"))
+    sex = F.when(one & (F.size("genders") == 1), F.get("genders", F.lit(0))).otherwise(F.col("g"))
+    return out.select("__key", "entity", "b", "last", F.lit("name").alias("kind"), F.concat(sex, F.lit(":"), who).alias("value"))
+
+
 def pseudonymise(documents: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", found_col: str | None = None) -> DataFrame:
     """``documents`` with every entity replaced; ``found_col`` names an added column of their number."""
     scratch = Scratch(documents.sparkSession, "pii")
@@ -172,15 +222,30 @@ def pseudonymise(documents: DataFrame, key: str, id_col: str = "doc_id", text_co
     # written out step by step, so that no expression holds copies of the one before
     typed = scratch.save(mentions.select("entity").distinct().withColumn("kind", kind(F.col("entity"))), "kinds")
     typed = scratch.save(typed.withColumn("value", canonical(F.col("entity"), F.col("kind"))), "typed")
-    made = scratch.save(distinct_surrogates(scratch.save(typed.select("kind", "value").distinct(), "entities"), key, scratch), "made")
+    people = scratch.save(persons(mentions.join(typed.filter("kind = 'name'").select("entity"), "entity")), "people")
+    plain = typed.filter("kind != 'name'")
+    entities = plain.select("kind", "value").union(people.select("kind", "value")).distinct()
+    made = scratch.save(distinct_surrogates(scratch.save(entities, "entities"), key, scratch), "made")
     # one replacement for each distinct mention, before it meets the documents
-    replaced = typed.join(made, ["kind", "value"]).select("entity", rendered(F.col("entity"), F.col("kind"), F.col("made")).alias("new"))
-    maps = mentions.join(replaced, "entity").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("__map"))
+    replaced = plain.join(made, ["kind", "value"]).select("entity", rendered(F.col("entity"), F.col("kind"), F.col("made")).alias("new"))
+    named = scratch.save(people.join(made, ["kind", "value"]), "named")
+    titled = named.select("__key", "entity", rendered(F.col("entity"), F.col("kind"), F.col("made")).alias("new"))
+    shown = F.substring("made", 3, 1000)
+    later = named.filter(F.col("value").endswith(F.concat(F.lit(":"), F.col("b")))).select("__key", F.col("b").alias("entity"), shown.alias("new"))
+    later = later.union(named.select("__key", F.col("last").alias("entity"), F.substring_index(shown, " ", -1).alias("new")))
+    later = later.filter(F.length("entity") > 1).groupBy("__key", "entity").agg(F.min("new").alias("new"))
+    word = F.concat(F.lit("\\Q"), F.col("entity"), F.lit("\\E"))
+    longest = F.transform(F.array_sort(F.collect_list(F.struct((-F.length("entity")).alias("n"), word.alias("w")))), lambda x: x["w"])
+    untitled = later.groupBy("__key").agg(F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])")).alias("__pattern"))
+    new = mentions.join(replaced, "entity").select("__key", "entity", "new").union(titled).union(later)
+    maps = new.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("__map")).join(untitled, "__key", "left")
     joined = touched.withColumn("__key", row_key).join(maps, "__key")
-    joined = joined.withColumns({"__parts": F.split(text, PATTERN, -1), "__found": all_found()})
+    # the constant pattern is compiled once, a document's own one for the document
+    own = lambda f: F.when(F.col("__pattern").isNull(), f(F.lit(PATTERN))).otherwise(f(F.col("__pattern")))
+    joined = joined.withColumns({"__parts": own(lambda p: F.split(text, p, -1)), "__found": own(lambda p: F.regexp_extract_all(text, p, F.lit(0)))})
     pieces = F.transform(F.col("__parts"), lambda part, i: F.concat(part, F.coalesce(F.element_at(F.col("__map"), F.get(F.col("__found"), i)), F.lit(""))))
     added = {found_col: F.size("__found").cast("long")} if found_col else {}
-    changed = joined.withColumns({**added, text_col: F.array_join(pieces, "")}).drop("__key", "__map", "__parts", "__found")
+    changed = joined.withColumns({**added, text_col: F.array_join(pieces, "")}).drop("__key", "__map", "__pattern", "__parts", "__found")
     same = documents.filter(~has)
     if found_col:
         same = same.withColumn(found_col, F.lit(0).cast("long"))

@@ -174,6 +174,22 @@ def test_surrogates(spark):
     assert other != by[3][0][0]
 
 
+def test_names_as_written(spark):
+    texts = [
+        "Mr McDonald, Mr. O'Neil and Mr J. Smith left.", "Mrs Anna-Maria Schmidt and Mr John Paul Jones's dog.", "Dr. Krause saw Prof. Dr. Ada Vogel and Frau von der Leyen.",
+        "Mr Karl Weber came. Mr Weber sat; Weber spoke. Karl Weber's hat.", "Nobody here: Weber, Karl.", "Mrs. Eva Lang and Dr. Eva Lang, Frau Lang."]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k", found_col="n").collect()
+    got = {r.doc_id: r.text for r in rows}
+    for i, words in enumerate((("McDonald", "O'Neil", "Neil", "J.", "Smith"), ("Anna", "Maria", "Schmidt", "John", "Paul", "Jones"), ("Krause", "Ada", "Vogel", "Leyen"), ("Karl", "Weber"), (), ("Eva", "Lang"))):
+        assert not any(re.search(rf"(?<!\w){w}(?!\w)", got[i]) for w in words), got[i]
+    assert got[4] == texts[4] and re.fullmatch(r"Mrs \w+ \w+ and Mr \w+ \w+'s dog\.", got[1]) and re.fullmatch(r"Mr \w+, Mr\. \w+ and Mr \w+ \w+ left\.", got[0])
+    full, last, bare, again = re.fullmatch(r"Mr (\w+ \w+) came\. Mr (\w+) sat; (\w+) spoke\. (\w+ \w+)'s hat\.", got[3]).groups()
+    assert full == again and last == bare == full.split()[1]
+    one, two, three = re.fullmatch(r"Mrs\. (\w+ \w+) and Dr\. (\w+ \w+), Frau (\w+)\.", got[5]).groups()
+    assert one == two and three == one.split()[1] and one.split()[0] in pii.GIVEN[("f", "latin")]
+    assert {r.doc_id: r.n for r in rows} == {0: 3, 1: 2, 2: 3, 3: 4, 4: 0, 5: 3}
+
+
 def test_surrogates_stay_distinct(spark):
     """Entities outnumber what a short format can hold apart by chance."""
     from marketloom.llm.scratch import Scratch
