@@ -11,12 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 BLOCK = 1 << 20
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+#: (prime, base) of the two polynomials of a span's hash.
+_FIELDS = ((2_147_483_647, 1_181_783_497), (2_147_483_629, 1_540_483_477))
+_LONG = 4096  # longer spans are hashed one by one
 
 #: A-Z lowered, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -30,17 +33,38 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 WORDLIKE = np.zeros(256, dtype=bool)
 WORDLIKE[48:58] = WORDLIKE[65:91] = WORDLIKE[97:123] = WORDLIKE[128:] = True
 
-_tables: dict[str, np.ndarray] = {}
+#: Non-ASCII characters that are no letter, mark or digit, and scripts written without spaces (RE2).
+_NO_WORD = r"[^\x00-\x7F\p{L}\p{M}\p{N}]+"
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if len(_tables.get("pow", ())) < n:
-        for key, base in (("pow", _BASE), ("inv", pow(_BASE, -1, 1 << 64))):
-            table = np.full(n, base & _MASK, dtype=_U)
-            table[0] = 1
-            _tables[key] = np.cumprod(table)
-    return _tables["pow"], _tables["inv"]
+
+def spaced(column: pa.Array) -> pa.Array:
+    """Lower-cased texts in which ``wordlike`` words are runs of letters, marks and digits.
+
+    Other non-ASCII characters become spaces, and each character of a script that is
+    written without spaces becomes a word.
+    """
+    column = pc.replace_substring_regex(pc.utf8_lower(column), _NO_WORD, " ")
+    if pc.any(pc.match_substring_regex(column, _UNSPACED)).as_py():
+        column = pc.replace_substring_regex(column, _UNSPACED, r" \1 ")
+    return column
+
+
+def _powers(field: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo the prime of a field for i < n."""
+    if field not in _tables or len(_tables[field][0]) < n:
+        prime, base = _FIELDS[field]
+        made = []
+        for b in (base, pow(base, -1, prime)):
+            table, step = np.ones(1, _U), b
+            while len(table) < n:  # doubling: table[i + len] = table[i] * base**len
+                table = np.concatenate([table, table * _U(step) % _U(prime)])
+                step = step * step % prime
+            made.append(table)
+        _tables[field] = (made[0], made[1])
+    return _tables[field]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -54,6 +78,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting: faster here than a hash table."""
+    if not len(values):
+        return values
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
+def turned(serial: int, choices: int) -> int:
+    """A number below ``choices`` that follows from a serial number."""
+    return (serial * 0x9E3779B1 & 0xFFFFFFFF) * choices >> 32
+
+
 def string_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets (n+1) of a string column; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -97,18 +134,28 @@ def segments(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span, from prefix sums of a polynomial."""
-    power, inverse = _powers(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * inverse[starts])
+    """A 64-bit hash of data[start:end] for each span.
+
+    Two polynomials over prime fields, from prefix sums; long spans by XXH3.  (Modulo a
+    power of two some short texts would collide whatever the base.)
+    """
+    value = (ends - starts).astype(_U)
+    for field, (prime, _) in enumerate(_FIELDS):
+        power, inverse = _powers(field, len(data) + 1)
+        prefix = np.zeros(len(data) + 1, dtype=_U)
+        np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=prefix[1:])  # may wrap; the differences of short spans do not
+        part = (prefix[ends] - prefix[starts]) % _U(prime) * inverse[starts] % _U(prime)
+        value = mix64(value * _U(0xD6E8FEB86659FD93) + part)
+    for i in np.flatnonzero(ends - starts > _LONG).tolist():
+        value[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return value
 
 
 def words(data: np.ndarray, offsets: np.ndarray, wordlike: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word and the word offsets (n+1) of the documents.
 
     Words are runs of bytes that are not white space, A-Z lowered; with
-    ``wordlike`` runs of letters and digits.
+    ``wordlike`` runs of ASCII letters and digits and of non-ASCII bytes (see ``spaced``).
     """
     inside = WORDLIKE[data] if wordlike else ~SPACE[data]
     starts, ends = segments(inside, offsets)
