@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts become lower-cased words of letters and digits, so case and punctuation do not
-matter.  A document and a benchmark item that share a seed, ``min_words`` equal words
+Texts become lower-cased words of letters, marks and digits, so case and punctuation,
+typographic marks too, do not matter; in scripts written without spaces each character
+is a word.  A document and a benchmark item that share a seed, ``min_words`` equal words
 in a row, are tiled: matching runs are found with running Karp-Rabin hashes, the
 longest unmarked match is marked again and again, no word twice, until no match of
 ``min_words`` is left.  The share of the item's words under tiles is its coverage;
@@ -9,11 +10,14 @@ tiles may lie in any order, so reordered passages count in full.  A document wit
 coverage of ``threshold`` or more of any item is contaminated.
 
 Seeds of the benchmark are broadcast only if its number of words, counted first, is at
-most ``broadcast_words``; a larger benchmark is joined with the documents' seeds.
+most ``broadcast_words``; a larger benchmark is joined with the documents' seeds, and
+texts are told apart by 128 bits of hash.  Both ways give the same rows.
 
 Defined results: null and empty texts and items match nothing; an item of fewer words
-than ``min_words`` is matched as a whole; repeated rows are judged one by one; a null
-id is carried as null; only the named columns are read, and ``remove`` keeps all.
+than ``min_words`` is matched as a whole, so an item of one word is covered by every
+document holding it; contamination depends on a row's text alone, so repeated rows and
+rows that share an id, or have none, are judged one by one; a null id is carried as
+null; only the named columns are read, and ``remove`` keeps all.
 """
 
 from __future__ import annotations
@@ -23,8 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm import textcore
@@ -104,12 +107,19 @@ class SeedIndex:
     seeds: np.ndarray  # sorted
     owners: np.ndarray  # item position of each seed
     ids: list[int | None]
-    words: list[list[int]]
+    flat: np.ndarray  # words of all items
+    cuts: np.ndarray
     marks: np.ndarray  # bit table over the seeds' upper bits
 
+    def size(self, item: int) -> int:
+        return int(self.cuts[item + 1] - self.cuts[item])
+
+    def words(self, item: int) -> list[int]:
+        return self.flat[self.cuts[item] : self.cuts[item + 1]].tolist()
+
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for first, end, data, offsets in textcore.blocks(pc.utf8_lower(column)):
+    for first, end, data, offsets in textcore.blocks(textcore.spaced(column)):
         hashes, cut = textcore.words(data, offsets, wordlike=True)
         yield first, end, hashes >> np.uint64(4), cut  # below the Karp-Rabin modulus
 
@@ -128,13 +138,14 @@ def seed_index(ids: list[int | None], texts: list[str | None], min_words: int) -
     for _, _, hashes, cut in _words(pa.array(texts, pa.large_string())):
         words += [hashes[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
     lengths = tuple(sorted({min(min_words, len(w)) for w in words if len(w)}))
-    seeds = [np.unique(_seed_values(w, min(min_words, len(w)))) if len(w) else np.zeros(0, np.uint64) for w in words]
+    seeds = [textcore.distinct(_seed_values(w, min(min_words, len(w)))) if len(w) else np.zeros(0, np.uint64) for w in words]
     owners = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
     flat = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
     order = np.argsort(flat, kind="stable")
     marks = np.zeros(1 << 20, dtype=bool)
     marks[(flat >> np.uint64(44)).astype(np.int64)] = True
-    return SeedIndex(lengths, flat[order], owners[order], ids, [w.tolist() for w in words], marks)
+    cuts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    return SeedIndex(lengths, flat[order], owners[order], ids, np.concatenate([np.zeros(0, np.uint64), *words]), cuts, marks)
 
 
 def coverages(index: SeedIndex, column: pa.Array, min_words: int) -> Iterator[tuple[int, int, int, int]]:
@@ -150,7 +161,7 @@ def coverages(index: SeedIndex, column: pa.Array, min_words: int) -> Iterator[tu
             ok = np.flatnonzero((high > low) & (at + k <= cut[np.minimum(row + 1, len(cut) - 1)]))
             for i in ok.tolist():
                 for item in index.owners[low[i] : high[i]].tolist():
-                    if min(min_words, len(index.words[item])) == k:
+                    if min(min_words, index.size(item)) == k:
                         hit_at.setdefault(int(row[i]), []).append((item, int(at[i]), k))
         for row, hits in sorted(hit_at.items()):
             spans: dict[int, list[tuple[int, int]]] = {}
@@ -161,7 +172,7 @@ def coverages(index: SeedIndex, column: pa.Array, min_words: int) -> Iterator[tu
                 else:
                     runs.append((at, at + k))
             for item, runs in spans.items():
-                pattern = index.words[item]
+                pattern = index.words(item)
                 pieces = [hashes[a:b].tolist() for a, b in runs]
                 # more copies of a piece than the item has room for cannot add tiles
                 room: dict[tuple, int] = {}
@@ -189,7 +200,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     index = _bounded_index(items, min_words, broadcast_words)
     if index is None:
-        pairs = _joined(slim, items, min_words)
+        found = _joined(slim, items, min_words).filter(F.col("coverage") >= threshold)
+        pairs = slim.select("id", *_text_key()).join(found, ["h", "g"]).select("id", "item", "covered", "item_words", "coverage")
     else:
         shared = documents.sparkSession.sparkContext.broadcast(index)
 
@@ -206,49 +218,63 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return pairs.filter(F.col("coverage") >= threshold).withColumnsRenamed({"id": id_col, "item": item_col})
 
 
+def _text_key() -> list[Column]:
+    """128 bits of the text."""
+    return [F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g")]
+
+
+def _seed_rows(lengths: list[int] | None, min_words: int):
+    """Distinct seeds of each text (text, h, g): of the given lengths, or of the item's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, hashes, cut in _words(batch.column(0)):
+                values, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                    for k in [min(min_words, b - a)] if lengths is None else lengths:
+                        if 0 < k <= b - a:
+                            values.append(textcore.distinct(_seed_values(hashes[a:b], k)))
+                            rows.append(np.full(len(values[-1]), first + i))
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(np.concatenate(values).view(np.int64))], names=["h", "g", "seed"])
+
+    return run
+
+
 def _joined(documents: DataFrame, items: DataFrame, min_words: int) -> DataFrame:
-    """The same pairs for a benchmark of any size: seeds meet in an equi-join, pairs are tiled in tasks.
+    """(h, g, item, covered, item_words, coverage) of the texts and items that share a seed, for a benchmark of any size.
 
-    Rows are told apart by id and a hash of the text.
+    Seeds meet in an equi-join, each pair of different texts is tiled once in a task.
     """
-    lengths = sorted({r[0] for r in items.select(F.least(F.size(F.expr("regexp_extract_all(text, '[\\\\p{L}\\\\p{N}]+', 0)")), F.lit(min_words))).distinct().collect() if r[0] and r[0] > 0})
 
-    def seeds(own_length: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for first, _, hashes, cut in _words(batch.column(1)):
-                    values, rows = [], []
-                    for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                        for k in [min(min_words, b - a)] if own_length else range(1, min_words + 1):
-                            if 0 < k <= b - a and (own_length or k in lengths or k == min_words):
-                                value = np.unique(_seed_values(hashes[a:b], int(k)))
-                                values.append(value)
-                                rows.append(np.full(len(value), first + i))
-                    take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64())
-                    seed = pa.array((np.concatenate(values) if values else np.zeros(0, np.uint64)).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), seed], names=["id", "h", "seed"])
-
-        return run
-
-    keyed = documents.select("id", "text", F.xxhash64("text").alias("h"))
-    own = items.select(F.col("item").alias("id"), "text", F.xxhash64("text").alias("h"))
-    left = keyed.mapInArrow(seeds(False), "id long, h long, seed long")
-    right = own.mapInArrow(seeds(True), "id long, h long, seed long").toDF("item", "ih", "seed")
-    met = left.join(right, "seed").select("id", "h", "item", "ih").distinct()
-    texts = keyed.withColumnRenamed("text", "t").withColumnsRenamed({"id": "di", "h": "dh"})
-    itexts = own.toDF("ii", "it", "iih").distinct()
-    full = met.join(texts, F.col("id").eqNullSafe(F.col("di")) & (F.col("h") == F.col("dh"))).join(itexts, F.col("item").eqNullSafe(F.col("ii")) & (F.col("ih") == F.col("iih")))
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, cut in _words(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(np.diff(cut), min_words)).astype(np.int32))], names=["k"])
+
+    lengths = sorted(r.k for r in items.select("text").mapInArrow(sizes, "k int").distinct().collect() if r.k)  # min_words values at most
+    keyed = documents.select("text", *_text_key())
+    own = items.select("item", "text", *_text_key())
+    left = keyed.mapInArrow(_seed_rows(lengths, min_words), "h long, g long, seed long")
+    right = own.select("text", "h", "g").mapInArrow(_seed_rows(None, min_words), "h long, g long, seed long").toDF("ih", "ig", "seed").distinct()
+    met = left.join(right, "seed").select("h", "g", "ih", "ig").distinct()
+    texts = met.select("h", "g").distinct().join(keyed, ["h", "g"]).groupBy("h", "g").agg(F.min("text").alias("t"))
+    itexts = own.groupBy(F.col("h").alias("ih"), F.col("g").alias("ig")).agg(F.min("text").alias("it"))
+    full = met.join(texts, ["h", "g"]).join(itexts, ["ih", "ig"])
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for id_, item, text, itext in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for _, _, covered, total in coverages(seed_index([item], [itext], min_words), pa.array([text], pa.large_string()), min_words):
-                    out.append((id_, item, covered, total, covered / total))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["id", "item", "covered", "item_words", "coverage"])
+            for i, (text, itext) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                for _, _, covered, total in coverages(seed_index([None], [itext], min_words), pa.array([text], pa.large_string()), min_words):
+                    out.append((i, covered, total, covered / total))
+            take = pa.array([x[0] for x in out], pa.int64())
+            kinds = (pa.int32(), pa.int32(), pa.float64())
+            names = ["h", "g", "ih", "ig", "covered", "item_words", "coverage"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(4)), *(pa.array([x[i + 1] for x in out], t) for i, t in enumerate(kinds))], names=names)
 
-    return full.select("id", "item", "t", "it").mapInArrow(tile, f"id long, item long, {_PAIRS}")
+    tiled = full.select("h", "g", "ih", "ig", "t", "it").mapInArrow(tile, f"h long, g long, ih long, ig long, {_PAIRS}")
+    return tiled.join(own.select("item", F.col("h").alias("ih"), F.col("g").alias("ig")), ["ih", "ig"]).drop("ih", "ig")
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = MIN_WORDS, threshold: float = THRESHOLD, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -256,9 +282,10 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     index = _bounded_index(items, min_words, broadcast_words)
     if index is None:
-        bad = contamination(documents, benchmark, id_col, text_col, item_col, item_text_col, min_words, threshold, broadcast_words)
-        bad = bad.select(F.col(id_col).alias("__bad")).distinct()
-        return documents.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+        bad = _joined(documents.select(F.col(text_col).alias("text")), items, min_words).filter(F.col("coverage") >= threshold)
+        bad = bad.select(F.col("h").alias("__h"), F.col("g").alias("__g")).distinct()
+        h, g = (F.xxhash64(text_col), F.xxhash64(F.lit(1), F.col(text_col)))
+        return documents.join(bad, (h == F.col("__h")) & (g == F.col("__g")), "left_anti")
     shared = documents.sparkSession.sparkContext.broadcast(index)
     at = documents.columns.index(text_col)
 
