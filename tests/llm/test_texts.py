@@ -111,11 +111,13 @@ def test_lines(spark, sizes):
 
 
 def test_perfect_hash():
-    keys = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 5000).astype(np.uint64))
-    function = line_dedup.PerfectHash.build(keys)
-    assert sorted(function.index(keys).tolist()) == list(range(len(keys)))
+    rng = np.random.default_rng(5)
+    hi = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    lo = np.where(np.arange(len(hi)) % 2, hi, np.uint64(7))  # equal halves need places too
+    function = line_dedup.PerfectHash.build(hi, lo)
+    assert sorted(function.index(hi, lo).tolist()) == list(range(len(hi)))
     again = line_dedup.PerfectHash.unpacked(*function.packed())
-    assert (again.index(keys) == function.index(keys)).all()
+    assert (again.index(hi, lo) == function.index(hi, lo)).all()
 
 
 def plain_near(rows, k, percent=80):
