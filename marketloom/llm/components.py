@@ -3,7 +3,8 @@
 Each round every node points at the smallest node among itself and its neighbours and
 links are rewritten to those; stars collapse in one round and chains in about the
 logarithm of their length.  Before the rounds every task runs union-find over its own
-links, which leaves at most one link a node.  Only a count comes to the driver.
+links, which leaves at most one link a node.  Groups of many nodes are dealt to several
+tasks where their root is the key of a join.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.scratch import Scratch
+from marketloom.llm.skew import spread_join
 
 
 def union_find(pairs: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
@@ -52,8 +54,9 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         parent = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
         parent = scratch.save(parent, f"{name}-parent-{round_no}")
         to = lambda side: parent.select(F.col("u").alias(side), F.col("p").alias(f"{side}p"))
-        edges = edges.join(to("u"), "u").join(to("v"), "v").select(F.col("up").alias("u"), F.col("vp").alias("v")).filter("u <> v").distinct()
-        labels = labels.join(to("root"), "root", "left").select("node", F.coalesce("rootp", "root").alias("root"))
+        ends = edges.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        edges = spread_join(edges.join(to("u"), "u"), to("v"), "v", counts=ends).select(F.col("up").alias("u"), F.col("vp").alias("v")).filter("u <> v").distinct()
+        labels = spread_join(labels, to("root"), "root", "left").select("node", F.coalesce("rootp", "root").alias("root"))
         round_no += 1
         edges = scratch.save(edges, f"{name}-links-{round_no}")
         labels = scratch.save(labels, f"{name}-labels-{round_no}")

@@ -14,10 +14,14 @@
 
 With 24 bands of 4 rows a pair at exactly 0.8 is missed with probability 3e-6.
 
+Band keys, heads, groups and classes that many rows share are dealt to several tasks
+(``skew``); the permutations of a long text are drawn a part at a time.
+
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; fewer than k words
 are one shingle; null, empty and blank texts have no shingle and are linked with
 nothing; repeated rows are copies of each other; a row with a null id takes part, gets
 its group's smallest known id and is kept only if the group has no id at all.
+``survivors`` keeps exactly one row of each group, and every text without a shingle.
 """
 
 from __future__ import annotations
@@ -27,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm import textcore
 from marketloom.llm.components import components
 from marketloom.llm.scratch import Scratch
+from marketloom.llm.skew import spread_join
 
 _U = np.uint64
 _UNSET = _U((1 << 64) - 1)
@@ -70,7 +75,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarra
     for first, end, data, offsets in textcore.blocks(column):
         hashes, word_offsets = textcore.words(data, offsets)
         value, cut = textcore.shingles(hashes, word_offsets, k)
-        sets = [np.unique(value[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        sets = [textcore.distinct(value[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         yield first, end, np.concatenate(sets) if sets else value, np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
 
 
@@ -89,8 +94,14 @@ def _set_key(elements: np.ndarray) -> bytes:
     return hashlib.blake2b(elements.astype("<u8").tobytes(), digest_size=16).digest()
 
 
+def _signature(elements: np.ndarray, size: int) -> np.ndarray:
+    """The signature of one set, drawn a part of its elements at a time."""
+    parts = [elements[i : i + _ELEMENTS] for i in range(0, len(elements), _ELEMENTS)]
+    return np.minimum.reduce([superminhash(x, np.array([0, len(x)]), size) for x in parts])
+
+
 def signatures(documents: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, node, bands) of each row; node is the key of the set, null if it is empty."""
+    """(id, t, n, node, bands) of each row (id, text, t); node is the key of the set, null if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,22 +114,24 @@ def signatures(documents: DataFrame, k: int, bands: int, rows: int) -> DataFrame
                 while start < len(offsets) - 1:  # few permutations at a time
                     end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + _ELEMENTS, side="right")) - 1)
                     part = offsets[start : end + 1]
-                    made = band_keys(superminhash(elements[part[0] : part[-1]], part - part[0], bands * rows), bands, rows).view(np.int64)
+                    own = elements[part[0] : part[-1]]
+                    values = _signature(own, bands * rows) if len(own) > _ELEMENTS else superminhash(own, part - part[0], bands * rows)
+                    made = band_keys(values, bands, rows).view(np.int64)
                     for i in range(start, end):
                         if offsets[i + 1] > offsets[i]:
                             nodes[first + i] = _set_key(elements[offsets[i] : offsets[i + 1]])
                             keys[first + i] = made[i - start]
                     start = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "t", "n", "node", "bands"])
 
-    return documents.mapInArrow(run, "id long, n long, node binary, bands array<long>")
+    return documents.mapInArrow(run, "id long, t long, n long, node binary, bands array<long>")
 
 
 _BLOOM_BITS = 27  # at most 2**27 bits: 16 MB, whatever the number of candidates
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
-    """A two-hash Bloom filter of a long column as packed 64-bit words; its size is bounded."""
+    """A two-hash Bloom filter of the long column id as packed 64-bit words; its size is bounded."""
     bits = min(_BLOOM_BITS, max(12, int(ids.count()).bit_length() + 4))
     spots = ids.select(F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64("id", F.lit(s)), 64 - bits) for s in (1, 2)])).alias("spot"))
     words = spots.groupBy(F.shiftright("spot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("b"))
@@ -128,15 +141,20 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _row_key(id_: str = "id", t: str = "t") -> Column:
+    """A key of a row that is never null: its id and text."""
+    return F.xxhash64(F.coalesce(F.col(id_), F.lit(-1 << 63)), F.col(t))
+
+
 def candidate_sets(documents: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of the classes in ``chosen`` (node, id): sets are made again from the texts.
+    """(node, shingles) of the classes in ``chosen`` (node, id, t): sets are made again from the texts.
 
-    A Bloom filter of fixed size picks the documents, an exact join keeps the right ones;
-    texts are never shuffled.
+    A Bloom filter of fixed size picks the documents, an exact join keeps the right
+    classes, one row each; texts are never shuffled.
     """
-    words = documents.sparkSession.sparkContext.broadcast(_bloom(chosen.select("id")))
+    words = documents.sparkSession.sparkContext.broadcast(_bloom(chosen.select(_row_key().alias("id"))))
     bits = int(np.log2(len(words.value))) + 6
-    spot = lambda s: F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(s)), 64 - bits)
+    spot = lambda s: F.shiftrightunsigned(F.xxhash64(_row_key(), F.lit(s)), 64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,18 +162,19 @@ def candidate_sets(documents: DataFrame, chosen: DataFrame, k: int) -> DataFrame
             for c in (2, 3):
                 s = batch.column(c).to_numpy()
                 maybe &= (words.value[s >> 6] >> (s & 63)) & 1 == 1
-            part = batch.filter(pa.array(maybe))
-            nodes, sets, ids = [], [], []
-            for first, _, elements, offsets in shingle_sets(part.column(1), k):
-                for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+            rows = np.flatnonzero(maybe)
+            rows = rows[np.unique(batch.column(1).to_numpy()[rows], return_index=True)[1]]  # equal rows give one set
+            part = batch.take(pa.array(rows))
+            nodes, sets = [], []
+            for _, _, elements, offsets in shingle_sets(part.column(0), k):
+                for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                     if b > a:
                         nodes.append(_set_key(elements[a:b]))
                         sets.append(elements[a:b].astype("<u8").tobytes())
-                        ids.append(first + i)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary()), part.column(0).take(pa.array(ids, pa.int64()))], names=["node", "shingles", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    made = documents.select("id", "text", spot(1).alias("s1"), spot(2).alias("s2")).mapInArrow(run, "node binary, shingles binary, id long")
-    return made.join(chosen, ["node", "id"], "left_semi").select("node", "shingles")
+    made = documents.select("text", _row_key().alias("key"), spot(1).alias("s1"), spot(2).alias("s2")).mapInArrow(run, "node binary, shingles binary")
+    return made.join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,63 +192,79 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s"))
-    joined = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "us", "vs")
+    counts = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    joined = spread_join(pairs.join(side("v"), "v"), side("u"), "u", counts=counts).select("u", "v", "us", "vs")
     return joined.mapInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
-    """id, n_shingles, component_id and kept of each row of ``documents``."""
+def _grouped(documents: DataFrame, id_col: str, text_col: str, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(id, t, n, node, first) of each row; ``first`` is the row (none, id, t, node) that its group keeps."""
     scratch = Scratch(documents.sparkSession, "near")
-    slim = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    slim = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
     signed = scratch.save(signatures(slim, k, bands, rows), "signatures")
-    # one row a class: its smallest id, its size, and bands that all its rows share
-    classes = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    classes = scratch.save(classes, "classes")
-    one = signed.filter("node is not null").join(classes, ["node", "id", "n"], "left_semi").select("node", "n", "bands").union(
-        signed.filter("node is not null and id is null").select("node", "n", "bands"))
+    known = signed.filter("node is not null")
+    # one row a class: its smallest known id, its size and its number of rows
+    classes = known.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("own"), F.max("n").alias("size"), F.count(F.lit(1)).alias("n"))
+    classes = scratch.save(classes.select("node", "own", F.col("own.id").alias("id"), F.col("own.t").alias("t"), "size", "n"), "classes")
+    # bands are the same in all rows of a class
+    one = known.withColumn("key", _row_key()).join(classes.select("node", _row_key().alias("key")), ["node", "key"], "left_semi")
     banded = one.select("node", "n", F.explode("bands").alias("h"))
-    shared = banded.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("h")
-    members = scratch.save(banded.join(shared, "h").select("h", "node", "n").distinct(), "members")
-    chosen = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "id")
+    shared = banded.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("h", "n")
+    shared = scratch.save(shared, "shared")
+    members = spread_join(banded, shared.select("h"), "h", "left_semi", counts=shared)
+    members = scratch.save(members.select("h", "node", F.col("n").alias("size")).distinct(), "members")
     labels = None
     if not members.isEmpty():
-        sets = scratch.save(candidate_sets(slim, scratch.save(chosen, "chosen"), k), "sets")
-        labels = _linked(members, sets, scratch, percent)
+        chosen = scratch.save(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "id", "t"), "chosen")
+        sets = scratch.save(candidate_sets(slim, chosen, k), "sets")
+        labels = _linked(members, shared, sets, scratch, percent)
     if labels is None:
-        grouped = classes.select("node", F.col("id").alias("component_id"))
+        grouped = classes.select("node", F.struct("own.none", "own.id", "own.t", "node").alias("first"))
     else:
-        rooted = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-        grouped = rooted.join(smallest, "root").select("node", "component_id")
-    out = signed.select("id", "n", "node").join(grouped, "node", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+        rooted = classes.select("node", F.struct("own.none", "own.id", "own.t", "node").alias("own")).join(labels, "node", "left")
+        rooted = scratch.save(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
+        grouped = spread_join(rooted, rooted.groupBy("root").agg(F.min("own").alias("first")), "root").select("node", "first")
+    nulls = signed.filter("node is null").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return spread_join(signed.select("id", "t", F.col("n").alias("shingles"), "node"), grouped, "node", "left", counts=classes.select("node", "n").union(nulls))
 
 
-def survivors(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group with all its columns: the smallest id; rows without an id stay.
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
+    """id, n_shingles, component_id and kept of each row of ``documents``."""
+    out = _grouped(documents, id_col, text_col, k, percent, bands, rows)
+    component = F.coalesce("first.id", "id")
+    return out.select(F.col("id").alias(id_col), F.col("shingles").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
-    Rows that repeat an id are one document: those equal in every column are one row.
-    """
-    found = near_duplicates(documents, id_col, text_col, **options)
-    ids = found.filter("kept").groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__rows")).filter("__id is not null")
-    known = documents.join(ids, F.col(id_col) == F.col("__id"))
-    single = known.filter("__rows = 1").drop("__id", "__rows")
-    repeated = known.filter("__rows > 1").drop("__id", "__rows").distinct()
-    return single.unionByName(repeated).unionByName(documents.filter(F.col(id_col).isNull()))
 
+def survivors(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
+    """One row of each group with all its columns: the smallest id, or any row of a group without ids.
 
-def _linked(members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
+    Texts without a shingle are in no group and stay.  Of rows with equal id and text the
+    one with the smallest hash of all columns stays.
+    """
+    blank = ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    out = _grouped(documents, id_col, text_col, k, percent, bands, rows).filter("first is not null")
+    kept = out.filter(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t")) & (F.col("node") == F.col("first.node")))
+    kept = kept.withColumn("__id", F.coalesce("id", F.lit(-1 << 63))).groupBy("__id", F.col("t").alias("__t")).agg(F.count(F.lit(1)).alias("n"))
+    texts = documents.filter(~blank).withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1 << 63)), "__t": F.xxhash64(text_col)})
+    found = spread_join(texts, kept.withColumnRenamed("n", "__rows"), ["__id", "__t"], counts=kept)
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in documents.schema if "map<" not in f.dataType.simpleString()])
+    repeated = found.filter("__rows > 1").groupBy("__id", "__t").agg(F.min_by(F.struct(*columns), order).alias("__row")).select("__row.*")
+    return found.filter("__rows = 1").select(*columns).unionByName(repeated).unionByName(documents.filter(blank))
+
+
+def _linked(members: DataFrame, shared: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
     """(node, root) of all linked classes: one compared with its bucket, then what that leaves open."""
-    turn = F.struct(F.xxhash64("node").alias("t"), F.col("node").alias("u"))
-    heads = members.groupBy("h").agg(F.min(turn).alias("first")).select("h", F.col("first.u").alias("u"))
-    sizes = members.select(F.col("node").alias("u"), F.col("n").alias("un")).distinct()
-    pairs = members.join(heads, "h").filter("node <> u").select("u", F.col("node").alias("v"), "n").distinct().join(sizes, "u")
-    near = 100 * F.least("n", "un") >= percent * F.greatest("n", "un")  # else the sets cannot be similar enough
-    found = scratch.save(confirmed(pairs.filter(near).select("u", "v"), sets, percent), "found")
+    turn = F.struct(F.xxhash64("node").alias("t"), F.col("node").alias("u"), F.col("size").alias("usize"))
+    heads = scratch.save(members.groupBy("h").agg(F.min(turn).alias("first")).select("h", "first.u", "first.usize"), "heads")
+    pairs = spread_join(members, heads, "h", counts=shared).filter("node <> u")
+    near = 100 * F.least("size", "usize") >= percent * F.greatest("size", "usize")  # else the sets cannot be similar enough
+    pairs = scratch.save(pairs.filter(near).select("u", F.col("node").alias("v")).distinct(), "pairs")
+    found = scratch.save(confirmed(pairs, sets, percent), "found")
     labels = None if found.isEmpty() else components(found, scratch, "first")
-    left = members.join(heads.withColumnRenamed("u", "node"), ["h", "node"], "left_anti")
+    left = members.join(heads.select("h", F.col("u").alias("node")), ["h", "node"], "left_anti")
     left = left.withColumn("root", F.col("node")) if labels is None else left.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = scratch.save(left, "left")
     more = scratch.save(_closed(left, sets, scratch, percent), "more")
     if more.isEmpty():
         return labels
@@ -237,6 +272,7 @@ def _linked(members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int)
 
 
 _LEFT, _MAIN = 512, 2048  # classes of a block
+_SHINGLES = 1 << 21  # and their shingles
 
 
 def _closed(live: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -247,10 +283,13 @@ def _closed(live: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) ->
     size, and every two blocks meet in a task, which counts common shingles through an
     inverted index and returns links alone.
     """
-    by_root = live.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
-    shape = by_root.groupBy("h").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    shape = shape.select("h", F.col("main.root").alias("main"), F.ceil((F.col("size") - F.col("main.c")) / _LEFT).alias("na"), F.ceil(F.col("main.c") / _MAIN).alias("nb"))
-    rows = live.join(shape, "h").withColumn("apart", F.col("root") != F.col("main"))
+    by_root = live.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+    shape = by_root.groupBy("h").agg(F.max(F.struct("c", "root", "s")).alias("main"), F.sum("c").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    parts = lambda c, most, s: F.ceil(F.greatest(c / most, s / _SHINGLES))
+    shape = scratch.save(shape.select(
+        "h", "n", F.col("main.root").alias("main"), parts(F.col("n") - F.col("main.c"), _LEFT, F.col("s") - F.col("main.s")).alias("na"),
+        parts(F.col("main.c"), _MAIN, F.col("main.s")).alias("nb")), "shape")
+    rows = spread_join(live, shape.drop("n"), "h", counts=shape).withColumn("apart", F.col("root") != F.col("main"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("apart"), F.col("na")).otherwise(F.col("nb")))
     rows = rows.withColumn("own", own)
     place = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"))
