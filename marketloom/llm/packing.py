@@ -10,7 +10,8 @@ fit the one with the smallest weighted residual norm (or weighted dot product of
 and residual) is taken.  The groups leave one partly filled bin in thousands.
 
 Tokenising cuts the text at single spaces, where byte-level BPE never merges, and
-encodes each distinct chunk of a task once.
+``tokenizers`` encodes each distinct chunk of a task once, many chunks at a call; the
+bytes of each token tell where a chunk's ids end.  Chunks are known by their bytes.
 
 Defined results: null and empty texts are one piece holding ``end_id`` alone; repeated
 rows are packed one by one; a null id is kept; an empty table gives an empty result;
@@ -23,7 +24,6 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,10 @@ from marketloom.llm import textcore
 from marketloom.llm.scratch import Scratch
 
 ITEMS_PER_GROUP = 8192
+_MOST_TASKS = 20_000
 _BLOCK = 2 << 20
 _CACHE = 500_000  # distinct chunks a task remembers
+_RUN = 500  # chunks that one call encodes as one text
 
 _AFTER = np.ones(256, dtype=bool)  # bytes that may follow a space at which a chunk begins
 _AFTER[[9, 10, 11, 12, 13, 32]] = False
@@ -44,10 +46,6 @@ _PLAIN = np.zeros(256, dtype=bool)  # ASCII that is not white space
 _PLAIN[33:127] = True
 
 
-#: How byte-level BPE of this family cuts text before merging: a fixed value.
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
 def _byte_characters() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -55,17 +53,6 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def _plain_encoder(path: str):
-    """(encode, added strings): the file's merges run by tiktoken, several times faster chunk by chunk."""
-    import tiktoken
-
-    data = json.loads(Path(path).read_text())
-    added = [t["content"] for t in data["added_tokens"]]
-    of = _byte_characters()
-    ranks = {bytes(of[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in added}
-    return tiktoken.Encoding("chunks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, added
-
-
 class ChunkTokenizer:
     """Encodes columns of texts with a byte-level BPE file of ``tokenizers``, each distinct chunk once."""
 
@@ -74,33 +61,53 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain, self.added = _plain_encoder(path)
+        kind = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        if self.tokenizer.normalizer or kind.get("type") != "ByteLevel" or kind["add_prefix_space"] or not kind["use_regex"]:
+            raise ValueError("chunks at spaces need a byte-level tokenizer without normalizer and prefix space")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        of = _byte_characters()
+        self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.token_bytes[i] = len(token) if all(c in of for c in token) else len(token.encode())
         self._clear()
 
-    def _encoded(self, chunk: str) -> list[int]:
-        if any(a in chunk for a in self.added):
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        return self.plain(chunk)
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The chunks in another order, all their ids in a row, and the number of each one's ids."""
+        texts = [(c, c.decode()) for c in chunks]
+        joined, apart = [], []
+        for c, t in texts:
+            (joined if t[0] == " " and not any(a in t for a in self.added) else apart).append((c, t))
+        runs = [joined[i : i + _RUN] for i in range(0, len(joined), _RUN)]
+        ids, sizes = [], []
+        for run, made in zip(runs, self._ids(["".join(t for _, t in run) for run in runs]), strict=True):
+            ends = np.cumsum([len(c) for c, _ in run])
+            ids.append(made)
+            sizes.append(np.diff(np.searchsorted(np.cumsum(self.token_bytes[made]), ends) + 1, prepend=0))
+        for made in self._ids([t for _, t in apart]):
+            ids.append(made)
+            sizes.append(np.array([len(made)]))
+        return [c for c, _ in joined + apart], np.concatenate(ids), np.concatenate(sizes)
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def _remember(self, hashes: list[int], chunks: list[str]) -> None:
-        encoded = [self._encoded(c) for c in chunks]
-        sizes = np.array([len(x) for x in encoded], dtype=np.int64)
-        new = np.fromiter((i for x in encoded for i in x), dtype=np.uint32, count=int(sizes.sum()))
+    def _remember(self, chunks: list[bytes]) -> None:
+        chunks, new, sizes = self._encoded(chunks)
         first = len(self.known)
-        while len(self.starts) < first + len(hashes):
+        while len(self.starts) < first + len(chunks):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
         while len(self.flat) < self.used + len(new):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.sizes[first : first + len(hashes)] = sizes
-        self.starts[first : first + len(hashes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first : first + len(chunks)] = sizes
+        self.starts[first : first + len(chunks)] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + len(new)] = new
         self.used += len(new)
-        self.known.update(zip(hashes, range(first, first + len(hashes)), strict=True))
+        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, offsets) block by block."""
@@ -109,19 +116,28 @@ class ChunkTokenizer:
             space = space[space > 0]
             before, after = data[space - 1], data[space + 1]
             space = space[_AFTER[after] & (_PLAIN[before] | _PLAIN[after])]
-            border = np.unique(offsets[:-1])
-            starts = np.union1d(space, border[border < len(data)])
+            border = offsets[:-1]
+            starts = textcore.distinct(np.concatenate([space, border[border < len(data)]]))
             ends = np.append(starts[1:], len(data)) if len(starts) else starts
             hashes = textcore.span_hashes(data, starts, ends)
-            unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            names = unique.tolist()
+            _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            names = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            # a chunk that only hashes like its group's first one gets a place of its own
+            same = ends - starts == (ends - starts)[at][inverse]
+            index = np.int32 if len(data) < 1 << 31 else np.int64
+            place = np.repeat((starts[at][inverse] - starts).astype(index), ends - starts) + np.arange(len(data), dtype=index)
+            differs = np.flatnonzero(data != data.take(place, mode="clip"))
+            same[np.searchsorted(starts, differs, side="right") - 1] = False
+            for i in np.flatnonzero(~same).tolist():
+                inverse[i] = len(names)
+                names.append(raw[starts[i] : ends[i]])
             if len(self.known) + len(names) > max(_CACHE, len(names)):
                 self._clear()
-            missing = [i for i, h in enumerate(names) if h not in self.known]
+            missing = list(dict.fromkeys(n for n in names if n not in self.known))
             if missing:
-                raw = data.tobytes()
-                self._remember([names[i] for i in missing], [raw[starts[at[i]] : ends[at[i]]].decode() for i in missing])
-            slot = np.fromiter((self.known[h] for h in names), dtype=np.int64, count=len(names))[inverse]
+                self._remember(missing)
+            slot = np.fromiter((self.known[n] for n in names), dtype=np.int64, count=len(names))[inverse]
             sizes = self.sizes[slot]
             total = np.concatenate([[0], np.cumsum(sizes)])
             ids = self.flat[np.repeat(self.starts[slot] - total[:-1], sizes) + np.arange(total[-1])]
@@ -175,7 +191,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int, end_id: int
     return slim.mapInArrow(run, schema)
 
 
-def vector_best_fit(lengths: np.ndarray, capacities: tuple[float, float, float], weights: tuple[float, float, float] = (1.0, 0.0, 0.0), measure: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def vector_best_fit(lengths: np.ndarray, capacities: tuple[float, float, float], weights: tuple[float, float, float] = (1.0, 1.0, 1.0), measure: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each item of the given token lengths.
 
     Capacities and weights are of tokens, documents and attention cost.  An item that
@@ -214,12 +230,11 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id
     """id, piece, start, length, ids_crc32, sequence_id, offset[, ids] of each piece.
 
     ``max_documents`` and ``max_attention`` bound a sequence's pieces and the sum of
-    their squared lengths; without them only tokens bind.
+    their squared lengths; without them they are what ``capacity`` tokens can hold at most.
     """
     scratch = Scratch(documents.sparkSession, "pack")
     cut = scratch.save(pieces(documents, tokenizer_path, capacity, end_id, id_col, text_col, with_ids), "pieces")
     bounds = (float(capacity), float(max_documents or capacity), float(max_attention or capacity**2))
-    weights = (1.0, 1.0 if max_documents else 0.0, 1.0 if max_attention else 0.0)
     short = cut.filter(F.col("length") < capacity)
     groups = max(1, -(-short.count() // items_per_group))
     keyed = short.select("serial", "length", F.pmod(F.xxhash64("serial"), F.lit(groups)).alias("group"))
@@ -227,10 +242,11 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id
     def run(key: tuple, table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("serial").to_numpy())
         serial, length = (table.column(c).to_numpy()[order] for c in ("serial", "length"))
-        bins, offsets = vector_best_fit(length, bounds, weights, measure)
+        bins, offsets = vector_best_fit(length, bounds, measure=measure)
         return pa.table({"serial": serial, "sequence_id": (np.int64(key[0].as_py()) << 32) + bins, "offset": offsets})
 
-    placed = keyed.groupBy("group").applyInArrow(run, "serial long, sequence_id long, offset long")
+    # asked for by number, or small groups would be merged into a task or two
+    placed = keyed.repartition(min(groups, _MOST_TASKS), "group").groupBy("group").applyInArrow(run, "serial long, sequence_id long, offset long")
     full = cut.filter(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.col("serial"), "offset": F.lit(0).cast("long")})
     done = short.join(placed, "serial").select(*full.columns).unionByName(full)
     return done.drop("serial").withColumnRenamed("id", id_col)
