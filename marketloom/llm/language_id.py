@@ -137,7 +137,7 @@ def train(texts: list[str], langs: list[str], bits: int = 16, dim: int = 16, epo
         best = np.argsort(-p.max(1), kind="stable")
         precision = np.cumsum((p.argmax(1) == gold)[best]) / np.arange(1, len(best) + 1)
         good = np.flatnonzero(precision >= target_precision)
-        threshold = min(float(p.max(1)[best][good[-1]]), target_precision) if len(good) else 1.0
+        threshold = float(p.max(1)[best][good[-1]]) if len(good) else 1.0
     return LanguageModel(labels, table, bias, bits, temperature, threshold)
 
 
