@@ -5,7 +5,9 @@ secrets, names after a title) are found with one pattern.  Every distinct entity
 surrogate drawn by a keyed SHA-256 of its type and canonical form, so all its mentions,
 in whatever letter case or digit grouping, stay one entity.  A surrogate keeps the
 type and the format: letters stay letters of their case and script, digits stay
-digits, separators stay; names keep the gender of their title and their script.
+digits, separators stay; names keep the gender of their title and their script, phone
+numbers their country code, cards and accounts valid check digits.  A number counts as
+a card only if its check digit is right.
 
 Names: a title, further neutral titles, and any number of name words with inner capitals,
 apostrophes, hyphens, initials and particles.  Within a document a titled surname is the
@@ -22,7 +24,9 @@ Rows without entities are passed on as they are, without a shuffle; those with e
 are joined with the replacements of their own entities.
 
 Defined results: null and empty texts stay; rows with equal id and text get the same
-text; null ids and all other columns are kept.
+text; null ids and all other columns are kept, columns whose names begin with two
+underscores apart, which are used here; texts of any length are searched whole, by
+patterns whose unbounded parts need no stack; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,22 +35,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.scratch import Scratch
+from marketloom.llm.skew import spread_join
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Titles by gender: fixed words of the supported languages.
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Госпожа", "Dra", "Doctora", "Professorin")
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин")
 NEUTRAL = ("Dr", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "Professeur", "Mx", "Доктор", "Профессор")
 #: Given names by gender and script, and syllables of surnames: fixed words.
 GIVEN = {
-    ("f", "latin"): ("Anna", "Clara", "Elena", "Greta", "Irene", "Julia", "Laura", "Maria", "Nora", "Paula", "Rosa", "Sofia"),
-    ("m", "latin"): ("Adrian", "Bruno", "Daniel", "Emil", "Felix", "Hugo", "Ivan", "Leo", "Martin", "Oscar", "Pablo", "Simon"),
+    ("f", "latin"): ("Anna", "Clara", "Elena", "Greta", "Irene", "Julia", "Laura", "Maria", "Nora", "Paula", "Rosa", "Sofia", "Alma", "Berta", "Carla", "Dora", "Edith", "Flora", "Helena", "Ida", "Judith", "Lena", "Mona", "Olga"),
+    ("m", "latin"): ("Adrian", "Bruno", "Daniel", "Emil", "Felix", "Hugo", "Ivan", "Leo", "Martin", "Oscar", "Pablo", "Simon", "Anton", "Benno", "Carlos", "David", "Erik", "Frank", "Georg", "Henri", "Jakob", "Karl", "Louis", "Max"),
     ("n", "latin"): ("Alex", "Kim", "Robin", "Sascha", "Noa", "Mika", "Jona", "Charlie"),
     ("n", "cyrillic"): ("Саша", "Женя", "Валя", "Слава", "Паша", "Шура"),
     ("f", "cyrillic"): ("Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "София"),
+    ("f", "greek"): ("Άννα", "Ελένη", "Μαρία", "Σοφία", "Ειρήνη", "Δάφνη", "Ιόλη", "Ζωή"),
+    ("m", "greek"): ("Νίκος", "Γιάννης", "Πέτρος", "Μάρκος", "Αλέξης", "Στέλιος", "Ηλίας", "Λευτέρης"),
+    ("n", "greek"): ("Αντώνα", "Φώτη", "Χάρι", "Βάγια"),
     ("m", "cyrillic"): ("Антон", "Борис", "Иван", "Лев", "Марк", "Олег", "Павел", "Фёдор"),
 }
-SYLLABLES = {"latin": ("ba", "del", "kor", "lin", "mar", "nov", "per", "ros", "sen", "tal", "ver", "zan", "hal", "gro", "fen", "dor"), "cyrillic": ("бел", "вор", "гор", "дан", "кор", "лен", "мар", "нов", "пет", "сер", "тол", "чер")}
+SYLLABLES = {"latin": ("ba", "del", "kor", "lin", "mar", "nov", "per", "ros", "sen", "tal", "ver", "zan", "hal", "gro", "fen", "dor"), "cyrillic": ("бел", "вор", "гор", "дан", "кор", "лен", "мар", "нов", "пет", "сер", "тол", "чер"), "greek": ("βαλ", "γαρ", "δελ", "κορ", "λιν", "μαρ", "νικ", "περ", "ρος", "σεν", "ταλ", "φιλ")}
+#: Country calling codes: those of one digit, of two, else three.
+_COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 LETTERS = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "accent": "áàâäãéèêëíìîïñóòôöõúùûüç", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 PLAIN_ATTEMPTS = 6  # rounds of drawing in which a surrogate has the length of its entity
@@ -59,10 +70,10 @@ _TOKEN = rf"(?:(?:\p{{Lu}}\.-?)++(?=[  ]?{_PARTICLES}\p{{Lu}})|{_WORD})"
 _TITLES = "(?:" + "|".join(FEMALE + MALE + NEUTRAL) + rf"){_END}(?:(?:" + "|".join(NEUTRAL) + rf"){_END})*+"
 
 _PARTS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*(?<=\.\p{L}{2,24})",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}][\p{L}\p{N}.-]*(?<=\.\p{L}{2,24})(?![\p{L}\p{N}])",
     "secret": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|(?=[0-9]{0,63}[A-Fa-f])(?=[A-Fa-f]{0,63}[0-9])[0-9A-Fa-f]{32,64})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
+    "ip": rf"(?:(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])|(?<![0-9A-Za-z:])(?=[0-9A-Fa-f:]{{0,39}}[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:]))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
@@ -80,12 +91,18 @@ def may_hold(text: Column) -> Column:
 
 
 def kind(entity: Column) -> Column:
-    """The type of a matched string; it depends on the string alone."""
+    """The type of a matched string, which depends on the string alone; null for a long number that is no card's."""
     whole = lambda name: entity.rlike("^(?:" + _PARTS[name] + ")$")
     out = F.when(entity.contains("@"), "email")
-    for name in ("secret", "iban", "ip", "ssn", "phone", "card"):
+    for name in ("secret", "iban", "ip", "ssn", "phone"):
         out = out.when(whole(name), name)
-    return out.otherwise("name")
+    card = F.when(_checks(F.regexp_replace(entity, "[^0-9]", "")), "card")
+    return out.when(whole("card"), card).otherwise("name")
+
+
+def _checks(digits: Column) -> Column:
+    """Whether the last digit is right (Luhn)."""
+    return F.call_function("luhn_check", digits)
 
 
 def gender(entity: Column) -> Column:
@@ -112,7 +129,8 @@ def canonical(entity: Column, of: Column) -> Column:
     """What all mentions of one entity share."""
     digits = F.regexp_replace(entity, "[^0-9]", "")
     name = F.concat(gender(entity), F.lit(":"), body(entity))
-    return F.when(of.isin("phone", "card", "ssn"), digits).when(of == "name", name).when(of == "iban", F.regexp_replace(entity, " ", "")).otherwise(F.lower(entity))
+    phone = F.concat(F.when(entity.startswith("+"), "+").otherwise(""), digits)
+    return F.when(of == "phone", phone).when(of.isin("card", "ssn"), digits).when(of == "name", name).when(of == "iban", F.regexp_replace(entity, " ", "")).otherwise(F.lower(entity))
 
 
 def _pick(choices: tuple[str, ...] | str, draw: Column, salt) -> Column:
@@ -134,9 +152,35 @@ def _mapped(value: Column, draw: Column, fixed: int = 0, hexadecimal: bool = Fal
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def _card(value: Column, draw: Column) -> Column:
+    """Digits after the first drawn, the last one by Luhn."""
+    drawn = _mapped(value, draw, fixed=1)
+    front = drawn.substr(F.lit(1), F.length(drawn) - 1)
+    return F.concat(front, F.get(F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: _checks(F.concat(front, d))), F.lit(0)))
+
+
+def _iban(value: Column, draw: Column) -> Column:
+    """The country's letters, check digits modulo 97, and the rest drawn."""
+    country, rest = F.substring(value, 1, 2), _mapped(value.substr(F.lit(5), F.length(value)), draw)
+    step = lambda s, c: F.when(c.rlike("[0-9]"), s * 10 + F.ascii(c) - 48).otherwise(s * 100 + F.ascii(c) - 55) % 97
+    left = F.aggregate(F.split(F.concat(rest, country, F.lit("00")), ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise(step(s, c)))
+    return F.concat(country, F.lpad((98 - left).cast("string"), 2, "0"), rest)
+
+
+def _phone(value: Column, draw: Column) -> Column:
+    """The country code, or the first digit, and the rest drawn."""
+    code = F.regexp_extract(value, _COUNTRY, 0)
+    code = F.when(code == "", F.substring(value, 1, 1)).otherwise(code)
+    return F.concat(code, _mapped(value.substr(F.length(code) + 1, F.length(value)), draw))
+
+
 def surrogate(of: Column, value: Column, key: Column, attempt: Column) -> Column:
-    """The canonical surrogate of a canonical entity."""
-    draw = F.sha2(F.concat_ws("|", key, of, value, attempt.cast("string")), 256)
+    """The canonical surrogate of a canonical entity; the hash behind it is taken once."""
+    drawn = F.array(F.sha2(F.concat_ws("|", key, of, value, attempt.cast("string")), 256))
+    return F.get(F.transform(drawn, lambda draw: _surrogate(of, value, draw, attempt)), F.lit(0))
+
+
+def _surrogate(of: Column, value: Column, draw: Column, attempt: Column) -> Column:
     tail = lambda choices, n=8: F.when(attempt >= PLAIN_ATTEMPTS, F.concat(*[_pick(choices, draw, f"t{i}") for i in range(n)])).otherwise("")
     digits = tail("0123456789")
     octets = [(F.pmod(F.xxhash64(draw, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)]
@@ -150,17 +194,20 @@ def surrogate(of: Column, value: Column, key: Column, attempt: Column) -> Column
         full = F.concat(_pick(given, draw, "g"), F.lit(" "), F.initcap(F.concat(*parts)))
         single = F.initcap(F.concat(*parts))
         whole = F.concat(F.lit(f"{g}:"), F.when(alone(value.substr(F.lit(3), F.length(value))), single).otherwise(full))
-        test = value.startswith(f"{g}:") & (value.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~value.rlike(r"\p{IsCyrillic}"))
+        written = {"cyrillic": value.rlike(r"\p{IsCyrillic}"), "greek": value.rlike(r"\p{IsGreek}"), "latin": ~value.rlike(r"[\p{IsCyrillic}\p{IsGreek}]")}
+        test = value.startswith(f"{g}:") & written[script]
         name = F.when(test, whole) if name is None else name.when(test, whole)
     prefix = F.when(value.rlike("^(akia|ghp_)"), 4).when(value.rlike("^sk-"), 3).otherwise(0)
     plain = F.when(prefix > 0, F.concat(F.substring(value, 1, 4), _mapped(value.substr(F.lit(5), F.length(value)), draw))).otherwise(_mapped(value, draw, hexadecimal=True))
     plain = F.concat(plain, tail("0123456789abcdef"))
-    return (F.when(of == "email", email).when(of == "ip", F.concat_ws(".", *octets)).when(of == "secret", plain)
-            .when(of == "name", name).when(of == "iban", F.concat(_mapped(value, draw, fixed=2), digits)).otherwise(F.concat(_mapped(value, draw, fixed=1), digits)))
+    ip = F.when(value.contains(":"), _mapped(value, draw, hexadecimal=True)).otherwise(F.concat_ws(".", *octets))
+    return (F.when(of == "email", email).when(of == "ip", ip).when(of == "secret", plain).when(of == "name", name).when(of == "iban", F.concat(_iban(value, draw), digits))
+            .when(of == "card", F.concat(_card(value, draw), digits)).when(of == "phone", F.concat(_phone(value, draw), digits)).otherwise(F.concat(_mapped(value, draw, fixed=1), digits)))
 
 
 def rendered(entity: Column, of: Column, made: Column) -> Column:
     """A canonical surrogate in the format of one mention."""
+    made = F.when(of == "phone", F.ltrim(made, F.lit("+"))).otherwise(made)
     spread = lambda pattern: F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike(pattern), made.substr(F.length(F.regexp_replace(entity.substr(F.lit(1), i + 1), f"(?!{pattern}).", "")), F.lit(1))).otherwise(c)), "")
     rest = lambda pattern: made.substr(F.length(F.regexp_replace(entity, f"(?!{pattern}).", "")) + 1, F.length(made))
     title = F.regexp_extract(entity, f"^({_TITLES})", 1)
@@ -220,7 +267,7 @@ def pseudonymise(documents: DataFrame, key: str, id_col: str = "doc_id", text_co
     touched = documents.filter(has)
     mentions = scratch.save(touched.select(row_key.alias("__key"), F.explode(F.array_distinct(all_found())).alias("entity")).distinct(), "mentions")
     # written out step by step, so that no expression holds copies of the one before
-    typed = scratch.save(mentions.select("entity").distinct().withColumn("kind", kind(F.col("entity"))), "kinds")
+    typed = scratch.save(mentions.select("entity").distinct().withColumn("kind", kind(F.col("entity"))).filter("kind is not null"), "kinds")
     typed = scratch.save(typed.withColumn("value", canonical(F.col("entity"), F.col("kind"))), "typed")
     people = scratch.save(persons(mentions.join(typed.filter("kind = 'name'").select("entity"), "entity")), "people")
     plain = typed.filter("kind != 'name'")
@@ -237,14 +284,16 @@ def pseudonymise(documents: DataFrame, key: str, id_col: str = "doc_id", text_co
     word = F.concat(F.lit("\\Q"), F.col("entity"), F.lit("\\E"))
     longest = F.transform(F.array_sort(F.collect_list(F.struct((-F.length("entity")).alias("n"), word.alias("w")))), lambda x: x["w"])
     untitled = later.groupBy("__key").agg(F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])")).alias("__pattern"))
-    new = mentions.join(replaced, "entity").select("__key", "entity", "new").union(titled).union(later)
+    new = spread_join(mentions, replaced, "entity").select("__key", "entity", "new").union(titled).union(later)
     maps = new.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("__map")).join(untitled, "__key", "left")
-    joined = touched.withColumn("__key", row_key).join(maps, "__key")
+    joined = touched.withColumn("__key", row_key).join(maps, "__key", "left")
     # the constant pattern is compiled once, a document's own one for the document
     own = lambda f: F.when(F.col("__pattern").isNull(), f(F.lit(PATTERN))).otherwise(f(F.col("__pattern")))
     joined = joined.withColumns({"__parts": own(lambda p: F.split(text, p, -1)), "__found": own(lambda p: F.regexp_extract_all(text, p, F.lit(0)))})
-    pieces = F.transform(F.col("__parts"), lambda part, i: F.concat(part, F.coalesce(F.element_at(F.col("__map"), F.get(F.col("__found"), i)), F.lit(""))))
-    added = {found_col: F.size("__found").cast("long")} if found_col else {}
+    shown_as = lambda i: F.coalesce(F.element_at(F.col("__map"), F.get(F.col("__found"), i)), F.get(F.col("__found"), i), F.lit(""))
+    pieces = F.transform(F.col("__parts"), lambda part, i: F.concat(part, shown_as(i)))
+    replaced_ones = F.filter("__found", lambda x: F.element_at(F.col("__map"), x).isNotNull())
+    added = {found_col: F.greatest(F.size(replaced_ones), F.lit(0)).cast("long")} if found_col else {}
     changed = joined.withColumns({**added, text_col: F.array_join(pieces, "")}).drop("__key", "__map", "__pattern", "__parts", "__found")
     same = documents.filter(~has)
     if found_col:

@@ -9,7 +9,9 @@ rows.  Rows with a null key, which meet nothing, are spread as well.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +23,12 @@ def _hashable(kind: T.DataType) -> bool:
     return "map<" not in kind.simpleString() and "variant" not in kind.simpleString()
 
 
+def _literal(value: Any, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind])
+    return F.lit(bytes(value) if isinstance(value, bytearray) else value).cast(kind)
+
+
 def spread_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``left.join(right, keys, how)`` (inner, left, left_semi) with the hot keys of ``left`` spread over tasks.
 
@@ -35,14 +43,15 @@ def spread_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: s
     hot = [(*(r[k] for k in keys), -(-int(r["n"]) // int(bound))) for r in top if r["n"] > bound]
     if not hot:
         return left.join(right, keys, how)
-    fields = [T.StructField(f"__{k}", left.schema[k].dataType) for k in keys]
-    table = F.broadcast(left.sparkSession.createDataFrame(hot, T.StructType([*fields, T.StructField("__copies", T.IntegerType())])))
+    names = [f"__{k}" for k in keys]
+    rows = [F.struct(*[_literal(v, left.schema[k].dataType).alias(n) for v, k, n in zip(r, keys, names, strict=False)], F.lit(r[-1]).alias("__copies")) for r in hot]
+    table = F.broadcast(left.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*rows))))
 
     def counted(frame: DataFrame) -> DataFrame:
         same = F.lit(True)
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-        return frame.join(table, same, "left").drop(*(f.name for f in fields))
+        return frame.join(table, same, "left").drop(*names)
 
     draw = F.xxhash64(*[F.col(f"`{f.name}`") for f in left.schema if _hashable(f.dataType)])
     salted = counted(left).withColumn("__salt", F.coalesce(F.when(F.col("__copies").isNotNull(), F.pmod(draw, F.col("__copies"))), F.lit(0)).cast("int")).drop("__copies")

@@ -190,6 +190,25 @@ def test_names_as_written(spark):
     assert {r.doc_id: r.n for r in rows} == {0: 3, 1: 2, 2: 3, 3: 4, 4: 0, 5: 3}
 
 
+def test_surrogates_keep_checks(spark):
+    """Country codes, check digits and script stay; long addresses do not end the job; other numbers stay in clear."""
+    long = "x@" + "a." * 300_000
+    texts = ["+44 20 7946 0958 and +49 30 123456", "4785380592391139 or 5731080387325255", "DE89 3704 0044 0532 0130 00", "2001:db8::ff00:42:8329 std::move 12:30:45", "Mrs Ελένη Παππά", long + "com", long + "1", "see a.b@mail.example.com."]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k", found_col="n").collect()
+    got, n = {r.doc_id: r.text for r in rows}, {r.doc_id: r.n for r in rows}
+    assert n == {0: 2, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 0, 7: 1}
+    assert re.fullmatch(r"\+44 \d\d \d{4} \d{4} and \+49 \d\d \d{6}", got[0]) and got[0] != texts[0]
+    card, other = got[1].split(" or ")
+    total = sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(card))))
+    assert total % 10 == 0 and card != "4785380592391139" and other == "5731080387325255"
+    plain = got[2].replace(" ", "")
+    assert plain[:2] == "DE" and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4} std::move 12:30:45", got[3]) and "8329" not in got[3]
+    assert re.fullmatch(r"Mrs [\u0370-\u03ff]+ [\u0370-\u03ff]+", got[4]) and "Παππά" not in got[4]
+    assert len(got[5]) == len(texts[5]) != 0 and got[5] != texts[5] and got[6] == texts[6]
+    assert re.fullmatch(r"see [a-z]\.[a-z]@[a-z]{4}\.[a-z]{7}\.com\.", got[7])
+
+
 def test_surrogates_stay_distinct(spark):
     """Entities outnumber what a short format can hold apart by chance."""
     from marketloom.llm.scratch import Scratch
