@@ -13,11 +13,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_roots: list[str] = []  # of the operators run so far
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of this process where it is unset, as in tests."""
+    """The session's spark.checkpoint.dir; where it is unset, a folder of this process on a local master, else an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="marketloom-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -30,6 +34,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        _roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -40,5 +45,15 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Remove a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path(name))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this process; results not yet read or written become unreadable."""
+    while _roots:
+        _delete(spark, _roots.pop())
