@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.scratch import Scratch
 
 BLOCK = 400
-DEGREE = 40
+DEGREE = 32
 
 
 def directions(vectors: np.ndarray) -> np.ndarray:
@@ -304,7 +304,7 @@ def search(queries: DataFrame, graph: DataFrame, coded: DataFrame, scratch: Scra
     return reduce(DataFrame.union, ended, state).select("query", "nodes", "scores")
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, degree: int = DEGREE, delta: float = 0.02, beam: int = 400, expand: int = 200, rescore: int = 30, trees: int = 3, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, degree: int = DEGREE, delta: float = 0.05, beam: int = 400, expand: int = 200, rescore: int = 30, trees: int = 3, seed: int = 11) -> DataFrame:
     """query_id, rank, id and score of the ``k`` nearest rows of each query row."""
     scratch = Scratch(vectors.sparkSession, "ann")
     rows = vectors.filter(usable(vector_col) & F.col(id_col).isNotNull())
