@@ -27,8 +27,8 @@ class Frame:
     def drop(self, *names: str) -> Frame:
         return Frame(self.df.drop(*names), self.ts, self.series)
 
-    def ewma(self, x: Column, alpha: float, out: str, mean_start: int | None = None, least: int = 1) -> Frame:
-        return Frame(S.ewma(self.df, x, alpha, self.series, self.ts, out, mean_start, least), self.ts, self.series)
+    def ewma(self, x: Column, alpha: float, out: str, mean_start: int | None = None, least: int = 1, skip: int = 0) -> Frame:
+        return Frame(S.ewma(self.df, x, alpha, self.series, self.ts, out, mean_start, least, skip), self.ts, self.series)
 
     def mean(self, x: Column, n: int, least: int | None = None) -> Column:
         return S.rolling(F.avg, x, self.w, n, least)
@@ -79,10 +79,14 @@ def adx(f: Frame, adx_window: int, di_window: int) -> Frame:
 
 
 def macd(f: Frame, fast: int, slow: int, signal: int) -> Frame:
-    """EMAs start at the mean of their first values; the fast one starts with the slow one."""
-    g = f.ewma(F.col("close"), 2 / (fast + 1), "__f", mean_start=fast).ewma(F.col("close"), 2 / (slow + 1), "__s", mean_start=slow)
-    g = g.add(macd=F.col("__f") - F.col("__s")).ewma(F.col("macd"), 2 / (signal + 1), "macd_signal", mean_start=signal)
-    return g.add(macd_hist=F.col("macd") - F.col("macd_signal")).drop("__f", "__s")
+    """EMAs start at means; the fast one on the rows just before the slow one's first value.
+
+    All three columns begin where the signal does.
+    """
+    g = f.ewma(F.col("close"), 2 / (fast + 1), "__f", mean_start=fast, skip=max(0, slow - fast)).ewma(F.col("close"), 2 / (slow + 1), "__s", mean_start=slow)
+    g = g.add(__m=F.col("__f") - F.col("__s")).ewma(F.col("__m"), 2 / (signal + 1), "macd_signal", mean_start=signal)
+    shown = F.when(F.col("macd_signal").isNotNull(), F.col("__m"))
+    return g.add(macd=shown, macd_hist=F.col("__m") - F.col("macd_signal")).drop("__f", "__s", "__m")
 
 
 def sar_values(rows: Iterator[tuple[float, float]], acceleration: float, maximum: float) -> Iterator[float | None]:

@@ -98,10 +98,13 @@ def asof_backward(left: DataFrame, right: DataFrame, ts: str, values: list[str],
     return tagged.withColumns({c: S.ffill(F.col(c), w) for c in values}).filter("__left = 1").drop("__left")
 
 
-def combine(book_long: DataFrame, klines: DataFrame, metrics: DataFrame, step: int, metrics_step: int | None = None, bands: tuple[int, ...] = BANDS) -> DataFrame:
-    """Order book, candles and metrics on one grid: two left joins on the book's times."""
+def combine(book_long: DataFrame, klines: DataFrame, metrics: DataFrame, step: int, metrics_step: int | None = None, bands: tuple[int, ...] = BANDS, check: bool = True) -> DataFrame:
+    """Order book, candles and metrics of one symbol on one grid: two left joins on the book's times.
+
+    A repeated (time, band) of the book raises; ``check=False`` spares that pass.
+    """
     dense = carry_forward(extend_metrics(metrics.drop("symbol"), metrics_step or step))
-    book = interpolate_to_grid(pivot_book(book_long, bands=bands, check=False), "timestamp", step)
+    book = interpolate_to_grid(pivot_book(book_long, bands=bands, check=check), "timestamp", step)
     klines = align_by_time(klines.drop("ignore"), book, "open_time", "timestamp")
     dense = align_by_time(dense, book, "create_time", "timestamp")
     both = book.join(klines, book["timestamp"] == klines["open_time"], "left")

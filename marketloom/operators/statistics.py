@@ -173,17 +173,24 @@ def _regress(m: np.ndarray, target: int, on: list[int]) -> tuple[np.ndarray, flo
 
 
 def granger(df: DataFrame, cause: str, effect: str, ts: str, lags: int) -> DataFrame:
-    """(lag, f, p, n) for each number of lags: does the past of ``cause`` help to explain ``effect``?"""
+    """(cause, effect, lag, f, p, chi2, p_chi2, lr, p_lr, n) in both directions for each number of lags.
+
+    Does the past of ``cause`` help to explain ``effect``?  F, chi-squared and
+    likelihood-ratio tests of the regressions with and without it.
+    """
     rows = []
     for lag in range(1, lags + 1):
         m, n = _cross_products(df, [effect, cause], ts, lag)
-        own = [0] + [3 + 2 * k for k in range(lag)]
-        full = own + [4 + 2 * k for k in range(lag)]
-        small, large = _regress(m, 1, own)[1], _regress(m, 1, full)[1]
-        free = n - len(full)
-        f = ((small - large) / lag) / (large / free)
-        rows.append((lag, f, D.f_sf(f, lag, free), n))
-    return df.sparkSession.createDataFrame(rows, "lag int, f double, p double, n long")
+        past = {effect: [3 + 2 * k for k in range(lag)], cause: [4 + 2 * k for k in range(lag)]}
+        for target, (x, y) in enumerate(((cause, effect), (effect, cause)), start=1):
+            own = [0, *past[y]]
+            full = own + past[x]
+            small, large = _regress(m, target, own)[1], _regress(m, target, full)[1]
+            free = n - len(full)
+            f = ((small - large) / lag) / (large / free)
+            chi2, lr = float(n * (small - large) / large), float(n * np.log(small / large))
+            rows.append((x, y, lag, float(f), D.f_sf(f, lag, free), chi2, D.chi2_sf(chi2, lag), lr, D.chi2_sf(lr, lag), n))
+    return df.sparkSession.createDataFrame(rows, "cause string, effect string, lag int, f double, p double, chi2 double, p_chi2 double, lr double, p_lr double, n long")
 
 
 def var_model(df: DataFrame, columns: list[str], ts: str, lags: int) -> dict[str, np.ndarray]:

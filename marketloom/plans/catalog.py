@@ -438,10 +438,10 @@ def indicators_wilder(spark, sf_dir):
     return made.select("open_time", "ATR", "adx_pos", "adx_neg", "adx")
 
 
-_MACD = f"{_P}, cl AS (SELECT i, close AS x FROM p), {seeded('ef', 'cl', 2 / 13, 12)}, {seeded('es', 'cl', 2 / 27, 26)}, mc AS (SELECT row_number() OVER (ORDER BY ef.i) AS i, ef.i AS at, ef.y - es.y AS x FROM ef JOIN es ON ef.i = es.i), {seeded('sg', 'mc', 2 / 10, 9)}"
+_MACD = f"{_P}, cl AS (SELECT i, close AS x FROM p), {recursive('ef', 'cl', 2 / 13, '(SELECT avg(x) FROM cl WHERE i BETWEEN 15 AND 26)', 26)}, {seeded('es', 'cl', 2 / 27, 26)}, mc AS (SELECT row_number() OVER (ORDER BY ef.i) AS i, ef.i AS at, ef.y - es.y AS x FROM ef JOIN es ON ef.i = es.i), {seeded('sg', 'mc', 2 / 10, 9)}"
 
 
-@register("indicators_macd", "SELECT open_time, mc.x AS macd, sg.y AS macd_signal, mc.x - sg.y AS macd_hist FROM p LEFT JOIN mc ON mc.at = p.i LEFT JOIN sg ON sg.i = mc.i", "open_time", "macd macd_signal macd_hist", _MACD)
+@register("indicators_macd", "SELECT open_time, CASE WHEN sg.y IS NOT NULL THEN mc.x END AS macd, sg.y AS macd_signal, mc.x - sg.y AS macd_hist FROM p LEFT JOIN mc ON mc.at = p.i LEFT JOIN sg ON sg.i = mc.i", "open_time", "macd macd_signal macd_hist", _MACD)
 def indicators_macd(spark, sf_dir):
     return indicators.add(views.klines(spark, sf_dir), [("macd", {"fast": 12, "slow": 26, "signal": 9})]).select("open_time", "macd", "macd_signal", "macd_hist")
 
@@ -513,9 +513,13 @@ def label_probabilities(spark, sf_dir):
     return full.select("timestamp", *[F.col("probs_1")[i].alias(f"p{i}") for i in range(5)])
 
 
-@register("label_table", "SELECT timestamp, label_1 + 2 AS horizon_1, label_3 + 2 AS horizon_3 FROM l7 WHERE ret_3 IS NOT NULL", "timestamp horizon_1 horizon_3", "", _LABELS)
+_WEIGHED = """SELECT timestamp, label_1 + 2 AS horizon_1, label_3 + 2 AS horizon_3, CASE WHEN q200 IS NULL THEN 0.01 ELSE coalesce(least(greatest(1 / (concurrency * greatest(sigma, 1e-4)) * least(greatest(q200, 0.5), 2), 0.01), 50), 0.01) END AS sample_weight
+ FROM l7 WHERE ret_3 IS NOT NULL"""
+
+
+@register("label_table", _WEIGHED, "timestamp horizon_1 horizon_3", "sample_weight", _LABELS)
 def label_table(spark, sf_dir):
-    return _GEN.label_data(_label_input(spark, sf_dir)).drop("sample_weight")
+    return _GEN.label_data(_label_input(spark, sf_dir))
 
 
 def _grid_sql() -> str:
@@ -548,10 +552,14 @@ a3 AS (SELECT horizon, bool_and(mean > prev) AS monotonic, avg((mean - prev) / s
 a4 AS (SELECT horizon, avg(p) AS overlap FROM (SELECT l.horizon, l.label, c.label AS other, avg((l.r BETWEEN c.q01 AND c.q99)::INT) AS p FROM long l JOIN cs c ON l.horizon = c.horizon AND l.label <> c.label GROUP BY 1, 2, 3) GROUP BY 1)"""
 
 
-@register("label_quality", "SELECT * FROM a1 JOIN a2 USING (horizon) LEFT JOIN a3 USING (horizon) LEFT JOIN a4 USING (horizon)", "horizon n classes monotonic", "purity_up purity_down noise_ratio threshold_cv precision_up recall_up separation mean_cohens_d overlap", _ANALYZE)
+_SCORED = """SELECT *, CASE WHEN separation > 2 THEN 20 ELSE 0 END + CASE WHEN purity_up > 0.8 THEN 15 ELSE 0 END + CASE WHEN purity_down > 0.8 THEN 15 ELSE 0 END + CASE WHEN overlap < 0.3 THEN 20 ELSE 0 END
+ + CASE WHEN monotonic THEN 15 ELSE 0 END + CASE WHEN threshold_cv < 0.5 THEN 15 ELSE 0 END AS quality_score FROM a1 JOIN a2 USING (horizon) LEFT JOIN a3 USING (horizon) LEFT JOIN a4 USING (horizon)"""
+
+
+@register("label_quality", _SCORED, "horizon n classes monotonic quality_score", "purity_up purity_down noise_ratio threshold_cv precision_up recall_up separation mean_cohens_d overlap", _ANALYZE)
 def label_quality_query(spark, sf_dir):
     out = label_quality.analyze(_GEN.build(_label_input(spark, sf_dir)), [1, 3])
-    return out.select("horizon", "n", "classes", "monotonic", "purity_up", "purity_down", "noise_ratio", "threshold_cv", "precision_up", "recall_up", "separation", "mean_cohens_d", "overlap")
+    return out.select("horizon", "n", "classes", "monotonic", "quality_score", "purity_up", "purity_down", "noise_ratio", "threshold_cv", "precision_up", "recall_up", "separation", "mean_cohens_d", "overlap")
 
 
 @register("label_tuning")
@@ -606,10 +614,14 @@ def kendall(spark, sf_dir):
 _CLS = _LABELS + ", cl AS (SELECT label_1 + 2 AS y, x, feature FROM (SELECT label_1, unnest(['imbalance', 'sigma']) AS feature, unnest([imbalance, sigma]) AS x FROM l7 WHERE label_1 IS NOT NULL)), st AS (SELECT feature, y, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM cl GROUP BY 1, 2), gr AS (SELECT *, sum(n * m) OVER (PARTITION BY feature) / sum(n) OVER (PARTITION BY feature) AS g, sum(1.0::DOUBLE / n) OVER (PARTITION BY feature) AS inv FROM st), c1 AS (SELECT feature, sum(pow(m - g, 2) / inv) / sum(n * (v + pow(m - g, 2))) AS balanced_ratio FROM gr GROUP BY 1), c2 AS (SELECT feature, abs(avg(x) FILTER (WHERE y <> 2) - avg(x) FILTER (WHERE y = 2)) / sqrt((var_pop(x) FILTER (WHERE y <> 2) + var_pop(x) FILTER (WHERE y = 2)) / 2) AS class_separation FROM cl GROUP BY 1), c3 AS (SELECT a.feature, avg(abs(a.m - b.m) / nullif(sqrt((a.v + b.v) / 2), 0)) AS pairwise_separation FROM st a JOIN st b ON a.feature = b.feature AND a.y < b.y GROUP BY 1), c4 AS (SELECT feature, (sum(CASE WHEN y IN (0, 4) THEN rk END) - count(*) FILTER (WHERE y IN (0, 4)) * (count(*) FILTER (WHERE y IN (0, 4)) + 1) / 2.0) / (count(*) FILTER (WHERE y IN (0, 4))::DOUBLE * count(*) FILTER (WHERE y NOT IN (0, 4))) AS extreme_auc FROM (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rk FROM cl) GROUP BY 1)"
 
 
-@register("class_scores", "SELECT * FROM c1 JOIN c2 USING (feature) JOIN c3 USING (feature) JOIN c4 USING (feature)", "feature", "balanced_ratio class_separation pairwise_separation extreme_auc", _CLS)
+_TIERS = """SELECT *, CASE WHEN pairwise_separation > 0.45 THEN 'strong' WHEN pairwise_separation >= 0.25 THEN 'good' WHEN pairwise_separation >= 0.1 THEN 'weak' ELSE 'noise' END AS tier,
+ extreme_auc > 0.7 AND class_separation > 0.3 AS extreme_specialist FROM c1 JOIN c2 USING (feature) JOIN c3 USING (feature) JOIN c4 USING (feature)"""
+
+
+@register("class_scores", _TIERS, "feature tier extreme_specialist", "balanced_ratio class_separation pairwise_separation extreme_auc", _CLS)
 def class_scores(spark, sf_dir):
     full = _GEN.build(_label_input(spark, sf_dir)).withColumn("y", F.col("label_1") + 2)
-    return feature_quality.tiers(feature_quality.class_scores(full, ["imbalance", "sigma"], "y")).drop("tier", "extreme_specialist")
+    return feature_quality.tiers(feature_quality.class_scores(full, ["imbalance", "sigma"], "y"))
 
 
 @register("outliers", "SELECT 'r' AS feature, b.lo AS low, b.hi AS high, count(*) FILTER (WHERE r < b.lo) AS n_low, count(*) FILTER (WHERE r > b.hi) AS n_high, 100.0 * count(*) FILTER (WHERE r < b.lo OR r > b.hi) / count(*) AS pct, min(r) AS min, max(r) AS max FROM rets, (SELECT quantile_cont(r, 0.25) - 1.5 * (quantile_cont(r, 0.75) - quantile_cont(r, 0.25)) AS lo, quantile_cont(r, 0.75) + 1.5 * (quantile_cont(r, 0.75) - quantile_cont(r, 0.25)) AS hi FROM rets) b GROUP BY b.lo, b.hi", "feature n_low n_high", "low high pct min max", _RET)

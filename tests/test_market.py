@@ -234,3 +234,61 @@ def test_entry_without_the_subpackage():
     from conftest import ROOT
 
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, timeout=60).returncode == 0
+
+
+def test_macd_seeds(spark):
+    """The fast average starts on the rows before the slow one's first value, and nothing shows before the signal."""
+    from marketloom.operators import indicators
+
+    x = [10.0, 11.0, 13.0, 12.0, 15.0, 14.0, 18.0, 17.0]
+    rows = [(i, v, v, v, v, 1.0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "open_time long, open double, high double, low double, close double, volume double")
+    got = {r.open_time: (r.macd, r.macd_signal, r.macd_hist) for r in indicators.add(df, [("macd", {"fast": 2, "slow": 4, "signal": 3})]).collect()}
+    fast, slow, line = (x[2] + x[3]) / 2, sum(x[:4]) / 4, {}
+    for i in range(3, 8):
+        if i > 3:
+            fast, slow = fast + 2 / 3 * (x[i] - fast), slow + 2 / 5 * (x[i] - slow)
+        line[i] = fast - slow
+    signal = (line[3] + line[4] + line[5]) / 3
+    for i in range(8):
+        if i < 5:
+            assert got[i] == (None, None, None)
+            continue
+        signal = signal if i == 5 else signal + 0.5 * (line[i] - signal)
+        assert got[i] == pytest.approx((line[i], signal, line[i] - signal))
+
+
+def test_ewma_blocks(spark):
+    """Vectorised blocks against the plain recursion: two series, gaps, skipped and seeding values, long runs."""
+    import random
+
+    from marketloom.functions import series as S
+
+    rng = random.Random(3)
+    rows = [(s, t, None if rng.random() < 0.1 else rng.uniform(-5, 5)) for s in ("a", "b", None) for t in range(1500)]
+    df = spark.createDataFrame(rows, "s string, t long, x double")
+    for alpha, start, least, skip in ((0.3, None, 1, 0), (0.01, 20, 5, 0), (0.5, 3, 9, 4), (1.0, None, 1, 0)):
+        out = S.ewma(df, df.x, alpha, ["s"], "t", "y", start, least, skip).collect()
+        got = {(r.s, r.t): r.y for r in out}
+        assert len(got) == len(rows)
+        state = {}
+        for s, t, x in rows:
+            known, total, y = state.get(s, (0, 0.0, 0.0))
+            want = None
+            if x is not None:
+                known += 1
+                first = start or 1
+                if known > skip:
+                    total, y = (total + x, (total + x) / (known - skip)) if known <= skip + first else (total, (1 - alpha) * y + alpha * x)
+                want = y if known >= skip + max(first, least) else None
+                state[s] = (known, total, y)
+            assert got[s, t] == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
+def test_book_with_a_band_twice(spark):
+    from marketloom.operators import reshape
+    from marketloom.operators.validate import ValidationError
+
+    book = spark.createDataFrame([(0, 1, 1.0, 2.0), (0, 1, 3.0, 4.0)], "timestamp long, percentage int, depth double, notional double")
+    with pytest.raises(ValidationError):
+        reshape.combine(book, spark.createDataFrame([(0, 1.0)], "open_time long, close double"), spark.createDataFrame([(0, 1.0)], "create_time long, oi double"), 60_000)
