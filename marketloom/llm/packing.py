@@ -37,7 +37,7 @@ from marketloom.llm.scratch import Scratch
 ITEMS_PER_GROUP = 8192
 _MOST_TASKS = 20_000
 _BLOCK = 2 << 20
-_CACHE = 500_000  # distinct chunks a task remembers
+_CACHE = 1_000_000  # distinct chunks a task remembers
 _RUN = 500  # chunks that one call encodes as one text
 
 _AFTER = np.ones(256, dtype=bool)  # bytes that may follow a space at which a chunk begins
@@ -77,9 +77,11 @@ class ChunkTokenizer:
     def _encoded(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The chunks in another order, all their ids in a row, and the number of each one's ids."""
         texts = [(c, c.decode()) for c in chunks]
+        whole = b"".join(chunks).decode()
+        added = [a for a in self.added if a in whole]  # hardly ever one
         joined, apart = [], []
         for c, t in texts:
-            (joined if t[0] == " " and not any(a in t for a in self.added) else apart).append((c, t))
+            (apart if t[0] != " " or added and any(a in t for a in added) else joined).append((c, t))
         runs = [joined[i : i + _RUN] for i in range(0, len(joined), _RUN)]
         ids, sizes = [], []
         for run, made in zip(runs, self._ids(["".join(t for _, t in run) for run in runs]), strict=True):
