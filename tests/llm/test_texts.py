@@ -212,6 +212,105 @@ def test_decontamination(spark, bound):
     assert decontaminate.contamination(frame(spark, rows).limit(0), benchmark).count() == 0
 
 
+def plain_contamination(rows, items, least=5, share=0.5):
+    """Every text tiled with every item, word by word."""
+    import re
+
+    def split(text):
+        text = re.sub(r"([\u4e00-\u9fff\u3040-\u30ff])", r" \1 ", (text or "").lower())
+        return [code.setdefault(w, len(code)) for w in re.findall(r"[^\W_]+", text)]
+
+    code: dict[str, int] = {}
+    out = []
+    for d, t in rows:
+        for i, x in items:
+            p, w = split(x), split(t)
+            if p and w:
+                covered = sum(n for _, _, n in decontaminate.tiles(p, w, min(least, len(p))))
+                if covered >= share * len(p):
+                    out.append((d, i, covered, len(p)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_decontamination_by_brute_force(spark, bound):
+    """Both ways of meeting the benchmark: typographic marks, scripts without spaces, null and repeated ids, clean ones among them."""
+    rng = random.Random(12)
+    items = [(i, words(rng, 30, 60)) for i in range(6)] + [(6, "foo \u2014 bar"), (7, "\u201cThe quick\u201d brown fox\u2019s jump over lazy dogs"), (8, "天気がとても良いので散歩に行きました"), (2, words(rng, 12, 60)), (None, "one two three four five six")]
+    rows = []
+    for i in range(40):  # pieces of items, reordered, among words of the same small vocabulary
+        w = items[rng.randrange(6)][1].split()
+        a = rng.randrange(5, 25)
+        rows.append((i % 9, " ".join(words(rng, 10, 60).split() + w[a:] + ["gap"] + w[: rng.randrange(a)])))
+    rows += [(5, "a clean row with that id"), (None, "clean and without an id"), (None, items[0][1]), (None, items[0][1]), (60, "see foo - bar there"), (61, "THE quick brown fox's jump, over \u2018lazy\u2019 dogs."), (62, "今日は天気がとても良いので散歩に行きました。"), (63, None), (64, ""), (65, items[10][1])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(frame(spark, rows), benchmark, broadcast_words=bound)
+    want = plain_contamination(rows, items)
+    assert sorted(((r.doc_id, r.item_id, r.covered, r.item_words) for r in got.collect()), key=str) == want
+    assert {6, 7, 8} <= {i for _, i, _, _ in want}
+    bad = {t for d, t in rows for x in want if x[0] == d and plain_contamination([(d, t)], items)}
+    kept = decontaminate.remove_contaminated(frame(spark, rows), benchmark, broadcast_words=bound).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(((d, t) for d, t in rows if t not in bad), key=str)
+
+
+def test_hashes_of_alike_words(spark):
+    """Words on which hashes modulo a power of two collide stay different: in word hashes, sets and links."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    for x, y in ((a, b), (a * 3, b * 3)):  # the longer ones are hashed one by one
+        hashes, _ = textcore.words(*textcore.string_bytes(pa.array([f"{x} {y}"])))
+        assert len(set(hashes.tolist())) == 2
+    got = near_dedup.near_duplicates(frame(spark, [(1, a), (2, b), (3, "x " + a)])).collect()
+    assert all(r.kept for r in got)
+
+
+def test_near_copies_without_ids(spark):
+    """Classes known by rows without ids alone link to others, and one row of a group stays."""
+    rng = random.Random(13)
+    w = words(rng, 100, 5000).split()
+    near = " ".join(w[:50] + ["other"] + w[51:])
+    lone = words(rng, 30, 5000)
+    rows = [(7, " ".join(w)), (None, near), (None, near), (None, lone), (None, lone), (None, None), (8, "")]
+    got = near_dedup.near_duplicates(frame(spark, rows), k=5).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == sorted(
+        [("7", "7", True), ("None", "7", False), ("None", "7", False), ("None", "None", True), ("None", "None", True), ("None", "None", True), ("8", "8", True)])
+    left = near_dedup.survivors(frame(spark, rows), k=5).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in left) == sorted([("7", rows[0][1]), ("None", lone), ("None", ""), ("8", "")])
+
+
+def test_spread_join(spark, monkeypatch):
+    """Hot and null keys are dealt to salts; the rows are those of a plain join."""
+    from marketloom.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST", 5)
+    monkeypatch.setattr(skew, "_MOST_KEYS", 10)
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(200)] + [(i, None) for i in range(200, 260)], "i long, k string")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), (None, 4)], "k string, v int")
+    for how in ("inner", "left", "left_semi"):
+        made = skew.spread_join(left, right, "k", how)
+        plain = left.join(right, "k", how)
+        assert made.columns == plain.columns
+        assert sorted(map(str, made.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_language_rejects(spark):
+    """Scores follow accuracy, and the accepted predictions reach the target on texts not seen."""
+    rng = random.Random(14)
+    common = ["la", "de", "re", "no", "ta", "mi"]
+    own = {"aa": ["zul", "kom"], "bb": ["ñez", "que"]}
+    make = lambda lang, n, share: " ".join("".join(rng.choice(own[lang] if rng.random() < share else common) for _ in range(2)) for _ in range(n))
+    rows = [("aa" if i % 2 else "bb", rng.randrange(1, 12)) for i in range(900)]
+    texts = [make(lang, n, 0.25) for lang, n in rows]
+    model = language_id.train(texts[:600], [r[0] for r in rows[:600]], bits=12, target_precision=0.97)
+    got = [r for r in language_id.identify(frame(spark, list(enumerate(texts[600:]))), model).collect()]
+    right = {r.doc_id: r.lang_pred == rows[600 + r.doc_id][0] for r in got}
+    accepted = [right[r.doc_id] for r in got if r.accepted]
+    assert 0 < len(accepted) < len(got) and np.mean(accepted) >= 0.9 > np.mean([right[r.doc_id] for r in got if not r.accepted])
+    assert abs(np.mean([r.score for r in got]) - np.mean(list(right.values()))) < 0.08
+
+
 def test_whole_tables_at_small_scale(spark):
     """The registered queries and their SQL give the same rows."""
     import duckdb
