@@ -40,6 +40,24 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     return full.withColumns({"iqr": F.col("q75") - F.col("q25"), "range": F.col("max") - F.col("min"), "cv": S.ratio(F.col("std"), F.abs("mean")), "missing_pct": F.col("missing") / F.col("rows") * 100, "zero_pct": F.col("zeros") / F.col("n") * 100}).drop("q", "__s", "__k")
 
 
+def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, dtype, count, missing, missing_pct, ...): the missing share is of the known values, 0 without any."""
+    types = dict(df.dtypes)
+    dtype = F.create_map(*[F.lit(x) for c in columns for x in (c, types[c])])[F.col("feature")]
+    pct = F.when(F.col("n") > 0, F.col("missing") / F.col("n") * 100).otherwise(0.0)
+    return describe(df, columns).select(
+        "feature", dtype.alias("dtype"), F.col("n").alias("count"), "missing", pct.alias("missing_pct"), "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+def class_quartiles(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """(feature, class, n, min, q25, q50, q75, max): the numbers behind one box a class."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(F.col(target).alias("class"), F.explode(cells).alias("c")).select("class", "c.*")
+    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    found = long.groupBy("feature", "class").agg(F.count("x").alias("n"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"))
+    return found.select("feature", "class", "n", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max")
+
+
 def missing_table(df: DataFrame) -> DataFrame:
     """(feature, missing, pct) of every column, in one pass."""
     counts = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])

@@ -28,13 +28,16 @@ def ordinal_loss(logits: str, target: str, ignore: int | None = None, pos_weight
     return _mean(loss, w)
 
 
-def focal_loss(logits: str, target: str, gamma: float = 2.0, alpha: float = 1.0, ignore: int | None = None) -> Column:
-    """Mean of alpha (1 - p)^gamma times the cross-entropy of the target class."""
+def focal_loss(logits: str, target: str, gamma: float = 2.0, alpha: float | list[float] = 1.0, ignore: int | None = None, weight: str | None = None) -> Column:
+    """Mean of alpha (1 - p)^gamma times the cross-entropy of the target class; ``alpha`` may be one a class."""
     top = F.array_max(logits)
     total = F.aggregate(F.transform(logits, lambda z: F.exp(z - top)), F.lit(0.0), lambda a, x: a + x)
     logp = F.get(F.col(logits), F.col(target)) - top - F.ln(total)
-    loss = -alpha * F.pow(1 - F.exp(logp), gamma) * logp
-    return F.avg(loss if ignore is None else F.when(F.col(target) != ignore, loss))
+    share = F.lit(float(alpha)) if isinstance(alpha, (int, float)) else F.get(F.array(*[F.lit(float(a)) for a in alpha]), F.col(target))
+    loss = -share * F.pow(1 - F.exp(logp), gamma) * logp
+    if ignore is not None:
+        loss = F.when(F.col(target) != ignore, loss)
+    return _mean(loss, None if weight is None else F.when(loss.isNotNull(), F.col(weight)))
 
 
 def quantile_loss(predictions: str, target: str, quantiles: tuple[float, ...], weight: str | None = None) -> Column:

@@ -34,6 +34,12 @@ def _with_context(df: DataFrame, context: DataFrame | None) -> DataFrame:
     return own if context is None else own.unionByName(context.withColumn("__own", F.lit(False)), allowMissingColumns=True)
 
 
+def _bounded(names, bounds: dict) -> list[tuple[str, Column]]:
+    """Each column within its learned bounds, 0 where unknown."""
+    value = lambda n: S.clip(F.col(n), *bounds[n]) if n in bounds else F.col(n)
+    return [(n, F.coalesce(value(n), F.lit(0.0))) for n in names]
+
+
 @dataclass
 class OHLCVNormalizer:
     """Relative, lagged and rolling-z features of candles."""
@@ -48,6 +54,7 @@ class OHLCVNormalizer:
     series: list[str] = field(default_factory=list)
     bounds: dict[str, tuple[float, float]] = field(default_factory=dict)
 
+    LEARNED = ("bounds",)
     SNAPSHOT = ("open_rel_prev", "high_rel_prev", "low_rel_prev", "close_rel_prev", "body_rel_open", "wick_top_rel_open", "wick_bot_rel_open", "hl_range_rel", "true_range_rel")
 
     def raw_features(self, partition: list[str] | None = None) -> dict[str, Column]:
@@ -101,6 +108,10 @@ class OHLCVNormalizer:
             self.bounds = quantile_bounds(self.features(df), [f"{n}_z" for n in self.feature_names()], *self.clip)
         return self
 
+    def outputs(self) -> list[tuple[str, Column]]:
+        """(name, column) of each output over the columns of ``features``."""
+        return _bounded(self.output_names(), self.bounds)
+
     def transform(self, df: DataFrame, context: DataFrame | None = None, step: int | None = None) -> DataFrame:
         """Series keys, time and output features, clipped, 0 where unknown.
 
@@ -109,8 +120,7 @@ class OHLCVNormalizer:
         every = _with_context(df, context)
         reach = self.window + max((*clean_lags(self.lags), 1)) + 1
         full = S.in_time_blocks(every, self.ts, step, reach, self.features, self.series) if step else self.features(every)
-        value = lambda n: S.clip(F.col(n), *self.bounds[n]) if n in self.bounds else F.col(n)
-        return full.filter("__own").select(*self.series, self.ts, *[F.coalesce(value(n), F.lit(0.0)).alias(n) for n in self.output_names()])
+        return full.filter("__own").select(*self.series, self.ts, *[x.alias(n) for n, x in self.outputs()])
 
 
 @dataclass
@@ -126,6 +136,7 @@ class MetricsNormalizer:
     scale: dict[str, tuple[float, float, float]] = field(default_factory=dict)
     bounds: dict[str, tuple[float, float]] = field(default_factory=dict)
 
+    LEARNED = ("scale", "bounds")
     RATIOS = ("count_toptrader_long_short_ratio", "sum_toptrader_long_short_ratio", "count_long_short_ratio", "sum_taker_long_short_vol_ratio")
     REQUIRED = ("count", "taker_buy_volume", "sum_open_interest", "sum_open_interest_value", *RATIOS)
     OUTPUT = ("taker_buy_volume_rel", "sum_open_interest_rel", "sum_open_interest_value_rel", "taker_buy_volume_z", "sum_open_interest_z", "sum_open_interest_value_z", "oi_value_per_contract_z", "count_z", "avg_trade_size_z", *(f"{r}_z" for r in RATIOS))
@@ -153,10 +164,12 @@ class MetricsNormalizer:
             out[f"{r}_z"] = (F.col(r) - mid) / ((high - low) or 1.0)
         return df.withColumns(out)
 
+    def outputs(self) -> list[tuple[str, Column]]:
+        return _bounded(self.OUTPUT, self.bounds)
+
     def transform(self, df: DataFrame, context: DataFrame | None = None) -> DataFrame:
         full = self.features(_with_context(df, context)).filter("__own")
-        value = lambda n: S.clip(F.col(n), *self.bounds[n]) if n in self.bounds else F.col(n)
-        return full.select(*self.series, self.ts, *[F.coalesce(value(n), F.lit(0.0)).alias(n) for n in self.OUTPUT])
+        return full.select(*self.series, self.ts, *[x.alias(n) for n, x in self.outputs()])
 
 
 def orderbook_features(df: DataFrame, bands: tuple[int, ...] = BANDS, eps: float = 1e-8, limit: float | None = None) -> DataFrame:
@@ -173,3 +186,34 @@ def orderbook_features(df: DataFrame, bands: tuple[int, ...] = BANDS, eps: float
         out |= {f"total_{kind}_bid": bid, f"total_{kind}_ask": ask, f"total_{kind}": bid + ask}
         out |= {f"{kind}_imbalance_ratio": S.ratio(bid, ask + eps), f"{kind}_imbalance_signed": S.ratio(bid - ask, bid + ask + eps)}
     return df.withColumns(out)
+
+
+@dataclass
+class OrderBookNormalizer:
+    """``orderbook_features`` as a transformer; nothing is learned, the columns are checked."""
+
+    bands: tuple[int, ...] = BANDS
+    eps: float = 1e-8
+    limit: float | None = None
+
+    LEARNED = ()
+
+    def output_names(self) -> list[str]:
+        bands = [f"{kind}_{b}_n" for kind in ("depth", "notional") for b in self.bands]
+        ends = ("total_{}_bid", "total_{}_ask", "total_{}", "{}_imbalance_ratio", "{}_imbalance_signed")
+        return bands + [e.format(kind) for kind in ("depth", "notional") for e in ends]
+
+    def fit(self, df: DataFrame) -> OrderBookNormalizer:
+        from marketloom.operators.validate import require_columns
+
+        require_columns(df, ["close", *(f"{kind}_{b}" for kind in ("depth", "notional") for b in self.bands)])
+        return self
+
+    def features(self, df: DataFrame) -> DataFrame:
+        return orderbook_features(df, tuple(self.bands), self.eps, self.limit)
+
+    def outputs(self) -> list[tuple[str, Column]]:
+        return [(n, F.col(n)) for n in self.output_names()]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.features(df)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import series as S
+from marketloom.operators.normalizers import MetricsNormalizer, OHLCVNormalizer, OrderBookNormalizer
 from marketloom.operators.validate import ValidationError, require_split_sizes
 
 
@@ -85,38 +86,89 @@ class Expression:
         return [(self.name, F.expr(self.sql))]
 
 
-PARTS = {p.__name__: p for p in (Numeric, OneHot, Expression)}
+#: Transformers by name, for pipelines that are saved and loaded; ``register_transformer`` adds to them.
+TRANSFORMERS: dict[str, type] = {"candles": OHLCVNormalizer, "metrics": MetricsNormalizer, "order_book": OrderBookNormalizer}
+
+
+def register_transformer(name: str, kind: type) -> None:
+    """Make ``kind`` available to ``Custom`` parts.
+
+    It takes its settings and what it has learned as keywords; ``fit(df)`` returns it,
+    ``features(df)`` adds columns, ``outputs()`` lists (name, column) over them, and
+    ``LEARNED`` names the attributes that ``fit`` sets, plain data that JSON can hold.
+    """
+    TRANSFORMERS[name] = kind
+
+
+@dataclass
+class Custom:
+    """A registered transformer as a part of a pipeline, saved with its settings and what it learned."""
+
+    name: str
+    settings: dict = field(default_factory=dict)
+    params: dict = field(default_factory=dict)
+
+    def _made(self):
+        return TRANSFORMERS[self.name](**self.settings, **self.params)
+
+    def fit(self, df: DataFrame) -> None:
+        made = TRANSFORMERS[self.name](**self.settings).fit(df)
+        self.params = {k: getattr(made, k) for k in made.LEARNED}
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        return self._made().features(df)
+
+    def outputs(self) -> list[tuple[str, Column]]:
+        return self._made().outputs()
+
+
+PARTS = {p.__name__: p for p in (Numeric, OneHot, Expression, Custom)}
 
 
 @dataclass
 class FeaturePipeline:
-    """Parts in order, then custom DataFrame functions; ``remainder`` keeps the other columns or drops them."""
+    """Custom DataFrame functions, then parts in order; ``remainder`` keeps the other columns or drops them.
+
+    ``keys`` (series and time, say) are handed through in front and are no features.
+    """
 
     parts: list
     remainder: str = "drop"
     custom: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
+    keys: list[str] = field(default_factory=list)
+
+    def _start(self, df: DataFrame) -> DataFrame:
+        for f in self.custom:
+            df = f(df)
+        return df
 
     def fit(self, df: DataFrame) -> FeaturePipeline:
+        start = self._start(df)
         for p in self.parts:
-            p.fit(df)
+            p.fit(start)
         return self
 
+    def feature_names(self) -> list[str]:
+        """Names of the fitted parts' outputs, in order."""
+        return [n for p in self.parts for n, _ in p.outputs()]
+
     def transform(self, df: DataFrame) -> DataFrame:
-        for f in self.custom:
-            df = f(df)
+        start = df = self._start(df)
+        for p in self.parts:
+            df = p.prepare(df) if isinstance(p, Custom) else df
         made = [x for p in self.parts for x in p.outputs()]
-        used = {c for p in self.parts for c in getattr(p, "columns", [])} | {n for n, _ in made}
-        rest = [c for c in df.columns if c not in used] if self.remainder == "passthrough" else []
-        return df.select(*[x.alias(n) for n, x in made], *rest)
+        used = {c for p in self.parts for c in getattr(p, "columns", [])} | {n for n, _ in made} | set(self.keys)
+        rest = [c for c in start.columns if c not in used] if self.remainder == "passthrough" else []
+        return df.select(*self.keys, *[x.alias(n) for n, x in made], *rest)
 
     def to_json(self) -> str:
         """Parts with fitted parameters; custom functions are code and stay out."""
-        return json.dumps({"remainder": self.remainder, "parts": [{"type": type(p).__name__, **asdict(p)} for p in self.parts]}, sort_keys=True)
+        return json.dumps({"remainder": self.remainder, "keys": self.keys, "parts": [{"type": type(p).__name__, **asdict(p)} for p in self.parts]}, sort_keys=True)
 
     @classmethod
     def from_json(cls, text: str) -> FeaturePipeline:
         data = json.loads(text)
-        return cls([PARTS[p.pop("type")](**p) for p in data["parts"]], data["remainder"])
+        return cls([PARTS[p.pop("type")](**p) for p in data["parts"]], data["remainder"], keys=data.get("keys", []))
 
 
 def time_features(df: DataFrame, ts: str) -> DataFrame:

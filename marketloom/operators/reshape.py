@@ -90,6 +90,15 @@ def align_by_time(df: DataFrame, main: DataFrame, ts: str, main_ts: str) -> Data
     return df.join(F.broadcast(first), F.col(ts) >= F.col("__first")).drop("__first")
 
 
+def sort_by_time(df: DataFrame, ts: str, ascending: bool = True, ties: list[str] | None = None) -> DataFrame:
+    """``df`` in order of time, equal times by the columns ``ties``; raises if empty or without the column."""
+    if ts not in df.columns:
+        raise ValidationError(f"no column {ts}")
+    if df.isEmpty():
+        raise ValidationError("nothing to sort")
+    return df.orderBy(*[F.col(c).asc() if ascending else F.col(c).desc() for c in (ts, *(ties or []))])
+
+
 def asof_backward(left: DataFrame, right: DataFrame, ts: str, values: list[str], series: list[str] | None = None) -> DataFrame:
     """Each left row with the latest known right values at or before its time."""
     series = series or []

@@ -27,6 +27,43 @@ def _one_row(df: DataFrame, **values) -> DataFrame:
     return df.sparkSession.createDataFrame([tuple(values.values())], schema)
 
 
+def derived_columns(df: DataFrame, ts: str, series: list[str] | None = None) -> DataFrame:
+    """Rows with a log return, the change within the bar and its spread in percent, and the calendar, all finite."""
+    at = F.timestamp_millis(ts)
+    out = {
+        "returns": S.log_return(F.col("close"), S.order(series or [], ts)),
+        "price_change_pct": S.ratio(F.col("close") - F.col("open"), F.col("open")) * 100,
+        "high_low_spread": S.ratio(F.col("high") - F.col("low"), F.col("low")) * 100,
+        "hour": F.hour(at), "day_of_week": F.weekday(at), "is_weekend": F.weekday(at).isin(5, 6)}
+    full = df.withColumns(out)
+    known = ["returns", "price_change_pct", "high_low_spread"]
+    return full.withColumns({c: S.clean(F.col(c)) for c in known}).dropna(subset=known)
+
+
+def flag_outliers(df: DataFrame, x: str, z: float = 3.0, top: float = 0.01) -> DataFrame:
+    """``df`` with ``by_z`` (over ``z`` deviations), ``by_iqr`` and ``extreme`` (the largest ``top`` share of |x|)."""
+    limits = df.agg(
+        F.avg(x).alias("__m"), F.stddev_samp(x).alias("__s"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"),
+        F.percentile(F.abs(x), F.lit(1 - top)).alias("__t"))
+    reach = 1.5 * (F.col("__q")[1] - F.col("__q")[0])
+    flags = {
+        "by_z": F.abs(F.col(x) - F.col("__m")) > z * F.col("__s"),
+        "by_iqr": (F.col(x) < F.col("__q")[0] - reach) | (F.col(x) > F.col("__q")[1] + reach),
+        "extreme": F.abs(x) > F.col("__t")}
+    flagged = {n: F.coalesce(c, F.lit(False)) for n, c in flags.items()}
+    return df.crossJoin(F.broadcast(limits)).withColumns(flagged).drop("__m", "__s", "__q", "__t")  # one row of limits
+
+
+def outlier_breakdown(df: DataFrame, x: str) -> DataFrame:
+    """(rule, n, pct, up, down): how many rows each rule of ``flag_outliers`` marks, and to which side."""
+    rules = ("by_z", "by_iqr", "extreme")
+    cells = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("hit")) for r in rules])
+    long = flag_outliers(df, x).select(F.col(x).alias("x"), F.explode(cells).alias("c")).select("x", "c.*")
+    return long.groupBy("rule").agg(
+        F.count_if("hit").alias("n"), (F.count_if("hit") / F.count(F.lit(1)) * 100).alias("pct"),
+        F.count_if(F.col("hit") & (F.col("x") > 0)).alias("up"), F.count_if(F.col("hit") & (F.col("x") < 0)).alias("down"))
+
+
 def normality(df: DataFrame, x: str) -> DataFrame:
     """Jarque-Bera and D'Agostino K2 with p-values, from moments."""
     m = df.agg(F.count(x).alias("n"), F.skewness(x).alias("s"), F.kurtosis(x).alias("k")).first()
@@ -219,6 +256,16 @@ def variance_decomposition(model: dict[str, np.ndarray], steps: int) -> np.ndarr
     return power / power.sum(axis=2, keepdims=True)
 
 
+def var_responses(df: DataFrame, columns: list[str], ts: str, lags: int = 5, steps: int = 10) -> DataFrame:
+    """(step, response, impulse, irf, fevd) of a vector autoregression; ``fevd`` starts at step 1."""
+    model = var_model(df, columns, ts, lags)
+    irf, fevd = impulse_responses(model, steps), variance_decomposition(model, steps)
+    rows = [
+        (s, a, b, float(irf[s, i, j]), float(fevd[s - 1, i, j]) if s else None)
+        for s in range(steps + 1) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "step int, response string, impulse string, irf double, fevd double")
+
+
 def var_order(df: DataFrame, columns: list[str], ts: str, most: int) -> DataFrame:
     """(lag, aic, bic, hqic) of vector autoregressions on the same rows."""
     m, n = _cross_products(df, columns, ts, most)

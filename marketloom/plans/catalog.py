@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions import series as S
-from marketloom.operators import feature_quality, indicators, label_quality, losses, preparation, reshape, statistics, validate
+from marketloom.operators import feature_quality, indicators, label_quality, losses, preparation, reshape, statistics, training, validate
 from marketloom.operators.labels import LabelGenerator
 from marketloom.operators.normalizers import MetricsNormalizer, OHLCVNormalizer, orderbook_features
 from marketloom.plans import views
@@ -198,20 +198,30 @@ def order_book(spark, sf_dir):
     return _plain(orderbook_features(c).select("timestamp", *[F.col(f"`{n}`") for n in _OB_NAMES]))
 
 
-def _market_metrics(spark, sf_dir) -> DataFrame:
-    m = views.metrics(spark, sf_dir)
+def _market_metrics_columns() -> list:
     r = MetricsNormalizer.RATIOS
-    return m.select("create_time", F.col("oi").alias("count"), F.col("oi_value").alias("taker_buy_volume"), F.col("oi").alias("sum_open_interest"), (F.col("oi_value") * 2).alias("sum_open_interest_value"), F.col("r1").alias(r[0]), F.col("r2").alias(r[1]), (F.col("r1") + 1).alias(r[2]), (F.col("r2") * 2).alias(r[3]))
+    return [F.col("oi").alias("count"), F.col("oi_value").alias("taker_buy_volume"), F.col("oi").alias("sum_open_interest"), (F.col("oi_value") * 2).alias("sum_open_interest_value"), F.col("r1").alias(r[0]), F.col("r2").alias(r[1]), (F.col("r1") + 1).alias(r[2]), (F.col("r2") * 2).alias(r[3])]
 
 
-def _metrics_sql() -> str:
+def _market_metrics(spark, sf_dir) -> DataFrame:
+    return views.metrics(spark, sf_dir).select("create_time", *_market_metrics_columns())
+
+
+def _metrics_parts() -> list[str]:
+    """The outputs of the metrics normalizer over a window f of its rows so far, not clipped."""
     clipped = lambda e: f"CASE WHEN {e} IS NOT NULL THEN least(greatest({e}, -3.0), 3.0) END"
     pct = lambda x: f"({x} / lag({x}) OVER w - 1)"
     z = lambda e: f"CASE WHEN count({e}) OVER f >= 10 THEN ({e} - avg({e}) OVER f) / (stddev_samp({e}) OVER f + 1e-9) END"
-    parts = [(clipped(pct("(oi_value + 1e-9)")), 0), (clipped(pct("CAST(oi AS DOUBLE)")) + " * 1000", 1), (clipped(pct("(oi_value * 2)")) + " * 1000", 2), (z("oi_value"), 3), (z("oi"), 4), (z("(oi_value * 2)"), 5), (z("(oi_value * 2 / (oi + 1e-9))"), 6), (z("oi"), 7), (z("(oi_value / (oi + 1e-9))"), 8)]
-    for i, e in enumerate(("r1", "r2", "r1 + 1", "r2 * 2")):
-        parts.append((f"(({e}) - (SELECT quantile_cont({e}, 0.5) FROM metrics)) / (SELECT quantile_cont({e}, 0.99) - quantile_cont({e}, 0.01) FROM metrics)", 9 + i))
-    return "SELECT create_time, " + ", ".join(f"coalesce({e}, 0) AS {MetricsNormalizer.OUTPUT[i]}" for e, i in parts) + " FROM metrics WINDOW w AS (ORDER BY create_time), f AS (ORDER BY create_time ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)"
+    parts = [clipped(pct("(oi_value + 1e-9)")), clipped(pct("CAST(oi AS DOUBLE)")) + " * 1000", clipped(pct("(oi_value * 2)")) + " * 1000"]
+    parts += [z(e) for e in ("oi_value", "oi", "(oi_value * 2)", "(oi_value * 2 / (oi + 1e-9))", "oi", "(oi_value / (oi + 1e-9))")]
+    for e in ("r1", "r2", "r1 + 1", "r2 * 2"):
+        parts.append(f"(({e}) - (SELECT quantile_cont({e}, 0.5) FROM metrics)) / (SELECT quantile_cont({e}, 0.99) - quantile_cont({e}, 0.01) FROM metrics)")
+    return parts
+
+
+def _metrics_sql() -> str:
+    made = ", ".join(f"coalesce({e}, 0) AS {n}" for n, e in zip(MetricsNormalizer.OUTPUT, _metrics_parts()))
+    return f"SELECT create_time, {made} FROM metrics WINDOW w AS (ORDER BY create_time), f AS (ORDER BY create_time ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)"
 
 
 @register("metrics_features", _metrics_sql(), "create_time", " ".join(MetricsNormalizer.OUTPUT))
@@ -741,6 +751,120 @@ def pacf(spark, sf_dir):
     return statistics.pacf(_returns(spark, sf_dir), "r", "open_time", 5)
 
 
+@register("impulse_responses")
+def impulse_responses(spark, sf_dir):
+    return statistics.var_responses(_pair_returns(spark, sf_dir), ["x", "y"], "open_time")
+
+
+# derived columns and outliers ---------------------------------------------------------
+
+_DERIVED = """SELECT *, ln(close) - ln(lag(close) OVER (ORDER BY open_time)) AS returns, (close - open) / nullif(open, 0) * 100 AS price_change_pct,
+ (high - low) / nullif(low, 0) * 100 AS high_low_spread, hour(make_timestamp(open_time * 1000))::INT AS hour, (isodow(make_timestamp(open_time * 1000)) - 1)::INT AS day_of_week,
+ isodow(make_timestamp(open_time * 1000)) > 5 AS is_weekend FROM klines QUALIFY returns IS NOT NULL AND price_change_pct IS NOT NULL AND high_low_spread IS NOT NULL"""
+
+
+@register("derived_columns", _DERIVED, "open_time hour day_of_week is_weekend", "returns price_change_pct high_low_spread")
+def derived_columns(spark, sf_dir):
+    made = statistics.derived_columns(views.klines(spark, sf_dir), "open_time")
+    return made.select("open_time", "hour", "day_of_week", "is_weekend", "returns", "price_change_pct", "high_low_spread")
+
+
+_FLAGGED = _RET + """, lim AS (SELECT avg(r) AS m, stddev_samp(r) AS s, quantile_cont(r, 0.25) AS q1, quantile_cont(r, 0.75) AS q3, quantile_cont(abs(r), 0.99) AS t FROM rets),
+fl AS (SELECT open_time, r, abs(r - m) > 3 * s AS by_z, r < q1 - 1.5 * (q3 - q1) OR r > q3 + 1.5 * (q3 - q1) AS by_iqr, abs(r) > t AS extreme FROM rets, lim)"""
+_BREAKDOWN = " UNION ALL ".join(
+    f"SELECT '{k}' AS rule, count(*) FILTER (WHERE {k}) AS n, 100.0 * count(*) FILTER (WHERE {k}) / count(*) AS pct, count(*) FILTER (WHERE {k} AND r > 0) AS up, count(*) FILTER (WHERE {k} AND r < 0) AS down FROM fl"
+    for k in ("by_z", "by_iqr", "extreme"))
+
+
+@register("outlier_breakdown", _BREAKDOWN, "rule n up down", "pct", _FLAGGED)
+def outlier_breakdown(spark, sf_dir):
+    return statistics.outlier_breakdown(_returns(spark, sf_dir), "r")
+
+
+@register("extreme_moves_by_hour", "SELECT hour(make_timestamp(open_time * 1000)) AS hour, count(*) AS n FROM fl WHERE extreme GROUP BY 1", "hour n", "", _FLAGGED)
+def extreme_moves_by_hour(spark, sf_dir):
+    marked = statistics.flag_outliers(_returns(spark, sf_dir), "r").filter("extreme")
+    return marked.groupBy(F.hour(F.timestamp_millis("open_time")).cast("long").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_SQUARED = _RET + ", sr AS (SELECT open_time, r * r AS x FROM rets), dv AS (SELECT open_time, x - (SELECT avg(x) FROM sr) AS d FROM sr)"
+_ACF30 = " UNION ALL ".join(f"SELECT {k} AS lag, sum(d * e) / (SELECT sum(d * d) FROM dv) AS acf FROM (SELECT d, lag(d, {k}) OVER (ORDER BY open_time) AS e FROM dv)" for k in range(1, 31))
+
+
+@register(
+    "ljung_box_squared", "SELECT m AS lag, (SELECT count(*) FROM sr) * ((SELECT count(*) FROM sr) + 2) * (SELECT sum(acf ** 2 / ((SELECT count(*) FROM sr) - ac.lag)) FROM ac WHERE ac.lag <= m) AS q FROM (SELECT unnest([10, 20, 30]) AS m)",
+    "lag", "q", f"{_SQUARED}, ac AS ({_ACF30})")
+def ljung_box_squared(spark, sf_dir):
+    squared = _returns(spark, sf_dir).withColumn("r2", F.col("r") * F.col("r"))
+    return statistics.ljung_box(squared, "r2", "open_time", (10, 20, 30)).drop("p")
+
+
+_BASE_TYPES = {"value": "double", "k": "int"}
+_STATS = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, '{t}' AS dtype, count({c}) AS count, count(*) - count({c}) AS missing, coalesce(100.0 * (count(*) - count({c})) / nullif(count({c}), 0), 0) AS missing_pct, avg({c}) AS mean, stddev_samp({c}) AS std, quantile_cont({c}::DOUBLE, 0.25) AS q25, quantile_cont({c}::DOUBLE, 0.5) AS q50, quantile_cont({c}::DOUBLE, 0.75) AS q75 FROM some_missing"
+    for c, t in _BASE_TYPES.items())
+
+
+@register("feature_stats", _STATS, "feature dtype count missing", "missing_pct mean std q25 q50 q75", "some_missing AS (SELECT CASE WHEN event_id % 7 <> 0 THEN value END AS value, k FROM b)")
+def feature_stats(spark, sf_dir):
+    some = views.base(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    return feature_quality.feature_stats(some, list(_BASE_TYPES)).drop("min", "max")
+
+
+@register(
+    "class_quartiles", "SELECT 'value' AS feature, event_type AS class, count(value) AS n, min(value) AS min, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75, max(value) AS max FROM events GROUP BY event_type",
+    "feature class n", "min q25 q50 q75 max")
+def class_quartiles(spark, sf_dir):
+    return feature_quality.class_quartiles(spark.read.parquet(f"{sf_dir}/events.parquet"), ["value"], "event_type")
+
+
+# training inputs ----------------------------------------------------------------------
+
+_SQL_NAME = lambda n: n.replace("_-", "_m")
+_CANDLES = _RAW_NAMES.split()
+
+
+def _training_sql() -> str:
+    """Default pipeline over the combined rows with candle and metrics, clipped to the 1st and 99th percentile."""
+    z = lambda n: f"CASE WHEN count({n}) OVER f >= 10 THEN ({n} - avg({n}) OVER f) / (nullif(stddev_samp({n}) OVER f, 0) + 1e-12) END AS {n}_z"
+    metrics = [e.replace("FROM metrics", "FROM market") for e in _metrics_parts()]
+    return f"""{_COMBINED}, market AS (SELECT * FROM combined WHERE close IS NOT NULL AND oi IS NOT NULL AND r1 IS NOT NULL AND r2 IS NOT NULL),
+p AS (SELECT *, lag(close) OVER w AS c1, lag(volume) OVER w AS v1 FROM market WINDOW w AS (ORDER BY timestamp)), raw AS ({_RAW}),
+cz AS (SELECT timestamp, {', '.join(z(n) for n in _CANDLES)} FROM raw WINDOW f AS (ORDER BY timestamp ROWS BETWEEN 240 PRECEDING AND 1 PRECEDING)),
+mz AS (SELECT timestamp, {', '.join(f'{e} AS {n}' for n, e in zip(MetricsNormalizer.OUTPUT, metrics))} FROM market WINDOW w AS (ORDER BY timestamp), f AS (ORDER BY timestamp ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)),
+ob AS ({_ob_sql().replace('FROM combined', 'FROM market')})"""
+
+
+_BOUNDED = [(n + "_z", "cz") for n in _CANDLES] + [(n, "mz") for n in MetricsNormalizer.OUTPUT]
+_LIMITED = ", ".join(f"coalesce(CASE WHEN {n} IS NOT NULL THEN least(greatest({n}, (SELECT quantile_cont({n}, 0.01) FROM {t})), (SELECT quantile_cont({n}, 0.99) FROM {t})) END, 0) AS {n}" for n, t in _BOUNDED)
+_OB_SQL_NAMES = [_SQL_NAME(n) for n in _OB_NAMES]
+
+
+def _training_input(spark, sf_dir) -> DataFrame:
+    c = _combined(spark, sf_dir).dropna(subset=["close", "oi", "r1", "r2"])
+    named = _market_metrics_columns()
+    return c.select("timestamp", "open", "high", "low", "close", "volume", "distance", *[F.col(f"{k}_{b}") for k in ("depth", "notional") for b in _BANDS], *named)
+
+
+@register(
+    "training_features", f"SELECT timestamp, {', '.join(_OB_SQL_NAMES)}, {_LIMITED}, greatest(least(1 - distance / 4, 1), 0) AS distance FROM cz JOIN mz USING (timestamp) JOIN ob USING (timestamp) JOIN (SELECT timestamp, distance FROM market) USING (timestamp)",
+    "timestamp", " ".join([*_OB_SQL_NAMES, *(n for n, _ in _BOUNDED), "distance"]), _training_sql())
+def training_features(spark, sf_dir):
+    """The default pipeline, fitted, saved, loaded and applied."""
+    rows = _training_input(spark, sf_dir)
+    fitted = training.default_pipeline().fit(rows).to_json()
+    return _plain(training.TrainingData.build(fitted).process(rows)[0])
+
+
+_FUTURE = [("month", "month", 12), ("day", "isodow", 7), ("hour", "hour", 24), ("minute", "minute", 60)]
+_FUTURE_SQL = ", ".join(f"{f}(2 * pi() * {'(isodow(d) - 1)' if e == 'isodow' else f'{e}(d)'} / {p}) AS {f}_{n}" for n, e, p in _FUTURE for f in ("sin", "cos"))
+
+
+@register("training_calendar", f"SELECT timestamp, {_FUTURE_SQL} FROM (SELECT timestamp, make_timestamp(timestamp * 1000) AS d FROM combined WHERE close IS NOT NULL)", "timestamp", " ".join(f"{f}_{n}" for n, _, _ in _FUTURE for f in ("sin", "cos")), _COMBINED)
+def training_calendar(spark, sf_dir):
+    return training.future_features(_combined(spark, sf_dir).filter("close is not null"), "timestamp")
+
+
 # losses -------------------------------------------------------------------------------
 
 _Z4 = ", ".join(f"embedding[{i}]::DOUBLE AS z{i}" for i in range(1, 5))

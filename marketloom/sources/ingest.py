@@ -159,6 +159,12 @@ def part_sizes(df: DataFrame) -> DataFrame:
     return meta.groupBy("file", "bytes").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def part_totals(df: DataFrame) -> DataFrame:
+    """(parts, rows, bytes, mean_rows, mean_bytes) over the files behind a frame."""
+    return part_sizes(df).agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.avg("rows").alias("mean_rows"), F.avg("bytes").alias("mean_bytes"))
+
+
 def save_csv(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(folder)
 

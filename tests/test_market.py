@@ -14,6 +14,7 @@ from marketloom.functions import series as S
 from marketloom.operators import feature_quality, indicators, losses, preparation, reshape, statistics, validate
 from marketloom.operators.labels import LabelGenerator
 from marketloom.operators.normalizers import OHLCVNormalizer, clean_lags
+from marketloom.operators.validate import ValidationError
 from marketloom.sources import ingest
 from marketloom.streaming.micro_batch import WarmScorer
 
@@ -292,3 +293,104 @@ def test_book_with_a_band_twice(spark):
     book = spark.createDataFrame([(0, 1, 1.0, 2.0), (0, 1, 3.0, 4.0)], "timestamp long, percentage int, depth double, notional double")
     with pytest.raises(ValidationError):
         reshape.combine(book, spark.createDataFrame([(0, 1.0)], "open_time long, close double"), spark.createDataFrame([(0, 1.0)], "create_time long, oi double"), 60_000)
+
+
+class Doubled:
+    """A transformer of a user: the double of v less its learned mean."""
+
+    LEARNED = ("mean",)
+
+    def __init__(self, factor=2.0, mean=0.0):
+        self.factor, self.mean = factor, mean
+
+    def fit(self, df):
+        return Doubled(self.factor, df.agg(F.avg("v")).first()[0])
+
+    def features(self, df):
+        return df.withColumn("v_made", (F.col("v") - self.mean) * self.factor)
+
+    def outputs(self):
+        return [("v_made", F.col("v_made"))]
+
+
+def test_custom_parts_are_fitted_and_saved(spark):
+    preparation.register_transformer("doubled", Doubled)
+    df = spark.createDataFrame([(1, 1.0, "a"), (2, 3.0, "b")], "t long, v double, c string")
+    p = preparation.FeaturePipeline([preparation.Custom("doubled", {"factor": 10.0}), preparation.OneHot(["c"])], keys=["t"]).fit(df)
+    assert p.feature_names() == ["v_made", "c_a", "c_b"]
+    later = spark.createDataFrame([(3, 5.0, "a")], df.schema)
+    again = preparation.FeaturePipeline.from_json(p.to_json())
+    assert [tuple(r) for r in again.transform(later).collect()] == [(3, 30.0, 1.0, 0.0)]
+    kept = preparation.FeaturePipeline(p.parts, remainder="passthrough", keys=["t"]).transform(later)
+    assert kept.columns == ["t", "v_made", "c_a", "c_b", "v"]
+
+
+def _market_rows(spark, n=30):
+    from marketloom.operators.normalizers import MetricsNormalizer
+
+    i = F.col("timestamp") / 60_000
+    df = spark.range(n).select((F.col("id") * 60_000).alias("timestamp"))
+    cols = {"open": 100 + F.sin(i), "close": 100 + F.cos(i), "volume": 5 + F.sin(3 * i), "distance": F.pmod(i, F.lit(5.0)), "count": 10 + i}
+    cols |= {f"{k}_{b}": F.abs(F.sin(i + b)) + 1 for k in ("depth", "notional") for b in reshape.BANDS}
+    cols |= {c: 2 + F.sin(i * (j + 1)) for j, c in enumerate(MetricsNormalizer.REQUIRED[1:])}
+    return df.withColumns(cols).withColumns({"high": F.greatest("open", "close") + 0.1, "low": F.least("open", "close") - 0.1})
+
+
+def test_training_data_checks_fits_and_reloads(spark):
+    from marketloom.operators import training
+
+    rows = _market_rows(spark)
+    data = training.TrainingData()
+    past, future = data.process(rows, train=True, step=60_000)
+    first = sorted(map(tuple, past.collect()))
+    assert len(first) == 30 and past.columns[0] == "timestamp" and past.columns[1:] == data.pipeline.feature_names()
+    assert [r[-1] for r in first[:5]] == pytest.approx([1.0, 0.75, 0.5, 0.25, 0.0])
+    assert future.columns == ["timestamp", *(f"{f}_{n}" for n in ("month", "day", "hour", "minute") for f in ("sin", "cos"))]
+    reloaded = training.TrainingData.build(data.pipeline.to_json())
+    assert sorted(map(tuple, reloaded.process(rows)[0].collect())) == first
+    with pytest.raises(ValidationError, match="gaps"):
+        data.process(rows.filter("timestamp <> 120000"), step=60_000)
+    with pytest.raises(ValidationError, match="missing"):
+        data.process(rows.withColumn("volume", F.when(F.col("timestamp") != 0, F.col("volume"))), step=60_000)
+    holed = rows.withColumn("distance", F.when(F.col("timestamp") != 0, F.col("distance")))
+    with pytest.raises(Exception, match="not finite"):
+        reloaded.process(holed)[0].collect()
+    with pytest.raises(KeyError):
+        training.default_pipeline().fit(rows.drop("depth_-5"))
+
+
+def test_sorting_totals_and_class_weights(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (1, "z"), (2, "a")], "t long, c string")
+    assert [tuple(r) for r in reshape.sort_by_time(df, "t", ties=["c"]).collect()] == [(1, "z"), (2, "a"), (2, "b")]
+    assert [r.t for r in reshape.sort_by_time(df, "t", ascending=False).collect()] == [2, 2, 1]
+    for bad in (df.filter("t > 9"), df.drop("t")):
+        with pytest.raises(ValidationError):
+            reshape.sort_by_time(bad, "t")
+    df.coalesce(1).write.option("maxRecordsPerFile", 2).parquet(str(tmp_path / "parts"))
+    total = ingest.part_totals(spark.read.parquet(str(tmp_path / "parts"))).first()
+    assert (total.parts, total.rows, total.mean_rows) == (2, 3, 1.5) and total.bytes == 2 * total.mean_bytes
+
+    rows = [([0.0, 1.0, 2.0], 0, 1.0), ([1.0, 0.0, 0.0], 2, 3.0), ([1.0, 0.0, 0.0], 1, 5.0)]
+    table = spark.createDataFrame(rows, "z array<double>, y int, w double")
+    alpha, expected, weights = [0.2, 9.0, 0.7], 0.0, 0.0
+    for z, y, w in rows[:2]:
+        p = math.exp(z[y]) / sum(map(math.exp, z))
+        expected, weights = expected + w * alpha[y] * (1 - p) ** 2 * -math.log(p), weights + w
+    got = table.agg(losses.focal_loss("z", "y", alpha=alpha, ignore=1, weight="w")).first()[0]
+    assert got == pytest.approx(expected / weights)
+
+
+def test_variance_shares_and_impulses(spark):
+    """A series driven by the other's past: the shares add up to one and the first impulse is its own."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=400)
+    y = np.concatenate([[0.0], 0.8 * x[:-1]]) + 0.1 * rng.normal(size=400)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "t long, x double, y double")
+    rows = {(r.step, r.response, r.impulse): r for r in statistics.var_responses(df, ["x", "y"], "t", 2, 4).collect()}
+    assert rows[0, "x", "y"].irf == 0 and rows[0, "x", "x"].fevd is None
+    assert rows[1, "y", "x"].irf == pytest.approx(0.8, abs=0.1)
+    for s in range(1, 5):
+        assert rows[s, "y", "x"].fevd + rows[s, "y", "y"].fevd == pytest.approx(1.0)
+    assert rows[4, "y", "x"].fevd > 0.9
