@@ -465,7 +465,23 @@ def indicators_rsi_based(spark, sf_dir):
     return made.select("open_time", "stoch_rsi", "stoch_k", "stoch_d", "fgi")
 
 
-@register("indicator_sar")
+# state after each bar: direction, the next bar's stop, extreme point, acceleration, and the value shown
+_SAR = """bars AS (SELECT open_time, row_number() OVER w AS n, high, low, lag(high) OVER w AS ph, lag(low) OVER w AS pl,
+  lead(high) OVER w AS nh, lead(low) OVER w AS nl FROM klines WINDOW w AS (ORDER BY open_time)),
+z(n, up, stop, ext, af, shown) AS (
+  SELECT n, up, CASE WHEN up THEN low ELSE high END, CASE WHEN up THEN nh ELSE nl END, 0.02::DOUBLE, NULL::DOUBLE
+  FROM (SELECT *, NOT (low - nl > nh - high AND low - nl > 0) AS up FROM bars WHERE n = 1)
+  UNION ALL
+  SELECT n, up, CASE WHEN up THEN least(shown + af * (ext - shown), low, pl) ELSE greatest(shown + af * (ext - shown), high, ph) END, ext, af, shown
+  FROM (SELECT *, was <> turned AS up,
+      CASE WHEN NOT turned THEN stop WHEN was THEN greatest(ext0, high, ph) ELSE least(ext0, low, pl) END AS shown,
+      CASE WHEN turned THEN CASE WHEN was THEN low ELSE high END WHEN was THEN greatest(ext0, high) ELSE least(ext0, low) END AS ext,
+      CASE WHEN turned THEN 0.02::DOUBLE WHEN CASE WHEN was THEN high > ext0 ELSE low < ext0 END THEN least(af0 + 0.02::DOUBLE, 0.2::DOUBLE) ELSE af0 END AS af
+    FROM (SELECT bars.*, z.up AS was, z.stop, z.ext AS ext0, z.af AS af0, CASE WHEN z.up THEN bars.low <= z.stop ELSE bars.high >= z.stop END AS turned
+      FROM z JOIN bars ON bars.n = z.n + 1)))"""
+
+
+@register("indicator_sar", "SELECT open_time, shown AS sar FROM bars JOIN z USING (n)", "open_time", "sar", _SAR)
 def indicator_sar(spark, sf_dir):
     return indicators.add(views.klines(spark, sf_dir), [("sar", {"acceleration": 0.02, "maximum": 0.2})]).select("open_time", "sar")
 
@@ -746,7 +762,17 @@ def wavelet_coherence(spark, sf_dir):
     return statistics.wavelet_coherence(_pair(spark, sf_dir), "close", "close_b", "open_time")
 
 
-@register("pacf")
+# coefficients of order k follow from those of order k - 1; the last one is the partial autocorrelation
+_PACF = _D + f""", r AS (SELECT list(acf ORDER BY lag) AS r FROM ({_ACF}) WHERE lag > 0),
+z(k, phi) AS (
+  SELECT 1, [r[1]] FROM r
+  UNION ALL
+  SELECT k + 1, list_append([phi[j] - last * phi[k + 1 - j] for j in range(1, k + 1)], last)
+  FROM (SELECT k, phi, (r[k + 1] - list_sum([phi[j] * r[k + 1 - j] for j in range(1, k + 1)])) / (1 - list_sum([phi[j] * r[j] for j in range(1, k + 1)])) AS last
+    FROM z, r WHERE k < 5))"""
+
+
+@register("pacf", "SELECT 0::INT AS lag, 1.0::DOUBLE AS pacf UNION ALL SELECT k::INT, phi[k] FROM z", "lag", "pacf", _PACF)
 def pacf(spark, sf_dir):
     return statistics.pacf(_returns(spark, sf_dir), "r", "open_time", 5)
 
