@@ -731,7 +731,49 @@ def _pair_returns(spark, sf_dir) -> DataFrame:
     return p.select("open_time", S.log_return(F.col("close"), w).alias("x"), S.log_return(F.col("close_b"), w).alias("y")).dropna()
 
 
-@register("granger")
+_PAIR_RETURNS = """pc AS (SELECT a.open_time, a.close AS a, b.close AS b FROM typed a JOIN typed b ON a.open_time = b.open_time AND a.event_type = 'view' AND b.event_type = 'purchase'),
+pr AS (SELECT * FROM (SELECT open_time, ln(a) - ln(lag(a) OVER w) AS x, ln(b) - ln(lag(b) OVER w) AS y FROM pc WINDOW w AS (ORDER BY open_time)) WHERE x IS NOT NULL AND y IS NOT NULL)"""
+
+
+def _simpson(body: str, end: str, steps: int = 4000) -> str:
+    """The integral of ``body`` over t from 0 to ``end``."""
+    t = f"(({end}) * i / {steps})"
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(SELECT sum({weight} * ({body.replace('@', t)})) * ({end}) / {3 * steps} FROM range(0, {steps + 1}) AS s(i))"
+
+
+def _chi2_tail(x: str, df: str) -> str:
+    density = _simpson(f"pow(@, {df} - 1.0) * exp(-@ * @)", f"sqrt({x} / 2)")
+    return f"1 - 2 / exp(lgamma({df} / 2.0)) * {density}"
+
+
+def _f_tail(f: str, df1: str, df2: str) -> str:
+    """The incomplete beta integral, with the squared sine as variable."""
+    area = _simpson(f"pow(sin(@), {df2} - 1.0) * pow(cos(@), {df1} - 1.0)", f"asin(sqrt({df2} / ({df2} + {df1} * {f})))")
+    return f"2 * exp(lgamma(({df1} + {df2}) / 2.0) - lgamma({df1} / 2.0) - lgamma({df2} / 2.0)) * {area}"
+
+
+def _residuals(name: str, cause: str, effect: str, lag: int) -> tuple[str, str]:
+    """CTEs that take the lags out of ``effect`` one after another (Gram-Schmidt), and both sums of squares."""
+    past = [f"{c}{k}" for c in (effect, cause) for k in range(1, lag + 1)]
+    lags = ", ".join(f"lag({c[0]}, {c[1:]}) OVER (ORDER BY open_time) AS {c}" for c in past)
+    centred = ", ".join(f"{c} - avg({c}) OVER () AS {c}" for c in ("e", *past))
+    steps = [f"{name}_0 AS (SELECT {centred} FROM (SELECT {effect} AS e, {lags} FROM pr) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in past)})"]
+    for i, c in enumerate(past):
+        left = ", ".join(f"{o} - {c} * (sum({o} * {c}) OVER () / sum({c} * {c}) OVER ()) AS {o}" for o in ("e", *past[i + 1 :]))
+        steps.append(f"{name}_{i + 1} AS (SELECT {left} FROM {name}_{i})")
+    sums = f"SELECT '{cause}' AS cause, '{effect}' AS effect, {lag}::INT AS lag, (SELECT sum(e * e) FROM {name}_{lag}) AS small, (SELECT sum(e * e) FROM {name}_{2 * lag}) AS large, (SELECT count(*) FROM {name}_0) AS n"
+    return ", ".join(steps), sums
+
+
+_GRANGER = [_residuals(f"g{c}{k}", c, e, k) for k in (1, 2, 3) for c, e in (("x", "y"), ("y", "x"))]
+_GRANGER_TESTS = f"""gr AS (SELECT * FROM ({" UNION ALL ".join(sums for _, sums in _GRANGER)})),
+gt AS (SELECT cause, effect, lag, n, n - 2 * lag - 1 AS free, (small - large) / lag / (large / (n - 2 * lag - 1)) AS f, n * (small - large) / large AS chi2, n * ln(small / large) AS lr FROM gr)"""
+
+
+@register(
+    "granger", f"SELECT *, {_f_tail('f', 'lag', 'free')} AS p, {_chi2_tail('chi2', 'lag')} AS p_chi2, {_chi2_tail('lr', 'lag')} AS p_lr FROM gt",
+    "cause effect lag n", "f p chi2 p_chi2 lr p_lr", ", ".join([_PAIR_RETURNS, *(steps for steps, _ in _GRANGER), _GRANGER_TESTS]))
 def granger(spark, sf_dir):
     return statistics.granger(_pair_returns(spark, sf_dir), "x", "y", "open_time", 3)
 
