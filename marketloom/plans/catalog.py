@@ -668,9 +668,30 @@ def class_distribution(spark, sf_dir):
 # statistics ---------------------------------------------------------------------------
 
 
-@register("normality", "SELECT count(r) AS n, count(r) / 6.0 * ((avg((r - m) ** 3) / avg((r - m) ** 2) ** 1.5) ** 2 + (avg((r - m) ** 4) / avg((r - m) ** 2) ** 2 - 3) ** 2 / 4) AS jarque_bera FROM rets, (SELECT avg(r) AS m FROM rets)", "n", "jarque_bera", _RET)
+def _simpson(body: str, end: str, steps: int = 4000) -> str:
+    """The integral of ``body`` over t from 0 to ``end``."""
+    t = f"(({end}) * i / {steps})"
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(SELECT sum({weight} * ({body.replace('@', t)})) * ({end}) / {3 * steps} FROM range(0, {steps + 1}) AS s(i))"
+
+
+def _chi2_tail(x: str, df: str) -> str:
+    density = _simpson(f"pow(@, {df} - 1.0) * exp(-@ * @)", f"sqrt({x} / 2)")
+    return f"1 - 2 / exp(lgamma({df} / 2.0)) * {density}"
+
+
+def _f_tail(f: str, df1: str, df2: str) -> str:
+    """The incomplete beta integral, with the squared sine as variable."""
+    area = _simpson(f"pow(sin(@), {df2} - 1.0) * pow(cos(@), {df1} - 1.0)", f"asin(sqrt({df2} / ({df2} + {df1} * {f})))")
+    return f"2 * exp(lgamma(({df1} + {df2}) / 2.0) - lgamma({df1} / 2.0) - lgamma({df2} / 2.0)) * {area}"
+
+
+@register(
+    "normality",
+    f"SELECT *, {_chi2_tail('jarque_bera', '2')} AS jarque_bera_p FROM (SELECT count(r) AS n, count(r) / 6.0 * ((avg((r - m) ** 3) / avg((r - m) ** 2) ** 1.5) ** 2 + (avg((r - m) ** 4) / avg((r - m) ** 2) ** 2 - 3) ** 2 / 4) AS jarque_bera FROM rets, (SELECT avg(r) AS m FROM rets))",
+    "n", "jarque_bera jarque_bera_p", _RET)
 def normality(spark, sf_dir):
-    return statistics.normality(_returns(spark, sf_dir), "r").select("n", "jarque_bera")
+    return statistics.normality(_returns(spark, sf_dir), "r").select("n", "jarque_bera", "jarque_bera_p")
 
 
 _D = _RET + ", dv AS (SELECT open_time, r, r - (SELECT avg(r) FROM rets) AS d FROM rets)"
@@ -682,9 +703,12 @@ def acf(spark, sf_dir):
     return statistics.acf(_returns(spark, sf_dir), "r", "open_time", 5)
 
 
-@register("ljung_box", "SELECT 5 AS lag, n * (n + 2) * (SELECT sum(acf ** 2 / (n - lag)) FROM ac WHERE lag > 0) AS q FROM (SELECT count(*) AS n FROM rets)", "lag", "q", f"{_D}, ac AS ({_ACF})")
+@register(
+    "ljung_box",
+    f"SELECT *, {_chi2_tail('q', '5')} AS p FROM (SELECT 5 AS lag, n * (n + 2) * (SELECT sum(acf ** 2 / (n - lag)) FROM ac WHERE lag > 0) AS q FROM (SELECT count(*) AS n FROM rets))",
+    "lag", "q p", f"{_D}, ac AS ({_ACF})")
 def ljung_box(spark, sf_dir):
-    return statistics.ljung_box(_returns(spark, sf_dir), "r", "open_time", (5,)).drop("p")
+    return statistics.ljung_box(_returns(spark, sf_dir), "r", "open_time", (5,))
 
 
 @register("autocorrelation", " UNION ALL ".join(f"SELECT {k} AS lag, corr(r, e) AS r FROM (SELECT r, lag(r, {k}) OVER (ORDER BY open_time) AS e FROM rets)" for k in (1, 5, 10)), "lag", "r", _RET)
@@ -692,9 +716,12 @@ def autocorrelation(spark, sf_dir):
     return statistics.autocorrelation(_returns(spark, sf_dir), "r", "open_time", (1, 5, 10))
 
 
-@register("t_test", "SELECT (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0 / n1 + 1.0 / n0)) AS t, n1 + n0 - 2 AS dof FROM (SELECT avg(r) FILTER (WHERE w) AS m1, avg(r) FILTER (WHERE NOT w) AS m0, var_samp(r) FILTER (WHERE w) AS v1, var_samp(r) FILTER (WHERE NOT w) AS v0, count(*) FILTER (WHERE w) AS n1, count(*) FILTER (WHERE NOT w) AS n0 FROM (SELECT r, isodow(make_timestamp(open_time * 1000)) > 5 AS w FROM rets))", "dof", "t", _RET)
+@register(
+    "t_test",
+    f"SELECT *, {_f_tail('t * t', '1', 'dof')} AS p FROM (SELECT (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0 / n1 + 1.0 / n0)) AS t, n1 + n0 - 2 AS dof FROM (SELECT avg(r) FILTER (WHERE w) AS m1, avg(r) FILTER (WHERE NOT w) AS m0, var_samp(r) FILTER (WHERE w) AS v1, var_samp(r) FILTER (WHERE NOT w) AS v0, count(*) FILTER (WHERE w) AS n1, count(*) FILTER (WHERE NOT w) AS n0 FROM (SELECT r, isodow(make_timestamp(open_time * 1000)) > 5 AS w FROM rets)))",
+    "dof", "t p", _RET)
 def t_test(spark, sf_dir):
-    return statistics.t_test(_returns(spark, sf_dir), "r", F.weekday(F.timestamp_millis("open_time")).isin(5, 6)).drop("p")
+    return statistics.t_test(_returns(spark, sf_dir), "r", F.weekday(F.timestamp_millis("open_time")).isin(5, 6))
 
 
 @register("mann_whitney", "SELECT sum(CASE WHEN w THEN rk END) - count(*) FILTER (WHERE w) * (count(*) FILTER (WHERE w) + 1) / 2.0 AS u FROM (SELECT w, rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2.0 AS rk FROM (SELECT r, isodow(make_timestamp(open_time * 1000)) > 5 AS w FROM rets))", "", "u", _RET)
@@ -705,9 +732,12 @@ def mann_whitney(spark, sf_dir):
 _SSR = lambda t: f"(SELECT regr_syy(close, open) - regr_sxy(close, open) ** 2 / regr_sxx(close, open) FROM ch WHERE {t})"
 
 
-@register("chow", f"SELECT (({_SSR('true')} - {_SSR('i < n // 2')} - {_SSR('i >= n // 2')}) / 2) / (({_SSR('i < n // 2')} + {_SSR('i >= n // 2')}) / (n - 4)) AS f FROM (SELECT max(n) AS n FROM ch)", "", "f", "ch AS (SELECT open, close, row_number() OVER (ORDER BY open_time) - 1 AS i, count(*) OVER () AS n FROM klines)")
+@register(
+    "chow",
+    f"SELECT *, {_f_tail('f', '2', '(n - 4)')} AS p FROM (SELECT (({_SSR('true')} - {_SSR('i < n // 2')} - {_SSR('i >= n // 2')}) / 2) / (({_SSR('i < n // 2')} + {_SSR('i >= n // 2')}) / (n - 4)) AS f, n FROM (SELECT max(n) AS n FROM ch))",
+    "", "f p", "ch AS (SELECT open, close, row_number() OVER (ORDER BY open_time) - 1 AS i, count(*) OVER () AS n FROM klines)")
 def chow(spark, sf_dir):
-    return statistics.chow(views.klines(spark, sf_dir), "open", "close", "open_time").select("f")
+    return statistics.chow(views.klines(spark, sf_dir), "open", "close", "open_time")
 
 
 @register("direction_persistence", "SELECT count(*) FILTER (WHERE r > 0 AND e > 0) AS up_up, count(*) FILTER (WHERE r <= 0 AND e <= 0) AS down_down, count(*) FILTER (WHERE r > 0 AND e <= 0) AS down_up, count(*) FILTER (WHERE r <= 0 AND e > 0) AS up_down FROM (SELECT r, lag(r) OVER (ORDER BY open_time) AS e FROM rets)", "up_up down_down down_up up_down", "", _RET)
@@ -735,24 +765,6 @@ _PAIR_RETURNS = """pc AS (SELECT a.open_time, a.close AS a, b.close AS b FROM ty
 pr AS (SELECT * FROM (SELECT open_time, ln(a) - ln(lag(a) OVER w) AS x, ln(b) - ln(lag(b) OVER w) AS y FROM pc WINDOW w AS (ORDER BY open_time)) WHERE x IS NOT NULL AND y IS NOT NULL)"""
 
 
-def _simpson(body: str, end: str, steps: int = 4000) -> str:
-    """The integral of ``body`` over t from 0 to ``end``."""
-    t = f"(({end}) * i / {steps})"
-    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
-    return f"(SELECT sum({weight} * ({body.replace('@', t)})) * ({end}) / {3 * steps} FROM range(0, {steps + 1}) AS s(i))"
-
-
-def _chi2_tail(x: str, df: str) -> str:
-    density = _simpson(f"pow(@, {df} - 1.0) * exp(-@ * @)", f"sqrt({x} / 2)")
-    return f"1 - 2 / exp(lgamma({df} / 2.0)) * {density}"
-
-
-def _f_tail(f: str, df1: str, df2: str) -> str:
-    """The incomplete beta integral, with the squared sine as variable."""
-    area = _simpson(f"pow(sin(@), {df2} - 1.0) * pow(cos(@), {df1} - 1.0)", f"asin(sqrt({df2} / ({df2} + {df1} * {f})))")
-    return f"2 * exp(lgamma(({df1} + {df2}) / 2.0) - lgamma({df1} / 2.0) - lgamma({df2} / 2.0)) * {area}"
-
-
 def _residuals(name: str, cause: str, effect: str, lag: int) -> tuple[str, str]:
     """CTEs that take the lags out of ``effect`` one after another (Gram-Schmidt), and both sums of squares."""
     past = [f"{c}{k}" for c in (effect, cause) for k in range(1, lag + 1)]
