@@ -790,7 +790,25 @@ def granger(spark, sf_dir):
     return statistics.granger(_pair_returns(spark, sf_dir), "x", "y", "open_time", 3)
 
 
-@register("var_order")
+def _var_residuals(most: int) -> tuple[str, str]:
+    """Both returns with the lags of both taken out one after another, and the residuals' covariance for each order."""
+    past = [f"{c}{k}" for k in range(1, most + 1) for c in ("x", "y")]
+    lags = ", ".join(f"lag({c[0]}, {c[1:]}) OVER (ORDER BY open_time) AS {c}" for c in past)
+    centred = ", ".join(f"{c} - avg({c}) OVER () AS {c}" for c in ("x", "y", *past))
+    steps = [f"v_0 AS (SELECT {centred} FROM (SELECT x, y, {lags} FROM pr) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in past)})"]
+    for i, c in enumerate(past):
+        left = ", ".join(f"{o} - {c} * (sum({o} * {c}) OVER () / sum({c} * {c}) OVER ()) AS {o}" for o in ("x", "y", *past[i + 1 :]))
+        steps.append(f"v_{i + 1} AS (SELECT {left} FROM v_{i})")
+    orders = " UNION ALL ".join(f"SELECT {k}::INT AS lag, count(*) AS n, ln((sum(x * x) * sum(y * y) - sum(x * y) ** 2) / count(*) ** 2) AS logdet, {2 * (2 * k + 1)} AS k FROM v_{2 * k}" for k in range(1, most + 1))
+    return ", ".join(steps), orders
+
+
+_VAR_STEPS, _VAR_ORDERS = _var_residuals(4)
+
+
+@register(
+    "var_order", f"SELECT lag, logdet + 2.0 * k / n AS aic, logdet + ln(n) * k / n AS bic, logdet + 2 * ln(ln(n)) * k / n AS hqic FROM ({_VAR_ORDERS})",
+    "lag", "aic bic hqic", f"{_PAIR_RETURNS}, {_VAR_STEPS}")
 def var_order(spark, sf_dir):
     return statistics.var_order(_pair_returns(spark, sf_dir), ["x", "y"], "open_time", 4)
 
