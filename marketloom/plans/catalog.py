@@ -724,9 +724,16 @@ def t_test(spark, sf_dir):
     return statistics.t_test(_returns(spark, sf_dir), "r", F.weekday(F.timestamp_millis("open_time")).isin(5, 6))
 
 
-@register("mann_whitney", "SELECT sum(CASE WHEN w THEN rk END) - count(*) FILTER (WHERE w) * (count(*) FILTER (WHERE w) + 1) / 2.0 AS u FROM (SELECT w, rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2.0 AS rk FROM (SELECT r, isodow(make_timestamp(open_time * 1000)) > 5 AS w FROM rets))", "", "u", _RET)
+_RANKS = """, rk AS (SELECT w, c, rank() OVER (ORDER BY r) + (c - 1) / 2.0 AS rank FROM (
+  SELECT r, isodow(make_timestamp(open_time * 1000)) > 5 AS w, count(*) OVER (PARTITION BY r) AS c FROM rets)),
+mw AS (SELECT count(*) FILTER (WHERE w) AS n1, count(*) FILTER (WHERE NOT w) AS n0, count(*) AS n, sum(c * c - 1) AS ties, sum(CASE WHEN w THEN rank END) AS s FROM rk),
+mu AS (SELECT *, s - n1 * (n1 + 1) / 2.0 AS u FROM mw),
+mz AS (SELECT u, greatest(0, abs(u - n1 * n0 / 2.0) - 0.5) / sqrt(n1 * n0 / 12.0 * (n + 1 - ties / (n * (n - 1.0)))) AS z FROM mu)"""
+
+
+@register("mann_whitney", f"SELECT *, {_chi2_tail('(z * z)', '1')} AS p FROM mz", "", "u z p", _RET + _RANKS)
 def mann_whitney(spark, sf_dir):
-    return statistics.mann_whitney(_returns(spark, sf_dir), "r", F.weekday(F.timestamp_millis("open_time")).isin(5, 6)).select("u")
+    return statistics.mann_whitney(_returns(spark, sf_dir), "r", F.weekday(F.timestamp_millis("open_time")).isin(5, 6))
 
 
 _SSR = lambda t: f"(SELECT regr_syy(close, open) - regr_sxy(close, open) ** 2 / regr_sxx(close, open) FROM ch WHERE {t})"

@@ -109,6 +109,13 @@ def test_sar(spark):
         assert ((g.sar <= g.low + 1e-9) | (g.sar >= g.high - 1e-9))[1:].all()  # never inside the bar
 
 
+def test_sar_worked_by_hand():
+    bars = [(10.0, 9.0), (11.0, 10.0), (12.0, 11.0), (11.5, 8.5), (10.0, 8.0), (9.0, 7.0)]
+    made = list(indicators.sar_values(iter(bars), 0.02, 0.2))
+    # rises from the first low; turns on the fourth bar at the highest high; 12 - 0.04 * (12 - 8) on the last
+    assert made[0] is None and np.allclose(made[1:], [9.0, 9.0, 12.0, 12.0, 11.84])
+
+
 def test_labels(spark):
     df = candles(spark, 100).withColumns({f"depth_{b}": F.lit(10.0) + F.rand(b + 9) for b in reshape.BANDS})
     gen = LabelGenerator(horizons=(1, 5), span=10, roll_liq=20, scale_window=20, scale_least=5)
