@@ -78,4 +78,72 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM spelled GROUP BY conv_id
 """
 
-ORACLES = {"op5_warc": OP5, "op10_chat": OP10, "op2_line_dedup": OP2, "op6_near_dedup": OP6}
+#: Rows with equal id and text are told apart by a number only.
+OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+sized AS (
+  SELECT doc_id, text, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY text, doc_id) AS copy
+  FROM d WINDOW w AS (PARTITION BY text)
+)
+SELECT doc_id, keep_id, group_size, copy = 1 AND doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(text) AS text_sha256 FROM sized
+"""
+
+#: The CRC is spelled out over its table; letters beyond ASCII become single bytes, as levenshtein counts bytes.
+OP12 = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END, CAST(i AS BIGINT)) AS v
+    FROM range(0, 256) r(i))
+), letters AS (
+  SELECT string_agg(chr(CAST(192 + i AS INT)), '' ORDER BY i) AS wide, string_agg(chr(CAST(33 + i AS INT)), '' ORDER BY i) AS narrow FROM range(0, 64) r(i)
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(CAST(4294967295 AS BIGINT), list_reduce(
+    flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)]
+            ELSE [CAST(192 + (unicode(ch) >> 6) AS BIGINT), CAST(128 + (unicode(ch) & 63) AS BIGINT)] END)),
+    lambda c, b: xor(t[CAST(xor(c, b) & 255 AS INT) + 1], c >> 8), CAST(4294967295 AS BIGINT))) AS h
+  FROM counted, crc_table
+), spelled AS (
+  SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n, translate(word, any_value(wide), any_value(narrow)) AS code
+  FROM spelled, letters WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM words a JOIN words b
+  ON abs(length(a.code) - length(b.code)) <= 1 AND a.code <> b.code AND levenshtein(a.code, b.code) = 1
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL
+  SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c USING (word) JOIN forms l ON l.word = c.at WHERE l.form IS NULL
+"""
+
+OP13 = """
+WITH q AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.id AS anchor, a.label AS own, b.id, b.label, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.id % 50 = 0 AND a.id <> b.id AND len(a.v) = len(b.v)
+), positives AS (
+  SELECT anchor, id, score FROM scored WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5
+), inside AS (
+  SELECT p.anchor, p.id AS positive, p.score AS ps, s.id, s.score, row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS r
+  FROM positives p JOIN scored s ON s.anchor = p.anchor AND s.label <> s.own AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(r AS INT) AS rank, id AS negative_id, ps AS positive_score, score AS negative_score FROM inside WHERE r <= 3
+"""
+
+ORACLES = {"op5_warc": OP5, "op10_chat": OP10, "op2_line_dedup": OP2, "op6_near_dedup": OP6, "op11_exact_dedup": OP11, "op12_spelling": OP12, "op13_hard_negatives": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import ann, chat, decontaminate, language_id, line_dedup, near_dedup, packing, pii, quality, warc
+from marketloom.llm import ann, chat, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, near_dedup, packing, pii, quality, spelling, warc
 from marketloom.llm.sampling import fold
 
 
@@ -70,4 +70,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(extra), tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality, op4_ann, op5_warc, op6_near_dedup, op7_packing, op8_pii, op9_decontamination, op10_chat)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(_table(spark, sf_dir, "documents"), noise=199, least_length=6)
+    return spelling.group_variants(words.filter("n >= 5"), factor=5)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_line_dedup, op3_quality, op4_ann, op5_warc, op6_near_dedup, op7_packing, op8_pii, op9_decontamination, op10_chat,
+    op11_exact_dedup, op12_spelling, op13_hard_negatives)}
