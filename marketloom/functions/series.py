@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from marketloom.functions import blocks
+
 
 def order(series: list[str], ts: str) -> WindowSpec:
     return Window.partitionBy(*series).orderBy(ts)
@@ -101,87 +102,6 @@ def in_time_blocks(df: DataFrame, ts: str, step: int, lookback: int, transform:
     return transform(spread, [*series, "__block"]).filter(F.col("__block") == own).drop("__block")
 
 
-def _scan(x: np.ndarray, alpha: float, y: float) -> np.ndarray:
-    """y_i = (1-alpha) y_{i-1} + alpha x_i: blocks by scaled running sums, then one affine step a block."""
-    keep = 1.0 - alpha
-    if not len(x) or keep <= 0:
-        return x.astype(float)
-    k = min(len(x), max(1, int(np.log(1e3) / -np.log(keep)))) if keep < 1 else len(x)  # scales stay within 1e3
-    power = keep ** np.arange(1, k + 1)
-    blocks = np.pad(x, (0, -len(x) % k)).reshape(-1, k)
-    local = np.cumsum(blocks * alpha / power, axis=1) * power
-    carried = np.empty(len(blocks))
-    for i, last in enumerate(local[:, -1].tolist()):
-        carried[i] = y
-        y = power[-1] * y + last
-    return (local + carried[:, None] * power).ravel()[: len(x)]
-
-
-class _Mean:
-    """The state of one series: known values so far, the sum of its first ones, and the mean."""
-
-    def __init__(self) -> None:
-        self.known, self.total, self.y = 0, 0.0, 0.0
-
-    def more(self, x: np.ndarray, alpha: float, skip: int, first: int) -> np.ndarray:
-        """Means at the next known values ``x``."""
-        begin, seeded = (min(max(0, n - self.known), len(x)) for n in (skip, skip + first))
-        out = np.full(len(x), np.nan)
-        if seeded > begin:
-            totals = self.total + np.cumsum(x[begin:seeded])
-            out[begin:seeded] = totals / (self.known + np.arange(begin, seeded) - skip + 1)
-            self.total = float(totals[-1])
-            self.y = float(out[seeded - 1])
-        if len(x) > seeded:
-            out[seeded:] = _scan(x[seeded:], alpha, self.y)
-            self.y = float(out[-1])
-        self.known += len(x)
-        return out
-
-
-def ewma(df: DataFrame, x: Column, alpha: float, series: list[str], ts: str, out: str, mean_start: int | None = None, least: int = 1, skip: int = 0) -> DataFrame:
-    """``df`` with the recursive mean y_i = (1-alpha) y_{i-1} + alpha x_i, y_0 = x_0, of the known values.
-
-    The first ``skip`` known values count for nothing.  With ``mean_start`` = n the
-    recursion starts at the mean of the first n values; results before the ``least``-th
-    known value, and of unknown values, are NULL.  A recursion is a scan: rows stream
-    through sorted tasks in vectorised blocks, a series' state is three numbers.
-    """
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    schema = type(df.schema)(df.schema.fields[:]).add(out, "double")
-    keys, first = [df.columns.index(c) for c in series], mean_start or 1
-
-    def borders(batch: pa.RecordBatch, before: list) -> tuple[list[int], list]:
-        """Rows at which another series begins, and the last row's keys."""
-        n = batch.num_rows
-        changed = np.zeros(n, dtype=bool)
-        for k in keys:
-            a, b = batch.column(k).slice(1), batch.column(k).slice(0, n - 1)
-            other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null()))
-            changed[1:] |= np.asarray(other.to_numpy(zero_copy_only=False), dtype=bool)
-        ends = [[batch.column(k)[i].as_py() for k in keys] for i in (0, n - 1)]
-        changed[0] = ends[0] != before
-        return np.flatnonzero(changed).tolist(), ends[1]
-
-    def run(batches):
-        state, key = _Mean(), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = batch.column(batch.num_columns - 1)
-            x, ok = values.fill_null(0.0).to_numpy(zero_copy_only=False), np.asarray(values.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
-            made, starts = np.zeros(batch.num_rows), ok.copy()
-            cuts, key = borders(batch, key)
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                if a in cuts:
-                    state = _Mean()
-                at = a + np.flatnonzero(ok[a:b])
-                starts[at] = state.known + np.arange(1, len(at) + 1) >= skip + max(first, least)
-                made[at] = state.more(x[at], alpha, skip, first)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.float64(), mask=~starts)], names=schema.names)
-
-    valued = df.withColumn("__x", x.cast("double"))
-    placed = valued.repartition(*series) if series else valued.repartition(1)
-    return placed.sortWithinPartitions(*series, ts).mapInArrow(run, schema)
+def ewma(df: DataFrame, x: Column, alpha: float, series: list[str], ts: str, out: str, mean_start: int | None = None, least: int = 1, skip: int = 0, span: int = blocks.SPAN) -> DataFrame:
+    """One recursive mean (``blocks.Mean``) over time blocks of ``span``."""
+    return blocks.recursive_means(df, [blocks.Mean(x, alpha, out, mean_start, least, skip)], series, ts, span=span)

@@ -1,34 +1,51 @@
 """Technical indicators.  ``add`` takes (name, parameters) pairs and appends their columns.
 
-Everything is windows and block scans; the stop-and-reverse indicator alone, a state
-machine over a series, runs in Python, streaming over sorted rows.
+Windows of bounded length, and scans over time blocks (``functions.blocks``): recursive means
+as affine scans, running volume, and the stop-and-reverse indicator as a state machine.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.functions import blocks
 from marketloom.functions import series as S
+from marketloom.functions.stage import staged
 
 
 class Frame:
-    """A frame with the names of its series and time columns."""
+    """A frame with the names of its series and time columns, and the span of its time blocks.
 
-    def __init__(self, df: DataFrame, ts: str, series: list[str]) -> None:
-        self.df, self.ts, self.series = df, ts, series
+    A scan reads its input twice; ``scans`` counts those since the frame was last written, and
+    the input of a second one is written first, so that plans do not double with each.
+    """
+
+    def __init__(self, df: DataFrame, ts: str, series: list[str], span: int = blocks.SPAN, scans: int = 0) -> None:
+        self.df, self.ts, self.series, self.span, self.scans = df, ts, series, span, scans
         self.w = S.order(series, ts)
 
+    def _with(self, df: DataFrame, scans: int | None = None) -> Frame:
+        return Frame(df, self.ts, self.series, self.span, self.scans if scans is None else scans)
+
     def add(self, **columns: Column) -> Frame:
-        return Frame(self.df.withColumns(columns), self.ts, self.series)
+        return self._with(self.df.withColumns(columns))
 
     def drop(self, *names: str) -> Frame:
-        return Frame(self.df.drop(*names), self.ts, self.series)
+        return self._with(self.df.drop(*names))
+
+    def written(self) -> Frame:
+        return self._with(staged(self.df, "indicators"), 0) if self.scans else self
+
+    def ewmas(self, *means: blocks.Mean) -> Frame:
+        """Several recursive means in one scan."""
+        f = self.written()
+        return f._with(blocks.recursive_means(f.df, list(means), f.series, f.ts, span=f.span), 1)
 
     def ewma(self, x: Column, alpha: float, out: str, mean_start: int | None = None, least: int = 1, skip: int = 0) -> Frame:
-        return Frame(S.ewma(self.df, x, alpha, self.series, self.ts, out, mean_start, least, skip), self.ts, self.series)
+        return self.ewmas(blocks.Mean(x, alpha, out, mean_start, least, skip))
 
     def mean(self, x: Column, n: int, least: int | None = None) -> Column:
         return S.rolling(F.avg, x, self.w, n, least)
@@ -46,8 +63,6 @@ class Frame:
         return F.lag(x, n).over(self.w)
 
 
-
-
 def _ohlcv() -> tuple[Column, ...]:
     return tuple(F.col(c) for c in ("open", "high", "low", "close", "volume"))
 
@@ -71,8 +86,7 @@ def adx(f: Frame, adx_window: int, di_window: int) -> Frame:
     _, h, l, _, _ = _ohlcv()
     up, down = h - f.lag(h), f.lag(l) - l
     g = f.add(__tr=_true_range(f), __up=F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), __dn=F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)))
-    for name in ("tr", "up", "dn"):
-        g = g.ewma(F.col(f"__{name}"), 1 / di_window, f"__s{name}", mean_start=di_window)
+    g = g.ewmas(*[blocks.Mean(F.col(f"__{name}"), 1 / di_window, f"__s{name}", mean_start=di_window) for name in ("tr", "up", "dn")])
     g = g.add(adx_pos=100 * S.ratio(F.col("__sup"), F.col("__str")), adx_neg=100 * S.ratio(F.col("__sdn"), F.col("__str")))
     g = g.add(__dx=100 * S.ratio(F.abs(F.col("adx_pos") - F.col("adx_neg")), F.col("adx_pos") + F.col("adx_neg")))
     return g.ewma(F.col("__dx"), 1 / adx_window, "adx", mean_start=adx_window).drop("__tr", "__up", "__dn", "__str", "__sup", "__sdn", "__dx")
@@ -83,59 +97,53 @@ def macd(f: Frame, fast: int, slow: int, signal: int) -> Frame:
 
     All three columns begin where the signal does.
     """
-    g = f.ewma(F.col("close"), 2 / (fast + 1), "__f", mean_start=fast, skip=max(0, slow - fast)).ewma(F.col("close"), 2 / (slow + 1), "__s", mean_start=slow)
+    g = f.ewmas(
+        blocks.Mean(F.col("close"), 2 / (fast + 1), "__f", mean_start=fast, skip=max(0, slow - fast)),
+        blocks.Mean(F.col("close"), 2 / (slow + 1), "__s", mean_start=slow))
     g = g.add(__m=F.col("__f") - F.col("__s")).ewma(F.col("__m"), 2 / (signal + 1), "macd_signal", mean_start=signal)
     shown = F.when(F.col("macd_signal").isNotNull(), F.col("__m"))
     return g.add(macd=shown, macd_hist=F.col("__m") - F.col("macd_signal")).drop("__f", "__s", "__m")
 
 
-def sar_values(rows: Iterator[tuple[float, float]], acceleration: float, maximum: float) -> Iterator[float | None]:
-    """Parabolic stop-and-reverse of (high, low) in order; the first has none."""
-    prev = stop = extreme = None
-    rising, factor = True, acceleration
-    for high, low in rows:
-        if prev is None:
-            prev = (high, low)
-            yield None
-            continue
-        if stop is None:
-            rising = not (prev[1] - low > high - prev[0] and prev[1] - low > 0)
-            stop, extreme = (prev[1], high) if rising else (prev[0], low)
-        if rising and low <= stop or not rising and high >= stop:  # reverse
-            rising = not rising
-            stop = max(extreme, high, prev[0]) if not rising else min(extreme, low, prev[1])
-            factor, extreme = acceleration, (high if rising else low)
-            yield stop
-        else:
-            yield stop
-            if (high > extreme) if rising else (low < extreme):
-                extreme, factor = (high if rising else low), min(factor + acceleration, maximum)
-        following = stop + factor * (extreme - stop)
-        stop = min(following, low, prev[1]) if rising else max(following, high, prev[0])
-        prev = (high, low)
+def sar_step(state: list | None, bar: tuple[float, float], acceleration: float, maximum: float) -> tuple[float | None, list]:
+    """The parabolic stop of one bar (high, low), and the state after it; the first bar has none.
 
+    The state is the bar, the next stop, the extreme of the trend, 1 for a rising one, the factor.
+    """
+    high, low = bar
+    if state is None:
+        return None, [high, low, None, None, None, None]
+    last_high, last_low, stop, extreme, up, factor = state
+    if stop is None:
+        down = last_low - low > high - last_high and last_low - low > 0
+        stop, extreme, up, factor = (last_high, low, 0.0, acceleration) if down else (last_low, high, 1.0, acceleration)
+    if (low <= stop) if up else (high >= stop):  # reverse
+        up = 0.0 if up else 1.0
+        stop = min(extreme, low, last_low) if up else max(extreme, high, last_high)
+        factor, extreme = acceleration, (high if up else low)
+        shown = stop
+    else:
+        shown = stop
+        if (high > extreme) if up else (low < extreme):
+            extreme, factor = (high if up else low), min(factor + acceleration, maximum)
+    following = stop + factor * (extreme - stop)
+    stop = min(following, low, last_low) if up else max(following, high, last_high)
+    return shown, [high, low, stop, extreme, up, factor]
 
-def sar(f: Frame, acceleration: float, maximum: float) -> Frame:
-    import pandas as pd
 
-    schema = type(f.df.schema)(f.df.schema.fields[:]).add("sar", "double")
-    series, ts = f.series, f.ts
+def sar_values(rows: Iterator[tuple[float, float]], acceleration: float, maximum: float) -> Iterator[float | None]:
+    """Stops of bars (high, low) in order."""
+    state = None
+    for bar in rows:
+        shown, state = sar_step(state, bar, acceleration, maximum)
+        yield shown
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        live: dict = {"key": None, "feed": None}
-        for pdf in batches:  # sorted by series and time; a series' state goes from batch to batch
-            keys = list(pdf[series].itertuples(index=False, name=None)) if series else [()] * len(pdf)
-            out = []
-            for key, high, low in zip(keys, pdf["high"], pdf["low"], strict=True):
-                if key != live["key"]:
-                    box: list = []
-                    live.update(key=key, box=box, feed=sar_values(iter(box.pop, None), acceleration, maximum))
-                live["box"].append((high, low))
-                out.append(next(live["feed"]))
-            yield pdf.assign(sar=out)
 
-    placed = f.df.repartition(*series) if series else f.df.repartition(1)
-    return Frame(placed.sortWithinPartitions(*series, ts).mapInPandas(run, schema), ts, series)
+def sar(f: Frame, acceleration: float, maximum: float) -> Frame:
+    """Parabolic stop-and-reverse; a reversal forgets what came before, so blocks settle by themselves."""
+    g = f.written()
+    step = lambda state, bar: sar_step(state, bar, acceleration, maximum)
+    return g._with(blocks.state_scan(g.df, step, ["high", "low"], g.series, g.ts, "sar", span=g.span), 1)
 
 
 def ichimoku(f: Frame, conversion: int, base: int, span: int) -> Frame:
@@ -149,7 +157,7 @@ def _rsi(f: Frame, window: int, out: str, mean_start: bool = False) -> Frame:
     change = S.diff(F.col("close"), f.w)
     g = f.add(__u=F.greatest(change, F.lit(0.0)) + change * 0, __d=F.greatest(-change, F.lit(0.0)) + change * 0)
     start = window if mean_start else None
-    g = g.ewma(F.col("__u"), 1 / window, "__au", mean_start=start, least=1 if start else window).ewma(F.col("__d"), 1 / window, "__ad", mean_start=start, least=1 if start else window)
+    g = g.ewmas(*[blocks.Mean(F.col(c), 1 / window, o, mean_start=start, least=1 if start else window) for c, o in (("__u", "__au"), ("__d", "__ad"))])
     flat = F.when(F.col("__au").isNotNull(), 100.0 if not mean_start else 0.0)
     return g.add(**{out: F.coalesce(100 * S.ratio(F.col("__au"), F.col("__au") + F.col("__ad")), flat)}).drop("__u", "__d", "__au", "__ad")
 
@@ -191,8 +199,8 @@ def atr(f: Frame, window: int) -> Frame:
 def obv(f: Frame) -> Frame:
     """Running signed volume, the first volume counted."""
     change = S.diff(F.col("close"), f.w)
-    g = f.add(__s=F.coalesce(F.signum(change), F.lit(1.0)) * F.col("volume"))
-    return g.add(obv=F.sum("__s").over(g.w.rowsBetween(Window.unboundedPreceding, 0))).drop("__s")
+    g = f.add(__s=F.coalesce(F.signum(change), F.lit(1.0)) * F.col("volume")).written()
+    return g._with(blocks.running_sums(g.df, {"obv": F.col("__s")}, g.series, g.ts, span=g.span), 1).drop("__s")
 
 
 def vwap(f: Frame, period: int) -> Frame:
@@ -268,9 +276,12 @@ def fibonacci(f: Frame, level1: float = 0.236, level2: float = 0.382, level3: fl
 INDICATORS: dict[str, Callable[..., Frame]] = {f.__name__: f for f in (sma, ema, adx, macd, sar, ichimoku, rsi, stoch, cci, momentum, bbands, atr, obv, vwap, cmf, mfi, williams_r, ao, stochrsi, uo, fgi, bbp, fibonacci)}
 
 
-def add(df: DataFrame, wanted: list[tuple[str, dict]], ts: str = "open_time", series: list[str] | None = None) -> DataFrame:
-    """``df`` with the columns of each named indicator; unknown names are left out."""
-    frame = Frame(df, ts, series or [])
+def add(df: DataFrame, wanted: list[tuple[str, dict]], ts: str = "open_time", series: list[str] | None = None, span: int = blocks.SPAN) -> DataFrame:
+    """``df`` with the columns of each named indicator; unknown names are left out.
+
+    ``span`` is the length in time of the blocks that scans work on; some 10,000 rows are a good size.
+    """
+    frame = Frame(df, ts, series or [], span)
     for name, parameters in wanted:
         found = INDICATORS.get(name.strip().lower())
         if found:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions import blocks
 from marketloom.functions import series as S
 
 CLASSES = (-2, -1, 0, 1, 2)
@@ -38,6 +39,8 @@ class LabelGenerator:
     temperature: float = 0.6
     ts: str = "open_time"
     series: list[str] = field(default_factory=list)
+    rows: int = 20_000  # of a block that scans and medians work on
+    numbering: int = blocks.SPAN  # time span in which rows are numbered by one task
 
     def _w(self):
         return S.order(self.series, self.ts)
@@ -49,24 +52,27 @@ class LabelGenerator:
         parts = [F.coalesce(F.col(f"depth_{sign * b}"), F.lit(0.0)) * (self.band_weight(b) if weighted else 1.0) for b in self.bands]
         return sum(parts[1:], parts[0])
 
-    def _median_before(self, x: Column, size: int, least: int) -> Column:
-        return S.rolling(S.median, x, self._w(), size, least, skip_current=True)
+    def _medians(self, df: DataFrame, **wanted: tuple[Column, int, int]) -> DataFrame:
+        """Medians over the rows before each row, from a sorted window that moves along blocks of rows."""
+        return blocks.rolling_medians(df, wanted, self.series, "__i", self.rows)
 
     def base(self, df: DataFrame) -> DataFrame:
         """Returns, EWMA sigma, imbalance, density and liquidity: all that no threshold parameter changes."""
         w = self._w()
         change = F.coalesce(S.log_return(F.col("close"), w), F.lit(0.0))
-        df = df.withColumn("__sq", change * change)
-        df = S.ewma(df, F.col("__sq"), 2 / (self.span + 1), self.series, self.ts, "sigma").withColumn("sigma", F.sqrt("sigma")).drop("__sq")
+        df = S.row_index(df.withColumn("__sq", change * change), self.series, self.ts, self.numbering, "__i")
+        sigma = blocks.Mean(F.col("__sq"), 2 / (self.span + 1), "sigma")
+        df = blocks.recursive_means(df, [sigma], self.series, self.ts, position="__i", span=self.rows)
+        df = df.withColumn("sigma", F.sqrt("sigma")).drop("__sq")
         df = df.withColumns({f"ret_{h}": F.ln(F.lead("close", h).over(w)) - F.ln("close") for h in self.horizons})
         df = df.withColumns({"__bid": self._total(-1, False), "__ask": self._total(1, False)})
-        mid = lambda c: self._median_before(F.col(c), self.scale_window, self.scale_least)
-        scale = F.coalesce(S.ratio(mid("__bid"), mid("__ask")), F.lit(1.0))
-        df = df.withColumn("ask_scale", scale)
+        df = self._medians(df, __mbid=(F.col("__bid"), self.scale_window, self.scale_least), __mask=(F.col("__ask"), self.scale_window, self.scale_least))
+        df = df.withColumn("ask_scale", F.coalesce(S.ratio(F.col("__mbid"), F.col("__mask")), F.lit(1.0)))
         bid, ask = self._total(-1, True), self._total(1, True) * F.col("ask_scale")
         df = df.withColumns({"depth_total": bid + ask, "imbalance": F.coalesce(S.clip(S.ratio(bid - ask, bid + ask), -1.0, 1.0), F.lit(0.0)), "density": (bid + ask) / len(self.bands)})
-        ratio = S.ratio(F.col("density"), self._median_before(F.col("density"), self.roll_liq, 1))
-        return df.withColumn("__ratio", ratio).withColumn("liquidity", S.clip(F.col("__ratio"), 0.25, 4.0)).drop("__bid", "__ask", "__ratio")
+        df = self._medians(df, __mliq=(F.col("density"), self.roll_liq, 1), __mweight=(F.col("density"), 200, 1))
+        df = df.withColumn("__ratio", S.ratio(F.col("density"), F.col("__mliq")))
+        return df.withColumn("liquidity", S.clip(F.col("__ratio"), 0.25, 4.0)).drop("__bid", "__ask", "__ratio", "__mbid", "__mask", "__mliq", "__i")
 
     def thresholds(self, df: DataFrame, alpha: Column | float | None = None, gamma: Column | float | None = None) -> DataFrame:
         """t1 and t2 up and down for each horizon; NULL while volatility or liquidity is unknown."""
@@ -102,10 +108,10 @@ class LabelGenerator:
         full = self.thresholds(self.base(df))
         full = full.withColumns({f"label_{h}": self.label(h) for h in self.horizons} | {f"probs_{h}": self.probabilities(h) for h in self.horizons})
         acts = [F.when(F.coalesce(F.col(f"label_{h}"), F.lit(0)) != 0, 1).otherwise(0) for h in self.horizons]
-        full = full.withColumns({"concurrency": F.greatest(sum(acts[1:], acts[0]), F.lit(1)), "__m": self._median_before(F.col("density"), 200, 1)})
-        adjust = S.clip(S.ratio(F.col("density"), F.col("__m")), 0.5, 2.0)
+        full = full.withColumn("concurrency", F.greatest(sum(acts[1:], acts[0]), F.lit(1)))
+        adjust = S.clip(S.ratio(F.col("density"), F.col("__mweight")), 0.5, 2.0)
         weight = S.clip(S.ratio(F.lit(1.0), F.col("concurrency") * F.greatest(F.col("sigma"), F.lit(1e-4))) * adjust, 0.01, 50.0)
-        return full.withColumn("weight", F.coalesce(weight, F.lit(0.01))).drop("__m")
+        return full.withColumn("weight", F.coalesce(weight, F.lit(0.01))).drop("__mweight")
 
     def label_data(self, df: DataFrame) -> DataFrame:
         """Time, label classes 0..4 as horizon_{h}, and weight; rows without a full horizon are left out."""

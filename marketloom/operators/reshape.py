@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions import blocks
 from marketloom.functions import series as S
 from marketloom.operators.validate import ValidationError
 
@@ -46,42 +47,37 @@ def densify(df: DataFrame, ts: str, step: int) -> DataFrame:
     return grid.join(df, ts, "left")
 
 
-def carry_forward(df: DataFrame, ts: str = "create_time", series: list[str] | None = None) -> DataFrame:
-    """Every value filled forward, and ``distance``: rows since the last row with any value."""
+def carry_forward(df: DataFrame, ts: str = "create_time", series: list[str] | None = None, span: int = blocks.SPAN) -> DataFrame:
+    """Every value filled forward, and ``distance``: rows since the last row with any value.
+
+    Time blocks are summed up by their rows, last known values and last row with a value,
+    which are carried to the blocks after them.
+    """
     series = series or []
-    w = S.order(series, ts)
     values = [c for c in df.columns if c not in (ts, *series)]
-    any_value = F.coalesce(*[F.col(c).isNotNull().cast("int") * F.when(F.col(c).isNotNull(), 1) for c in values])
-    numbered = df.withColumn("__r", F.row_number().over(w))
-    held = F.max(F.when(any_value.isNotNull(), F.col("__r"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.select(*series, ts, *[S.ffill(F.col(c), w).alias(c) for c in values], (F.col("__r") - held).cast("double").alias("distance"))
-
-
-def interpolate_to_grid(df: DataFrame, ts: str, step: int, series: list[str] | None = None) -> DataFrame:
+    inside = Window.partitionBy(*series, "__b").orderBy(ts)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    any_value = F.coalesce(*[F.when(F.col(c).isNotNull(), 1) for c in values]) == 1
+    rows = blocks.with_block(df, ts, span).withColumn("__r", F.row_number().over(inside))
+    rows = rows.withColumn("__held", F.max(F.when(any_value, F.col("__r"))).over(so_far))
+    at = F.col(ts)
+    sums = rows.groupBy(*series, "__b").agg(
+        F.max("__r").alias("__n"), F.max("__held").alias("__h"), *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"__l{i}") for i, c in enumerate(values)])
+    over = blocks._series_window(series, "__b").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("__n").over(over), F.lit(0))
+    sums = sums.withColumn("__first", first).withColumn("__at", F.col("__first") + F.col("__h"))
+    carried = sums.select(*series, "__b", "__first", F.last("__at", ignorenulls=True).over(over).alias("__before"), *[F.last(f"__l{i}", ignorenulls=True).over(over).alias(f"__c{i}") for i in range(len(values))])
+    held = F.coalesce(F.col("__first") + F.col("__held"), F.col("__before"))
+    filled = [F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col(f"__c{i}")).alias(c) for i, c in enumerate(values)]
+    met = blocks.meet_blocks(rows, carried, series)
+    return met.select(*series, ts, *filled, (F.col("__first") + F.col("__r") - held).cast("double").alias("distance"))
+
+
+def interpolate_to_grid(df: DataFrame, ts: str, step: int, series: list[str] | None = None, span: int = blocks.SPAN) -> DataFrame:
     """Rows at each grid time from ceil(min) to floor(max): linear in time between the nearest
     known values, the nearest value at the edges."""
     series = series or []
-    values = [c for c in df.columns if c not in (ts, *series)]
-    ends = df.groupBy(*series).agg((F.ceil(F.min(ts) / step) * step).alias("lo"), (F.floor(F.max(ts) / step) * step).alias("hi")).filter("lo <= hi")
-    grid = ends.select(*series, F.explode(F.sequence("lo", "hi", F.lit(step))).alias(ts))
-    points = df.withColumn("__grid", F.lit(False)).unionByName(grid.withColumn("__grid", F.lit(True)), allowMissingColumns=True)
-    merged = points.groupBy(*series, ts).agg(*[F.max(c).alias(c) for c in values], F.max("__grid").alias("__grid"))
-    past = Window.partitionBy(*series).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    future = Window.partitionBy(*series).orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, 0)  # not an unbounded following frame
-    found = {}
-    for c in values:
-        at = F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c).cast("double").alias("v")))
-        found[f"__p_{c}"] = F.last(at, ignorenulls=True).over(past)
-        found[f"__n_{c}"] = F.last(at, ignorenulls=True).over(future)
-    full = merged.withColumns(found)
-
-    def value(c: str) -> Column:
-        p, n = F.col(f"__p_{c}"), F.col(f"__n_{c}")
-        share = S.ratio(F.col(ts) - p["t"], n["t"] - p["t"])
-        line = p["v"] + (n["v"] - p["v"]) * share
-        return F.when(p.isNull(), n["v"]).when(n.isNull() | (p["t"] == n["t"]), p["v"]).otherwise(line)
-
-    return full.filter("__grid").select(*series, ts, *[value(c).alias(c) for c in values])
+    return blocks.interpolated(df, [c for c in df.columns if c not in (ts, *series)], series, ts, step, span)
 
 
 def align_by_time(df: DataFrame, main: DataFrame, ts: str, main_ts: str) -> DataFrame:
