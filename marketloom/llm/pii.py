@@ -13,7 +13,8 @@ Names: a title, further neutral titles, and any number of name words with inner
 apostrophes, hyphens, initials and particles.  Within a document a titled surname is the
 one full name with it of a fitting gender, and its untitled later mentions (the full name,
 the surname) are replaced too; a surname of several persons without a title is the first
-one's.  Given names alone, and surnames of one letter, stay in clear without a title.
+one's.  Where a title is a given name as well ("Mr Don Smith", later "Don Smith"), the later
+mention is the full name.  Given names alone, and surnames of one letter, stay in clear without a title.
 
 Collision checks: a surrogate that another entity of its type has drawn too, or that is
 a real entity of the corpus, is drawn again with the next attempt number until none is
@@ -40,8 +41,8 @@ from marketloom.llm.skew import spread_join
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: Titles by gender: fixed words of the supported languages.
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Госпожа", "Dra", "Doctora", "Professorin")
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин")
+FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Lady", "Dame", "Frau", "Fräulein", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Doña", "Signora", "Signorina", "Госпожа", "Dra", "Doctora", "Professorin")
+MALE = ("Mr", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Sr", "Don", "Signor", "Signore", "Господин")
 NEUTRAL = ("Dr", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "Professeur", "Mx", "Доктор", "Профессор")
 #: Given names by gender and script, and syllables of surnames: fixed words.
 GIVEN = {
@@ -269,13 +270,13 @@ def pseudonymise(documents: DataFrame, key: str, id_col: str = "doc_id", text_co
     # written out step by step, so that no expression holds copies of the one before
     typed = scratch.save(mentions.select("entity").distinct().withColumn("kind", kind(F.col("entity"))).filter("kind is not null"), "kinds")
     typed = scratch.save(typed.withColumn("value", canonical(F.col("entity"), F.col("kind"))), "typed")
-    people = scratch.save(persons(mentions.join(typed.filter("kind = 'name'").select("entity"), "entity")), "people")
+    people = scratch.save(persons(spread_join(mentions, typed.filter("kind = 'name'").select("entity"), "entity")), "people")
     plain = typed.filter("kind != 'name'")
     entities = plain.select("kind", "value").union(people.select("kind", "value")).distinct()
     made = scratch.save(distinct_surrogates(scratch.save(entities, "entities"), key, scratch), "made")
     # one replacement for each distinct mention, before it meets the documents
     replaced = plain.join(made, ["kind", "value"]).select("entity", rendered(F.col("entity"), F.col("kind"), F.col("made")).alias("new"))
-    named = scratch.save(people.join(made, ["kind", "value"]), "named")
+    named = scratch.save(spread_join(people, made, ["kind", "value"]), "named")
     titled = named.select("__key", "entity", rendered(F.col("entity"), F.col("kind"), F.col("made")).alias("new"))
     shown = F.substring("made", 3, 1000)
     later = named.filter(F.col("value").endswith(F.concat(F.lit(":"), F.col("b")))).select("__key", F.col("b").alias("entity"), shown.alias("new"))
@@ -284,8 +285,13 @@ def pseudonymise(documents: DataFrame, key: str, id_col: str = "doc_id", text_co
     word = F.concat(F.lit("\\Q"), F.col("entity"), F.lit("\\E"))
     longest = F.transform(F.array_sort(F.collect_list(F.struct((-F.length("entity")).alias("n"), word.alias("w")))), lambda x: x["w"])
     untitled = later.groupBy("__key").agg(F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])")).alias("__pattern"))
-    new = spread_join(mentions, replaced, "entity").select("__key", "entity", "new").union(titled).union(later)
-    maps = new.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("__map")).join(untitled, "__key", "left")
+    entry = lambda rows, rank: rows.select("__key", F.struct("entity", F.lit(rank).alias("rank"), "new").alias("e"))
+    new = entry(spread_join(mentions, replaced, "entity"), 1).union(entry(titled, 2)).union(entry(later, 0))
+    sorted_ones = new.groupBy("__key").agg(F.array_sort(F.collect_list("e")).alias("all"))
+    # a string that is a titled mention and an untitled one too: the first of its entries
+    first = F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["entity"] != x["entity"]))
+    entries = F.transform(first, lambda x: F.struct(x["entity"], x["new"]))
+    maps = sorted_ones.select("__key", F.map_from_entries(entries).alias("__map")).join(untitled, "__key", "left")
     joined = touched.withColumn("__key", row_key).join(maps, "__key", "left")
     # the constant pattern is compiled once, a document's own one for the document
     own = lambda f: F.when(F.col("__pattern").isNull(), f(F.lit(PATTERN))).otherwise(f(F.col("__pattern")))
