@@ -11,7 +11,10 @@ and residual) is taken.  The groups leave one partly filled bin in thousands.
 
 Tokenising cuts the text at single spaces, where byte-level BPE never merges, and
 ``tokenizers`` encodes each distinct chunk of a task once, many chunks at a call; the
-bytes of each token tell where a chunk's ids end.  Chunks are known by their bytes.
+bytes of each token tell where a chunk's ids end.  Chunks that white space could join to a
+neighbour are encoded apart, and where no token ends at a chunk's end its whole call is
+encoded chunk by chunk, so ids never depend on what else is encoded.  Chunks are known by
+their bytes.
 
 Defined results: null and empty texts are one piece holding ``end_id`` alone; repeated
 rows are packed one by one; a null id is kept; an empty table gives an empty result;
@@ -81,17 +84,23 @@ class ChunkTokenizer:
         added = [a for a in self.added if a in whole]  # hardly ever one
         joined, apart = [], []
         for c, t in texts:
-            (apart if t[0] != " " or added and any(a in t for a in added) else joined).append((c, t))
+            alone = t[0] != " " or t[-1].isspace() or t[1].isspace() or added and any(a in t for a in added)
+            (apart if alone else joined).append((c, t))
         runs = [joined[i : i + _RUN] for i in range(0, len(joined), _RUN)]
-        ids, sizes = [], []
+        order, ids, sizes = [], [], []
         for run, made in zip(runs, self._ids(["".join(t for _, t in run) for run in runs]), strict=True):
-            ends = np.cumsum([len(c) for c, _ in run])
+            ends, reached = np.cumsum([len(c) for c, _ in run]), np.cumsum(self.token_bytes[made])
+            at = np.searchsorted(reached, ends)
+            if len(made) == 0 or at[-1] >= len(made) or (reached[at] != ends).any():
+                apart += run
+                continue
+            order += [c for c, _ in run]
             ids.append(made)
-            sizes.append(np.diff(np.searchsorted(np.cumsum(self.token_bytes[made]), ends) + 1, prepend=0))
+            sizes.append(np.diff(at + 1, prepend=0))
         for made in self._ids([t for _, t in apart]):
             ids.append(made)
             sizes.append(np.array([len(made)]))
-        return [c for c, _ in joined + apart], np.concatenate(ids), np.concatenate(sizes)
+        return order + [c for c, _ in apart], np.concatenate(ids), np.concatenate(sizes)
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
