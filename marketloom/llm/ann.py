@@ -5,7 +5,8 @@ remembers its ``k + 1`` smallest ids, all that a result can need.  Classes carry
 codes of their directions.
 
 Graph: random hyperplanes deal classes into blocks of bounded size, whose best pairs
-start the lists.  NN-descent then joins every class's list and a sample of the lists it
+start the lists; one more deal by a hash of the id gives every class a list, however far
+from all others it lies.  NN-descent then joins every class's list and a sample of the lists it
 is in (``degree`` fresh and ``degree`` older entries on average, drawn anew each round)
 with the codes; neighbours of a common class are compared in tasks where one of the two
 entries is fresh, that is of the round before, and pairs better than a list's worst entry
@@ -13,12 +14,16 @@ are merged into it.  Rounds end when at most the share ``delta`` of all entries
 
 Search: a query starts at its own lists and keeps the ``beam`` best classes seen.  Each
 hop joins the ``expand`` best ones not yet expanded with the graph and scores their
-neighbours, until no class of its beam is left to expand.  The best ``rescore`` classes are scored on the original vectors in double
-precision, and the classes' members are ranked by (score, smaller id).
+neighbours, until no class of its beam is left to expand.  The best ``rescore`` classes are
+scored on the original vectors in double precision, and the classes' members are ranked by
+(score, smaller id).  A query that has met fewer than ``k`` rows, though there are more, is
+answered by scoring all rows.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite parts
 take no part, neither as query nor as candidate; a null id takes no part; repeated rows
-count once; with fewer than ``k`` candidates all are returned.
+count once (of several vectors of one id the smallest); vectors of other lengths than the
+query's are no candidates; with fewer than ``k`` candidates all are returned; an empty table
+gives an empty result; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.scratch import Scratch
+from marketloom.llm.textcore import mix64
 
 BLOCK = 400
 DEGREE = 32
@@ -76,7 +82,7 @@ def classes(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _coded(nodes: DataFrame, planes: int, trees: int, seed: int) -> DataFrame:
-    """(node, code, leaves): the code and the hyperplane signs of each tree."""
+    """(node, code, leaves): the code, the hyperplane signs of each tree, and a leaf drawn by the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +94,9 @@ def _coded(nodes: DataFrame, planes: int, trees: int, seed: int) -> DataFrame:
                 code = directions(np.array([vectors[i] for i in at], dtype=np.float64))
                 normal = np.random.default_rng([seed, size]).normal(size=(size, planes * trees))
                 sign = (_unit(code) @ normal > 0).reshape(len(at), trees, planes)
-                leaf = (sign * (1 << np.arange(planes))).sum(axis=2) + size * (1 << planes)  # other lengths, other leaves
+                leaf = (sign * (1 << np.arange(planes))).sum(axis=2)
+                drawn = mix64(batch.column(0).to_numpy()[at].view(np.uint64)) & np.uint64((1 << planes) - 1)
+                leaf = np.column_stack([leaf, drawn.astype(np.int64)]) + size * (1 << planes)  # other lengths, other leaves
                 for j, i in enumerate(at):
                     codes[i], leaves[i] = code[j].tobytes(), leaf[j].tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(leaves, pa.list_(pa.int64()))], names=["node", "code", "leaves"])
@@ -304,6 +312,22 @@ def search(queries: DataFrame, graph: DataFrame, coded: DataFrame, scratch: Scra
     return reduce(DataFrame.union, ended, state).select("query", "nodes", "scores")
 
 
+def _member_lists(pairs: DataFrame, k: int) -> DataFrame:
+    """(query, best): the ``k + 1`` best members (minus, id) of the classes in ``pairs`` (query, qv, vector, members), by cosine in double precision."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    value = dot("vector", "qv") / (F.sqrt(dot("vector", "vector")) * F.sqrt(dot("qv", "qv")))
+    scored = pairs.filter(F.size("vector") == F.size("qv")).select("query", value.alias("score"), F.explode("members").alias("id"))
+    few = scored.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k + 1)
+    return few.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))).alias("best"))
+
+
+def _with_all(short: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each of a few queries (query, qv, size) with every class of its length; the classes are dealt to salts, to which the queries are copied."""
+    salts = 64
+    dealt = nodes.select("vector", "members", F.size("vector").alias("size"), F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int").alias("salt"))
+    return dealt.join(short.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["size", "salt"])
+
+
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, degree: int = DEGREE, delta: float = 0.05, beam: int = 400, expand: int = 200, rescore: int = 30, trees: int = 3, seed: int = 11) -> DataFrame:
     """query_id, rank, id and score of the ``k`` nearest rows of each query row."""
     scratch = Scratch(vectors.sparkSession, "ann")
@@ -321,13 +345,14 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     near = found.select("query", F.explode(F.slice("nodes", 1, rescore)).alias("node"))
     side = lambda n, v: nodes.select(F.col("node").alias(n), F.col("vector").alias(v))
     exact = near.join(nodes, "node").join(side("query", "qv"), "query")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    value = dot("vector", "qv") / (F.sqrt(dot("vector", "vector")) * F.sqrt(dot("qv", "qv")))
-    scored = exact.filter(F.size("vector") == F.size("qv")).select("query", "members", value.alias("score"))
+    lists = scratch.save(_member_lists(exact, k), "lists")
     # a query's own class gives its other members; k + 1 members are enough for any query
-    pairs = scored.select("query", "score", F.explode("members").alias(id_col))
-    short = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), id_col))).filter(F.col("r") <= k + 1)
-    lists = short.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col(id_col).alias("id")))).alias("best"))
+    sizes = nodes.groupBy(F.size("vector").alias("size")).agg(F.sum(F.size("members")).alias("rows"))
+    needed = of_query.select("query").distinct().join(side("query", "qv"), "query").join(sizes, F.col("size") == F.size("qv"))
+    needed = needed.join(lists.select("query", F.size("best").alias("got")), "query", "left")
+    short = scratch.save(needed.filter(F.coalesce("got", F.lit(0)) < F.least("rows", F.lit(k + 1))).select("query", "qv", "size"), "short")
+    if not short.isEmpty():
+        lists = lists.join(short, "query", "left_anti").union(_member_lists(_with_all(short, nodes), k))
     own = of_query.join(lists, "query").select("query_id", F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k).alias("best"))
     out = own.select("query_id", F.posexplode("best").alias("p", "b"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.id").alias(id_col), (-F.col("b.minus")).alias("score"))
