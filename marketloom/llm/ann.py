@@ -203,13 +203,14 @@ def _round(graph: DataFrame, coded: DataFrame, degree: int, round_no: int) -> Da
             if not table.num_rows:
                 continue
             node, worst, fresh = (table.column(c).to_numpy() for c in ("node", "worst", "fresh"))
-            codes = _matrix(table.column("code").combine_chunks())
+            codes = table.column("code").combine_chunks()
             cut, out = _runs(table.column("center").to_numpy()), []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 new = np.flatnonzero(fresh[a:b])
                 if not len(new):
                     continue
-                score = _cosines(codes[a + new], codes[a:b])
+                own = _matrix(codes.slice(a, b - a))  # of one length around one center
+                score = _cosines(own[new], own)
                 score[np.arange(len(new)), new] = -2
                 i, j = np.nonzero(score > worst[a + new, None])
                 out.append((node[a + new[i]], node[a + j], score[i, j]))
