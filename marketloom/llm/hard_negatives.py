@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.scratch import Scratch
 from marketloom.llm.skew import spread_join
 
-CELLS = 64
+CELLS = 256
 BLOCK = 4096  # rows of a block
 GROUP = 256  # anchors of a group
 STRIPE = 4  # blocks of a stripe
@@ -67,7 +67,7 @@ def cell_edges(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """
     parts = rows.select(F.size("vector").alias("size"), F.posexplode("vector").alias("dim", "x"))
     shares = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
-    found = parts.groupBy("size", "dim").agg(F.min("x"), F.percentile_approx("x", shares, F.lit(2000)), F.max("x")).collect()
+    found = parts.groupBy("size", "dim").agg(F.min("x"), F.percentile_approx("x", shares, F.lit(5000)), F.max("x")).collect()
     out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size, dim, low, cuts, high in found:
         if size not in out:
