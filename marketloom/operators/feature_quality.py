@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import series as S
+from marketloom.functions.quantiles import exact_quantiles
 from marketloom.functions.series import average_rank
 
 
@@ -29,13 +30,20 @@ def _sample_kurtosis(n: Column, g: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g + 6))
 
 
+def _quartiles(df: DataFrame, columns: list[str]) -> Column:
+    """The exact quartiles of ``feature``."""
+    found = exact_quantiles(df, {c: F.col(c) for c in columns}, (0.25, 0.5, 0.75))
+    return F.create_map(*[x for c, q in found.items() for x in (F.lit(c), F.array(*[F.lit(v).cast("double") for v in q]))])[F.col("feature")]
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, moments (skewness and kurtosis bias-corrected), exact quartiles, missing and distinct of each feature."""
     total = df.select(F.count(F.lit(1)).alias("rows"))
     stats = unpivot(df, columns).groupBy("feature").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.percentile("x", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias("q"), F.max("x").alias("max"),
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
         F.skewness("x").alias("__s"), F.kurtosis("x").alias("__k"), F.count_distinct("x").alias("distinct"), F.count_if(F.col("x") == 0).alias("zeros"), F.count_if(F.col("x") < 0).alias("negatives"))
     n = F.col("n").cast("double")
+    stats = stats.withColumn("q", _quartiles(df, columns))
     full = stats.crossJoin(F.broadcast(total)).withColumns({"q25": F.col("q")[0], "q50": F.col("q")[1], "q75": F.col("q")[2], "skew": _sample_skew(n, F.col("__s")), "kurt": _sample_kurtosis(n, F.col("__k")), "missing": F.col("rows") - F.col("n")})
     return full.withColumns({"iqr": F.col("q75") - F.col("q25"), "range": F.col("max") - F.col("min"), "cv": S.ratio(F.col("std"), F.abs("mean")), "missing_pct": F.col("missing") / F.col("rows") * 100, "zero_pct": F.col("zeros") / F.col("n") * 100}).drop("q", "__s", "__k")
 
@@ -129,8 +137,9 @@ def outliers(df: DataFrame, columns: list[str], method: str = "iqr", k: float =
     """(feature, low, high, n_low, n_high, pct, min, max) of values outside the bounds."""
     long = unpivot(df, columns)
     if method == "iqr":
-        q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)))
-        fit = long.groupBy("feature").agg(q.alias("q")).select("feature", (F.col("q")[0] - k * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).alias("high"))
+        fit = long.select("feature").distinct().withColumn("q", _quartiles(df, columns))
+        width = F.col("q")[2] - F.col("q")[0]
+        fit = fit.select("feature", (F.col("q")[0] - k * width).alias("low"), (F.col("q")[2] + k * width).alias("high"))
     else:
         fit = long.groupBy("feature").agg((F.avg("x") - k * F.stddev_samp("x")).alias("low"), (F.avg("x") + k * F.stddev_samp("x")).alias("high"))
     below, above = F.count_if(F.col("x") < F.col("low")), F.count_if(F.col("x") > F.col("high"))

@@ -74,20 +74,17 @@ class LabelGenerator:
         df = df.withColumn("__ratio", S.ratio(F.col("density"), F.col("__mliq")))
         return df.withColumn("liquidity", S.clip(F.col("__ratio"), 0.25, 4.0)).drop("__bid", "__ask", "__ratio", "__mbid", "__mask", "__mliq", "__i")
 
-    def thresholds(self, df: DataFrame, alpha: Column | float | None = None, gamma: Column | float | None = None) -> DataFrame:
+    def _threshold(self, h: int, side: str, alpha: Column | float) -> Column:
+        """The first threshold of one side; it never falls as ``alpha`` grows."""
+        t = F.when(F.col("sigma").isNotNull(), F.greatest(F.col("sigma") * alpha * (h**0.5), F.lit(self.floor)))
+        calm = 1 - self.k_liq * (F.col("liquidity") - 1) / 2
+        t1 = t * (1 + {"up": -1, "down": 1}[side] * self.k_imb * F.col("imbalance")) * calm
+        return F.when(t1.isNotNull(), F.greatest(t1, F.lit(self.floor)))
+
+    def thresholds(self, df: DataFrame) -> DataFrame:
         """t1 and t2 up and down for each horizon; NULL while volatility or liquidity is unknown."""
-        alpha, gamma = self.alpha if alpha is None else alpha, self.gamma if gamma is None else gamma
-        out = {}
-        for h in self.horizons:
-            raw = F.col("sigma") * alpha * (h**0.5)
-            t = F.when(F.col("sigma").isNotNull(), F.greatest(raw, F.lit(self.floor)))
-            calm = 1 - self.k_liq * (F.col("liquidity") - 1) / 2
-            for side, sign in (("up", -1), ("down", 1)):
-                t1 = t * (1 + sign * self.k_imb * F.col("imbalance")) * calm
-                t1 = F.when(t1.isNotNull(), F.greatest(t1, F.lit(self.floor)))
-                out[f"t1_{side}_{h}"] = t1
-                out[f"t2_{side}_{h}"] = t1 * gamma
-        return df.withColumns(out)
+        first = {f"t1_{side}_{h}": self._threshold(h, side, self.alpha) for h in self.horizons for side in ("up", "down")}
+        return df.withColumns(first).withColumns({n.replace("t1", "t2"): F.col(n) * self.gamma for n in first})
 
     def label(self, h: int) -> Column:
         """-2..2; 0 where a threshold is unknown, NULL where the return is."""
@@ -126,18 +123,29 @@ class LabelGenerator:
     def calibrate(self, df: DataFrame, target: dict[int, float], alphas: tuple[float, ...] = tuple(0.4 + 0.2 * i for i in range(9)), gammas: tuple[float, ...] = tuple(1.4 + 0.2 * i for i in range(7))) -> DataFrame:
         """(alpha, gamma, error): L1 distance of the class shares from ``target``, summed over horizons.
 
-        One job: the base frame meets the grid, a few dozen rows, and one aggregation
-        counts the classes.
+        Thresholds never fall as alpha grows, so a return passes one for the first so many
+        alphas.  A row is known by its side and these numbers, one for each gamma; rows are
+        counted by them in one pass, and the grid is laid over the few counts, not the rows.
         """
-        spark = df.sparkSession
-        grid = spark.createDataFrame([(float(a), float(g)) for a in alphas for g in gammas], "alpha double, gamma double")
-        crossed = self.thresholds(self.base(df).crossJoin(F.broadcast(grid)), F.col("alpha"), F.col("gamma"))
-        counts = []
+        alphas = tuple(sorted(float(a) for a in alphas))
+        grid_of = lambda values: F.array(*[F.lit(float(v)) for v in values])
+        rows = []
         for h in self.horizons:
-            counts += [F.count(F.col(f"ret_{h}")).alias(f"n_{h}"), *[F.count_if(self.label(h) == c).alias(f"c{c + 2}_{h}") for c in CLASSES]]
-        shares = crossed.groupBy("alpha", "gamma").agg(*counts)
-        terms = [F.abs(S.ratio(F.col(f"c{c + 2}_{h}"), F.col(f"n_{h}")) - F.lit(float(target.get(c, 0.0)))) for h in self.horizons for c in CLASSES]
-        return shares.select("alpha", "gamma", sum(terms[1:], terms[0]).alias("error"))
+            r = F.col(f"ret_{h}")
+            passed = lambda side, h=h: F.transform(grid_of(alphas), lambda a: self._threshold(h, side, a))
+            rows.append(F.struct(F.lit(h).alias("h"), r.alias("r"), F.when(r > 0, passed("up")).otherwise(passed("down")).alias("t")))
+        long = self.base(df).select(F.explode(F.array(*rows)).alias("x")).select("x.*").filter("r is not null")
+        count = lambda factor: F.size(F.filter("t", lambda t: F.abs("r") >= t * factor))
+        keyed = long.select("h", (F.col("r") > 0).alias("up"), count(F.lit(1.0)).alias("first"), F.transform(grid_of(gammas), count).alias("second"))
+        counts = keyed.groupBy("h", "up", "first", "second").agg(F.count(F.lit(1)).alias("n"))
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("alpha"), F.lit(float(g)).alias("gamma")) for i, a in enumerate(alphas) for j, g in enumerate(gammas)])
+        laid = counts.select("h", "up", "n", "first", "second", F.explode(cells).alias("c")).select("h", "up", "n", "first", F.col("second")[F.col("c.j")].alias("second"), "c.i", "c.alpha", "c.gamma")
+        sign = F.when(F.col("up"), 1).otherwise(-1)
+        kind = F.when(F.col("second") > F.col("i"), 2 * sign).when(F.col("first") > F.col("i"), sign).otherwise(0)
+        total = F.sum("n")
+        shares = laid.groupBy("alpha", "gamma", "h").agg(*[(F.coalesce(F.sum(F.when(kind == c, F.col("n"))), F.lit(0)) / total).alias(f"s{c + 2}") for c in CLASSES])
+        away = [F.abs(F.col(f"s{c + 2}") - F.lit(float(target.get(c, 0.0)))) for c in CLASSES]
+        return shares.groupBy("alpha", "gamma").agg(F.sum(sum(away[1:], away[0])).alias("error"))
 
     @staticmethod
     def best(grid: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import series as S
+from marketloom.functions.quantiles import exact_quantiles
 from marketloom.operators.reshape import BANDS
 
 
@@ -22,11 +23,11 @@ def clean_lags(lags: tuple) -> tuple[int, ...]:
 
 
 def quantile_bounds(df: DataFrame, columns: list[str], low: float, high: float) -> dict[str, tuple[float, float]]:
-    """Exact (low, high) quantiles of each column in one aggregation."""
+    """Exact (low, high) quantiles of each column that has known values."""
     if not columns:
         return {}
-    row = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(c) for c in columns]).first()
-    return {c: tuple(row[c]) for c in columns if row[c] is not None}
+    found = exact_quantiles(df, {c: F.col(c) for c in columns}, (low, high))
+    return {c: tuple(q) for c, q in found.items() if q[0] is not None}
 
 
 def _with_context(df: DataFrame, context: DataFrame | None) -> DataFrame:
@@ -145,8 +146,8 @@ class MetricsNormalizer:
         from marketloom.operators.validate import require_columns
 
         require_columns(df, list(self.REQUIRED))
-        row = df.agg(*[F.percentile(c, F.array(F.lit(0.5), F.lit(0.01), F.lit(0.99))).alias(c) for c in self.RATIOS]).first()
-        self.scale = {c: tuple(row[c]) for c in self.RATIOS if row[c] is not None}
+        found = exact_quantiles(df, {c: F.col(c) for c in self.RATIOS}, (0.5, 0.01, 0.99))
+        self.scale = {c: tuple(q) for c, q in found.items() if q[0] is not None}
         if self.clip:
             self.bounds = quantile_bounds(self.features(df), list(self.OUTPUT), *self.clip)
         return self

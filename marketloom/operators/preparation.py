@@ -6,10 +6,14 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.functions import blocks
 from marketloom.functions import series as S
+from marketloom.functions.quantiles import exact_quantiles
 from marketloom.operators.normalizers import MetricsNormalizer, OHLCVNormalizer, OrderBookNormalizer
 from marketloom.operators.validate import ValidationError, require_split_sizes
 
@@ -25,18 +29,26 @@ class Numeric:
     params: dict[str, list] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> None:
-        """One aggregation for imputation, one for scaling."""
-        make = {"mean": F.avg, "median": S.median, "most_frequent": lambda c: F.mode(c, True)}.get(self.impute or "")
-        fills = df.agg(*[make(F.col(c)).alias(c) for c in self.columns]).first() if make else None
-        fill = {c: (float(fills[c]) if make and fills[c] is not None else self.fill) for c in self.columns}
-        value = {c: F.coalesce(F.col(c), F.lit(fill[c])) if self.impute else F.col(c) for c in self.columns}
-        aggs = {"standard": lambda x: F.array(F.avg(x), F.stddev_pop(x)), "minmax": lambda x: F.array(F.min(x).cast("double"), (F.max(x) - F.min(x)).cast("double")), "robust": lambda x: F.percentile(x, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))}.get(self.scale or "")
-        row = df.agg(*[aggs(value[c]).alias(c) for c in self.columns]).first() if aggs else None
+        """One aggregation for imputation and one for scaling; medians and quartiles by exact selection."""
+        columns = {c: F.col(c) for c in self.columns}
+        fill = dict.fromkeys(self.columns, self.fill)
+        if self.impute == "median":
+            found = {c: q[0] for c, q in exact_quantiles(df, columns, (0.5,)).items()}
+        elif self.impute in ("mean", "most_frequent"):
+            make = F.avg if self.impute == "mean" else lambda x: F.mode(x, True)
+            found = df.agg(*[make(x).alias(c) for c, x in columns.items()]).first().asDict()
+        else:
+            found = {}
+        fill |= {c: float(v) for c, v in found.items() if v is not None}
+        value = {c: F.coalesce(x.cast("double"), F.lit(fill[c])) if self.impute else x for c, x in columns.items()}
+        scales = dict.fromkeys(self.columns, (0.0, 1.0))
+        if self.scale == "robust":
+            scales = {c: (q[0], None if q[0] is None else q[2] - q[1]) for c, q in exact_quantiles(df, value, (0.5, 0.25, 0.75)).items()}
+        elif self.scale in ("standard", "minmax"):
+            of = {"standard": lambda x: (F.avg(x), F.stddev_pop(x)), "minmax": lambda x: (F.min(x).cast("double"), (F.max(x) - F.min(x)).cast("double"))}[self.scale]
+            scales = df.agg(*[F.array(*of(x)).alias(c) for c, x in value.items()]).first().asDict()
         for c in self.columns:
-            centre, width = 0.0, 1.0
-            if row is not None:
-                centre, width = (row[c][0], row[c][2] - row[c][1]) if self.scale == "robust" else (row[c][0], row[c][1])
-            self.params[c] = [fill[c] if self.impute else None, centre or 0.0, width or 1.0]
+            self.params[c] = [fill[c] if self.impute else None, scales[c][0] or 0.0, scales[c][1] or 1.0]
 
     def outputs(self) -> list[tuple[str, Column]]:
         out = []
@@ -143,9 +155,12 @@ class FeaturePipeline:
         return df
 
     def fit(self, df: DataFrame) -> FeaturePipeline:
-        start = self._start(df)
-        for p in self.parts:
-            p.fit(start)
+        start = self._start(df).persist()  # read by each part
+        try:
+            for p in self.parts:
+                p.fit(start)
+        finally:
+            start.unpersist()
         return self
 
     def feature_names(self) -> list[str]:
@@ -181,7 +196,7 @@ def time_features(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumns(out)
 
 
-def split_by_time(df: DataFrame, ts: str, train: float, val: float) -> DataFrame:
+def split_by_time(df: DataFrame, ts: str, train: float, val: float, span: int = blocks.SPAN) -> DataFrame:
     """``df`` with ``part``: train, then val, then test rows by time, sizes as whole shares of the count."""
     require_split_sizes(train, val, 1 - train - val)
     n = df.count()
@@ -189,7 +204,7 @@ def split_by_time(df: DataFrame, ts: str, train: float, val: float) -> DataFrame
         raise ValidationError("nothing to split")
     a, b = int(n * train), int(n * train) + int(n * val)
     part = F.when(F.col("__i") < a, "train").when(F.col("__i") < b, "val").otherwise("test")
-    return S.row_index(df, [], ts, 86_400_000, "__i").withColumn("part", part).drop("__i")
+    return S.row_index(df, [], ts, span, "__i").withColumn("part", part).drop("__i")
 
 
 def split_at_random(df: DataFrame, key: str, train: float, val: float, seed: int = 42) -> DataFrame:
@@ -203,16 +218,56 @@ def split_at_random(df: DataFrame, key: str, train: float, val: float, seed: int
     return indexed.withColumn("part", part).drop("__i", "__h")
 
 
-def windows(df: DataFrame, ts: str, past: list[str], future: list[str], static: list[str], target: str, length: int, horizons: tuple[int, ...], stride: int = 1, series: list[str] | None = None) -> DataFrame:
-    """Sliding samples: ``past`` rows of ``length``, ``future`` rows up to the largest horizon, targets at each."""
+def windows(df: DataFrame, ts: str, past: list[str], future: list[str], static: list[str], target: str, length: int, horizons: tuple[int, ...], stride: int = 1, series: list[str] | None = None, rows: int = 4096, span: int = blocks.SPAN) -> DataFrame:
+    """Sliding samples: ``past`` rows of ``length``, ``future`` rows up to the largest horizon, targets at each.
+
+    Samples begin at every ``stride``-th row of a series and are whole.  Series are cut into
+    blocks of ``rows`` rows, each with the rows after it that its last samples reach; samples
+    are views of a block's columns, and only those that the stride keeps are ever made.
+    """
     series = series or []
-    w = S.order(series, ts)
     ahead = max(horizons)
-    take = lambda cols, a, b: F.collect_list(F.array(*[F.col(c).cast("float") for c in cols])).over(w.rowsBetween(a, b))
-    aims = F.array(*[F.lead(target, length + h - 1).over(w).cast("double") for h in horizons])
-    full = df.withColumns({"__i": F.row_number().over(w) - 1, "__last": F.lead(F.lit(1), length + ahead - 1).over(w), "past": take(past, 0, length - 1), "future": take(future, length, length + ahead - 1), "targets": aims})
-    keep = full.filter(F.col("__last").isNotNull() & (F.col("__i") % stride == 0))
-    return keep.select(*series, F.col(ts).alias("start"), "past", "future", F.array(*[F.col(c).cast("float") for c in static]).alias("static"), "targets")
+    reach, used = length + ahead, list(dict.fromkeys([*past, *future, *static, target]))
+    rows = max(rows, reach)
+    slim = df.select(*series, F.col(ts).alias("start"), *[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(used)])
+    indexed = S.row_index(slim, series, "start", span, "__i")
+    own = F.floor(F.col("__i") / rows)
+    copies = F.array_compact(F.array(own, F.when((F.pmod(F.col("__i"), F.lit(rows)) < reach) & (own > 0), own - 1)))
+    at = {c: i for i, c in enumerate(used)}
+    groups, aims, offsets = [[at[c] for c in cols] for cols in (past, future, static)], at[target], list(horizons)
+    kinds = [pa.list_(pa.list_(pa.float32()))] * 2 + [pa.list_(pa.float32()), pa.list_(pa.float64())]
+
+    def nested(x: np.ndarray, known: np.ndarray, kind: pa.DataType) -> pa.Array:
+        """Equally long lists (of lists) as an Arrow array."""
+        values = pa.array(x.ravel(), pa.float64(), mask=~known.ravel())
+        flat = values.cast(pa.float32() if x.ndim == 3 or pa.types.is_float32(kind.value_type) else pa.float64())
+        for level in range(x.ndim - 1, 0, -1):
+            lists = int(np.prod(x.shape[:level]))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(lists + 1, dtype=np.int32) * x.shape[level]), flat)
+        return flat
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("__i")
+        index = table.column("__i").to_numpy()
+        block = key[-1].as_py()
+        starts = np.flatnonzero((index // rows == block) & (index % stride == 0) & (np.arange(len(index)) + reach <= len(index)))
+        cells = [blocks._floats(table.column(f"__v{i}")) for i in range(len(used))]
+        values, known = (np.stack([c[j] for c in cells], axis=1) if cells else np.zeros((len(index), 0)) for j in (0, 1))
+        steps = [starts[:, None] + np.arange(length), starts[:, None] + np.arange(length, reach)]
+        made = [nested(values[s][:, :, g], known[s][:, :, g], kind) for s, g, kind in zip(steps, groups, kinds, strict=False)]
+        made.append(nested(values[starts][:, groups[2]], known[starts][:, groups[2]], kinds[2]))
+        to = starts[:, None] + length - 1 + np.array(offsets)
+        made.append(nested(values[to, aims], known[to, aims], kinds[3]))
+        kept = table.take(pa.array(starts))
+        return pa.table({**{c: kept.column(c) for c in [*series, "start"]}, **dict(zip(("past", "future", "static", "targets"), made, strict=True))})
+
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in series), f"start {df.schema[ts].dataType.simpleString()}", "past array<array<float>>, future array<array<float>>, static array<float>, targets array<double>"])
+    return indexed.withColumn("__b", F.explode(copies)).groupBy(*series, "__b").applyInArrow(run, schema)
+
+
+def split_windows(samples: DataFrame, train: float, val: float, span: int = blocks.SPAN) -> DataFrame:
+    """Samples with ``part`` by their start: train, then val, then test; what a later part sees, an earlier one may have seen in its future rows."""
+    return split_by_time(samples, "start", train, val, span)
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -221,5 +276,6 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 def quantile_groups(df: DataFrame, x: str, groups: int) -> DataFrame:
     """``df`` with ``group`` 0..groups-1 by exact quantile edges, right-closed, the first one closed."""
-    edges = df.agg(F.percentile(x, F.array(*[F.lit(i / groups) for i in range(1, groups)])).alias("__e"))
-    return df.crossJoin(F.broadcast(edges)).withColumn("group", F.size(F.filter("__e", lambda e: F.col(x) > e))).drop("__e")
+    edges = exact_quantiles(df, {"x": F.col(x)}, tuple(i / groups for i in range(1, groups)))["x"]
+    above = [F.when(F.col(x) > F.lit(e), 1).otherwise(0) for e in edges if e is not None]
+    return df.withColumn("group", sum(above[1:], above[0]) if above else F.lit(0))

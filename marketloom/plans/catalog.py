@@ -553,13 +553,13 @@ def _grid_sql() -> str:
     cls = f"CASE WHEN liquidity IS NULL THEN 0 WHEN ret_1 >= {t('up', '-')} * g THEN 2 WHEN ret_1 >= {t('up', '-')} THEN 1 WHEN ret_1 <= -{t('dn', '+')} * g THEN -2 WHEN ret_1 <= -{t('dn', '+')} THEN -1 ELSE 0 END"
     goal = {-2: 0.1, -1: 0.2, 0: 0.4, 1: 0.2, 2: 0.1}
     err = " + ".join(f"abs(count(*) FILTER (WHERE c = {k}) / count(*)::DOUBLE - {v})" for k, v in goal.items())
-    return f"SELECT a AS alpha, g AS gamma, {err} AS error FROM (SELECT a, g, {cls} AS c FROM l4, (SELECT unnest([0.4, 0.8, 1.2])::DOUBLE AS a), (SELECT unnest([1.5, 2.0])::DOUBLE AS g) WHERE ret_1 IS NOT NULL) GROUP BY a, g"
+    return f"SELECT a AS alpha, g AS gamma, {err} AS error FROM (SELECT a, g, {cls} AS c FROM l4, (SELECT 0.4::DOUBLE + 0.2::DOUBLE * unnest(range(0, 9)) AS a), (SELECT 1.4::DOUBLE + 0.2::DOUBLE * unnest(range(0, 7)) AS g) WHERE ret_1 IS NOT NULL) GROUP BY a, g"
 
 
 @register("label_calibration", _grid_sql(), "", "alpha gamma error", _LABELS)
 def label_calibration(spark, sf_dir):
     gen = LabelGenerator(horizons=(1,), span=24, roll_liq=48, scale_window=48, scale_least=10, ts="timestamp")
-    return gen.calibrate(_label_input(spark, sf_dir), {-2: 0.1, -1: 0.2, 0: 0.4, 1: 0.2, 2: 0.1}, (0.4, 0.8, 1.2), (1.5, 2.0))
+    return gen.calibrate(_label_input(spark, sf_dir), {-2: 0.1, -1: 0.2, 0: 0.4, 1: 0.2, 2: 0.1})
 
 
 _LONG = _LABELS + ", long AS (SELECT 1 AS horizon, ret_1 AS r, label_1 AS label, t1_up_1 AS up, t1_down_1 AS down FROM l7 WHERE ret_1 IS NOT NULL UNION ALL SELECT 3, ret_3, label_3, t1_up_3, t1_down_3 FROM l7 WHERE ret_3 IS NOT NULL), cs AS (SELECT horizon, label, avg(r) AS mean, stddev_samp(r) AS std, count(*) AS n, quantile_cont(r, 0.01) AS q01, quantile_cont(r, 0.99) AS q99 FROM long GROUP BY 1, 2)"
