@@ -24,11 +24,16 @@ def _folder(spark) -> str:
     return folder.rstrip("/")
 
 
+def staged_path(spark, name: str) -> str:
+    """A new place in the shared folder; ``release`` removes what is there."""
+    _written.append(f"{_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written and read again, so that what follows does not repeat its work or its plan."""
-    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = staged_path(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import blocks
 from marketloom.functions import series as S
+from marketloom.functions.stage import staged
 
 CLASSES = (-2, -1, 0, 1, 2)
 
@@ -156,19 +158,21 @@ class LabelGenerator:
     def tune(self, df: DataFrame, grid: list[dict]) -> DataFrame:
         """A row of quality figures for each parameter set and horizon, and its score, best first.
 
-        Sets that share span and roll_liq share their base frame.
+        Sets that share span, window, weights and bands share a base frame; all sets are
+        judged together.
         """
-        from marketloom.operators.label_quality import analyze
+        from marketloom.operators.label_quality import diagnose, long_form
 
-        bases: dict[tuple, DataFrame] = {}
-        out = None
+        shared: dict[tuple, list[tuple[int, LabelGenerator]]] = {}
         for i, options in enumerate(grid):
             made = replace(self, **options)
-            key = (made.span, made.roll_liq, made.weighting, made.bands)
-            if key not in bases:
-                bases[key] = made.base(df).persist()  # shared by all sets with this key
-            full = made.thresholds(bases[key])
-            full = full.withColumns({f"label_{h}": made.label(h) for h in made.horizons})
-            rows = analyze(full, list(made.horizons)).withColumn("config", F.lit(i))
-            out = rows if out is None else out.unionByName(rows)
-        return out.withColumn("avg_quality_score", F.avg("quality_score").over(Window.partitionBy("config"))).orderBy(F.desc_nulls_last("avg_quality_score"), "config", "horizon")
+            shared.setdefault((made.span, made.roll_liq, made.weighting, made.bands), []).append((i, made))
+        parts = []
+        for sets in shared.values():
+            base = staged(sets[0][1].base(df), "label-base")
+            for i, made in sets:
+                full = made.thresholds(base)
+                full = full.withColumns({f"label_{h}": made.label(h) for h in made.horizons})
+                parts.append(long_form(full, list(made.horizons)).withColumn("config", F.lit(i)))
+        rows = diagnose(reduce(DataFrame.unionByName, parts), ("config", "horizon"))
+        return rows.withColumn("avg_quality_score", F.avg("quality_score").over(Window.partitionBy("config"))).orderBy(F.desc_nulls_last("avg_quality_score"), "config", "horizon")

@@ -60,6 +60,21 @@ def horizon_accuracy(df: DataFrame, predicted: str, target: str) -> DataFrame:
     return pairs.groupBy("horizon").agg(F.avg((F.col("x.p") == F.col("x.t")).cast("double")).alias("accuracy"))
 
 
+def evaluate(df: DataFrame, logits: str, target: str, ignore: int | None = None) -> DataFrame:
+    """(horizon, n, accuracy, loss) of a table of predictions, and a last row with a NULL horizon over all.
+
+    ``logits`` holds an array of threshold logits a horizon, ``target`` a class a horizon;
+    targets that are unknown or ``ignore`` count for nothing.  One aggregation, with partial
+    sums before the shuffle.
+    """
+    zipped = F.arrays_zip(F.col(logits).alias("z"), F.col(target).alias("y"))
+    rows = df.select(F.posexplode(zipped).alias("horizon", "x")).select("horizon", "x.z", "x.y")
+    rows = rows.filter(F.col("y").isNotNull() & F.col("z").isNotNull() & (F.lit(True) if ignore is None else F.col("y") != ignore))
+    hit = (ordinal_class("z") == F.col("y")).cast("double")
+    found = rows.rollup("horizon").agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"), ordinal_loss("z", "y").alias("loss"))
+    return found.select("horizon", "n", "accuracy", "loss")
+
+
 def positional_encoding(df: DataFrame, position: str, size: int) -> DataFrame:
     """``df`` with ``encoding``: sines and cosines of the position at falling frequencies."""
     angle = lambda i: F.col(position) / (10000.0 ** (2 * (i // 2) / size))

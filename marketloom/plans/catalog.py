@@ -267,13 +267,6 @@ def typed_rows(spark, sf_dir):
     return ingest.require_schema(ingest.typed(text.union(header), "bookDepth"), "bookDepth")
 
 
-@register("archive_plan", "SELECT CAST(d AS DATE) AS day, 'AB-1m-' || strftime(d, '%Y-%m-%d') || '.zip' AS name, 'http://x/klines/AB/1m/AB-1m-' || strftime(d, '%Y-%m-%d') || '.zip' AS address FROM (SELECT unnest(generate_series(DATE '2024-02-27', DATE '2024-03-02', INTERVAL 1 DAY)) AS d)", "day name address")
-def archive_plan(spark, sf_dir):
-    import datetime as dt
-
-    return ingest.plan_archives(spark, "AB", "klines", dt.date(2024, 2, 27), dt.date(2024, 3, 2), "http://x", "1m")
-
-
 # joins --------------------------------------------------------------------------------
 
 
@@ -588,12 +581,6 @@ def label_quality_query(spark, sf_dir):
     return out.select("horizon", "n", "classes", "monotonic", "quality_score", "purity_up", "purity_down", "noise_ratio", "threshold_cv", "precision_up", "recall_up", "separation", "mean_cohens_d", "overlap")
 
 
-@register("label_tuning")
-def label_tuning(spark, sf_dir):
-    grid = [{"alpha": a, "gamma": g} for a in (0.4, 0.8) for g in (1.5, 2.0)]
-    return _GEN.tune(_label_input(spark, sf_dir), grid).select("config", "horizon", "quality_score", "avg_quality_score")
-
-
 # data and feature quality -------------------------------------------------------------
 
 _NUM = ("value", "k")
@@ -686,14 +673,6 @@ def _f_tail(f: str, df1: str, df2: str) -> str:
     return f"2 * exp(lgamma(({df1} + {df2}) / 2.0) - lgamma({df1} / 2.0) - lgamma({df2} / 2.0)) * {area}"
 
 
-@register(
-    "normality",
-    f"SELECT *, {_chi2_tail('jarque_bera', '2')} AS jarque_bera_p FROM (SELECT count(r) AS n, count(r) / 6.0 * ((avg((r - m) ** 3) / avg((r - m) ** 2) ** 1.5) ** 2 + (avg((r - m) ** 4) / avg((r - m) ** 2) ** 2 - 3) ** 2 / 4) AS jarque_bera FROM rets, (SELECT avg(r) AS m FROM rets))",
-    "n", "jarque_bera jarque_bera_p", _RET)
-def normality(spark, sf_dir):
-    return statistics.normality(_returns(spark, sf_dir), "r").select("n", "jarque_bera", "jarque_bera_p")
-
-
 _D = _RET + ", dv AS (SELECT open_time, r, r - (SELECT avg(r) FROM rets) AS d FROM rets)"
 _ACF = " UNION ALL ".join(f"SELECT {k} AS lag, sum(d * e) / (SELECT sum(d * d) FROM dv) AS acf FROM (SELECT d, lag(d, {k}) OVER (ORDER BY open_time) AS e FROM dv)" for k in range(0, 6))
 
@@ -820,22 +799,6 @@ def var_order(spark, sf_dir):
     return statistics.var_order(_pair_returns(spark, sf_dir), ["x", "y"], "open_time", 4)
 
 
-@register("unit_root")
-def unit_root(spark, sf_dir):
-    k = views.klines(spark, sf_dir)
-    return statistics.adf(k, "close", "open_time", 2).select(F.lit("adf").alias("test"), "stat").union(statistics.kpss(k, "close", "open_time", 5).select(F.lit("kpss"), "stat"))
-
-
-@register("johansen")
-def johansen(spark, sf_dir):
-    return statistics.johansen(_pair(spark, sf_dir), ["close", "close_b"], "open_time", 1)
-
-
-@register("change_points")
-def change_points(spark, sf_dir):
-    return statistics.change_points(views.klines(spark, sf_dir), "close", "open_time", 3)
-
-
 @register("wavelet_coherence")
 def wavelet_coherence(spark, sf_dir):
     return statistics.wavelet_coherence(_pair(spark, sf_dir), "close", "close_b", "open_time")
@@ -856,11 +819,6 @@ def pacf(spark, sf_dir):
     return statistics.pacf(_returns(spark, sf_dir), "r", "open_time", 5)
 
 
-@register("impulse_responses")
-def impulse_responses(spark, sf_dir):
-    return statistics.var_responses(_pair_returns(spark, sf_dir), ["x", "y"], "open_time")
-
-
 # derived columns and outliers ---------------------------------------------------------
 
 _DERIVED = """SELECT *, ln(close) - ln(lag(close) OVER (ORDER BY open_time)) AS returns, (close - open) / nullif(open, 0) * 100 AS price_change_pct,
@@ -896,14 +854,6 @@ _SQUARED = _RET + ", sr AS (SELECT open_time, r * r AS x FROM rets), dv AS (SELE
 _ACF30 = " UNION ALL ".join(f"SELECT {k} AS lag, sum(d * e) / (SELECT sum(d * d) FROM dv) AS acf FROM (SELECT d, lag(d, {k}) OVER (ORDER BY open_time) AS e FROM dv)" for k in range(1, 31))
 
 
-@register(
-    "ljung_box_squared", "SELECT m AS lag, (SELECT count(*) FROM sr) * ((SELECT count(*) FROM sr) + 2) * (SELECT sum(acf ** 2 / ((SELECT count(*) FROM sr) - ac.lag)) FROM ac WHERE ac.lag <= m) AS q FROM (SELECT unnest([10, 20, 30]) AS m)",
-    "lag", "q", f"{_SQUARED}, ac AS ({_ACF30})")
-def ljung_box_squared(spark, sf_dir):
-    squared = _returns(spark, sf_dir).withColumn("r2", F.col("r") * F.col("r"))
-    return statistics.ljung_box(squared, "r2", "open_time", (10, 20, 30)).drop("p")
-
-
 _BASE_TYPES = {"value": "double", "k": "int"}
 _STATS = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, '{t}' AS dtype, count({c}) AS count, count(*) - count({c}) AS missing, coalesce(100.0 * (count(*) - count({c})) / nullif(count({c}), 0), 0) AS missing_pct, avg({c}) AS mean, stddev_samp({c}) AS std, quantile_cont({c}::DOUBLE, 0.25) AS q25, quantile_cont({c}::DOUBLE, 0.5) AS q50, quantile_cont({c}::DOUBLE, 0.75) AS q75 FROM some_missing"
@@ -970,17 +920,4 @@ def training_calendar(spark, sf_dir):
     return training.future_features(_combined(spark, sf_dir).filter("close is not null"), "timestamp")
 
 
-# losses -------------------------------------------------------------------------------
-
-_Z4 = ", ".join(f"embedding[{i}]::DOUBLE AS z{i}" for i in range(1, 5))
-_SP = lambda z: f"(greatest({z}, 0) + ln(1 + exp(-abs({z}))))"
-_BCE = " + ".join(f"CASE WHEN y > {q} THEN {_SP(f'-z{q + 1}')} ELSE {_SP(f'z{q + 1}')} END" for q in range(4))
-_PIN = " + ".join(f"greatest({q} * (y - z{i}), ({q} - 1) * (y - z{i}))" for i, q in enumerate((0.1, 0.4, 0.6, 0.9), 1))
-_LOGP = "(CASE y % 4 WHEN 0 THEN z1 WHEN 1 THEN z2 WHEN 2 THEN z3 ELSE z4 END - greatest(z1, z2, z3, z4) - ln(exp(z1 - greatest(z1, z2, z3, z4)) + exp(z2 - greatest(z1, z2, z3, z4)) + exp(z3 - greatest(z1, z2, z3, z4)) + exp(z4 - greatest(z1, z2, z3, z4))))"
-
-
-@register("losses", f"SELECT avg(({_BCE}) / 4) AS ordinal, avg(-1 * pow(1 - exp({_LOGP}), 2) * {_LOGP}) AS focal, avg(({_PIN}) / 4) AS quantile, avg(((z1 > 0)::INT + (z2 > 0)::INT + (z3 > 0)::INT + (z4 > 0)::INT = y)::INT) AS accuracy FROM (SELECT {_Z4}, label % 5 AS y FROM embeddings)", "", "ordinal focal quantile accuracy")
-def loss_values(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    e = e.select(F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("z"), F.pmod("label", F.lit(5)).alias("y"), F.pmod(F.pmod("label", F.lit(5)), F.lit(4)).cast("int").alias("y4"))
-    return e.agg(losses.ordinal_loss("z", "y").alias("ordinal"), losses.focal_loss("z", "y4").alias("focal"), losses.quantile_loss("z", "y", (0.1, 0.4, 0.6, 0.9)).alias("quantile"), F.avg((losses.ordinal_class("z") == F.col("y")).cast("double")).alias("accuracy"))
+from marketloom.plans import catalog_models  # noqa: E402, F401  registers its queries
