@@ -23,6 +23,8 @@ only the named columns are read.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import json
 import os
 import zlib
@@ -79,28 +81,29 @@ class ChunkTokenizer:
 
     def _encoded(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The chunks in another order, all their ids in a row, and the number of each one's ids."""
-        texts = [(c, c.decode()) for c in chunks]
-        whole = b"".join(chunks).decode()
-        added = [a for a in self.added if a in whole]  # hardly ever one
+        added = [a.encode() for a in self.added]
+        whole = b"".join(chunks)
+        added = [a for a in added if a in whole]  # hardly ever one
         joined, apart = [], []
-        for c, t in texts:
-            alone = t[0] != " " or t[-1].isspace() or t[1].isspace() or added and any(a in t for a in added)
-            (apart if alone else joined).append((c, t))
+        for c in chunks:
+            # white space before " x" ends a token; only a second character of white space could join what comes before
+            alone = c[0] != 32 or len(c) < 2 or c[1] <= 32 or c[1] > 127 and c.decode()[1].isspace()
+            (apart if alone or added and any(a in c for a in added) else joined).append(c)
         runs = [joined[i : i + _RUN] for i in range(0, len(joined), _RUN)]
         order, ids, sizes = [], [], []
-        for run, made in zip(runs, self._ids(["".join(t for _, t in run) for run in runs]), strict=True):
-            ends, reached = np.cumsum([len(c) for c, _ in run]), np.cumsum(self.token_bytes[made])
+        for run, made in zip(runs, self._ids([b"".join(run).decode() for run in runs]), strict=True):
+            ends, reached = np.cumsum([len(c) for c in run]), np.cumsum(self.token_bytes[made])
             at = np.searchsorted(reached, ends)
             if len(made) == 0 or at[-1] >= len(made) or (reached[at] != ends).any():
                 apart += run
                 continue
-            order += [c for c, _ in run]
+            order += run
             ids.append(made)
             sizes.append(np.diff(at + 1, prepend=0))
-        for made in self._ids([t for _, t in apart]):
+        for made in self._ids([c.decode() for c in apart]):
             ids.append(made)
             sizes.append(np.array([len(made)]))
-        return order + [c for c, _ in apart], np.concatenate(ids), np.concatenate(sizes)
+        return order + apart, np.concatenate(ids), np.concatenate(sizes)
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
@@ -131,7 +134,10 @@ class ChunkTokenizer:
             starts = textcore.distinct(np.concatenate([space, border[border < len(data)]]))
             ends = np.append(starts[1:], len(data)) if len(starts) else starts
             hashes = textcore.span_hashes(data, starts, ends)
-            _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            # groups of equal hashes through a hash table, in order of their first chunks
+            inverse = pa.array(hashes).dictionary_encode().indices.to_numpy().astype(np.int64)
+            at = np.empty(int(inverse.max(initial=-1)) + 1, np.int64)
+            at[inverse[::-1]] = np.arange(len(inverse))[::-1]
             raw = data.tobytes()
             names = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
             # a chunk that only hashes like its group's first one gets a place of its own
@@ -155,6 +161,14 @@ class ChunkTokenizer:
             yield first, end, ids, total[np.searchsorted(starts, offsets)]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(trim := ctypes.CDLL(libc), "malloc_trim"):
+        trim.malloc_trim(0)
+
+
 _tokenizers: dict[str, ChunkTokenizer] = {}
 
 
@@ -197,6 +211,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int, end_id: int
                 serial += len(rows)
                 names = ["id", "piece", "start", "length", "ids_crc32", "serial"]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []), names=names + ["ids"] * with_ids)
+        _give_back()
 
     schema = f"id {id_type}, piece int, start long, length long, ids_crc32 long, serial long" + ", ids array<int>" * with_ids
     return slim.mapInArrow(run, schema)
