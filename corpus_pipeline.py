@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
 but the last return the columns of ``documents``.  ``run`` writes each stage's result to
 the shared folder before the next one reads it.
+
+Defined results: null and empty texts are scored like any other and stay if the classifier
+keeps them, lose no line, are no near-duplicates of anything and become one piece holding
+the end id; rows without an id are kept apart from each other by line dedup and join no
+benchmark match of another row; of repeated rows one stays after near-dedup; ties go to the
+smaller id; an empty ``documents`` gives an empty result, an empty ``labels`` a classifier
+that gives every document the same score, an empty ``benchmark`` removes nothing.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ holds is kept as a character span, so a token across a border never leaks.
 A conversation is the unit of work: its rows meet in one task, its rendering in one
 string.  Defined results: a null text or role is empty; turns are ordered by (turn,
 role, text), nulls first, so repeated and tied rows have a fixed order; rows with a
-null id form one conversation; an empty table gives an empty result.
+null id form one conversation; further columns, whatever their names, are not read; an
+empty table gives an empty result.  Reading back keeps no state beyond the text, so a
+conversation of millions of characters takes its own size a few times over.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from pyspark.sql import types as T
 
 _OPEN, _CLOSE = "<turn>", "</turn>\n"
 _CONTROL = re.compile(r"\\|<(?=/?turn)")
-_TURN = re.compile(r"<turn>((?:[^\\\n]|\\.)*)\n((?:[^\\<]|\\.|<(?!/?turn))*)</turn>\n", re.S)
+# possessive throughout: no state is kept for a way back, so memory does not grow with a turn
+_TURN = re.compile(r"<turn>((?:[^\\\n]++|\\.)*+)\n((?:[^\\<]++|\\.|<(?!/?turn))*+)</turn>\n", re.S)
 
 
 def escape(text: str) -> str:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.llm import ann, packing, pii
+from marketloom.llm import ann, chat, packing, pii
 from marketloom.llm.queries import tokenizer_path
 
 
@@ -129,3 +129,16 @@ def test_surrogates_stay_distinct_over_a_corpus(spark):
         for old, made in zip(re.findall(r"[\w.]+@[\w.]+\w|\d{3}-\d{3}-\d{4}", text), re.findall(r"[\w.]+@[\w.]+\w|\d{3}-\d{3}-\d{4}", got[i]), strict=True):
             assert new.setdefault(old, made) == made  # one entity, one surrogate
     assert len(set(new.values())) == len(new) == 600 and not set(new) & set(new.values())
+
+
+def test_long_turns_are_read_back_in_little_memory():
+    import tracemalloc
+
+    said = ("\\### <turn> </turn> <b> \\\\ \n" * 40_000, "x" * 2_000_000)
+    turns = [("us\ner", said[0]), ("assistant", said[1]), ("", "")]
+    rendered, _ = chat.render(turns)
+    tracemalloc.start()
+    assert chat.parse(rendered) == turns
+    assert tracemalloc.get_traced_memory()[1] < 12 * len(rendered)
+    with pytest.raises(ValueError):
+        chat.parse(rendered[:-3])
