@@ -102,11 +102,13 @@ def impulse_responses(spark, sf_dir):
 
 def _breaks(count: int) -> str:
     """CTEs bs{i}: the best split of all segments between the breaks found so far."""
-    steps = ["pf AS (SELECT row_number() OVER (ORDER BY open_time) AS k, sum(close) OVER (ORDER BY open_time) AS s, count(*) OVER () AS n FROM klines), pf0 AS (SELECT k, s FROM pf UNION ALL SELECT 0, 0)"]
+    steps = ["""pf AS (SELECT row_number() OVER (ORDER BY open_time) AS k, sum(close) OVER (ORDER BY open_time ROWS UNBOUNDED PRECEDING) AS s FROM klines),
+br0 AS (SELECT 0 AS k, CAST(0 AS DOUBLE) AS s UNION ALL SELECT max(k), arg_max(s, k) FROM pf)"""]
     for i in range(1, count + 1):
-        found = " UNION ALL ".join(["SELECT 0 AS pos", "SELECT max(n) FROM pf", *(f"SELECT k FROM bs{j}" for j in range(1, i))])
-        steps.append(f"""ends{i} AS ({found}), sg{i} AS (SELECT pos AS a, lead(pos) OVER (ORDER BY pos) AS b FROM ends{i}),
-bs{i} AS (SELECT p.k, (p.s - l.s) ** 2 / (p.k - a) + (h.s - p.s) ** 2 / (b - p.k) - (h.s - l.s) ** 2 / (b - a) AS gain FROM pf p JOIN sg{i} ON p.k >= a + 2 AND p.k <= b - 2 JOIN pf0 l ON l.k = a JOIN pf0 h ON h.k = b ORDER BY gain DESC, p.k LIMIT 1)""")
+        steps.append(f"""mk{i} AS (SELECT pf.k, pf.s, br{i - 1}.k AS brk FROM pf LEFT JOIN br{i - 1} USING (k)),
+sg{i} AS (SELECT *, coalesce(max(brk) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, min(brk) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM mk{i}),
+bs{i} AS (SELECT p.k, p.s, (p.s - l.s) ** 2 / (p.k - a) + (h.s - p.s) ** 2 / (b - p.k) - (h.s - l.s) ** 2 / (b - a) AS gain FROM sg{i} p JOIN br{i - 1} l ON l.k = a JOIN br{i - 1} h ON h.k = b WHERE p.k >= a + 2 AND p.k <= b - 2 ORDER BY gain DESC, p.k LIMIT 1),
+br{i} AS (SELECT k, s FROM br{i - 1} UNION ALL SELECT k, s FROM bs{i})""")
     return ", ".join(steps)
 
 

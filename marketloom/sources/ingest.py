@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import csv
 import datetime as dt
-import io
 import re
-import zipfile
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.operators.validate import ValidationError
+from marketloom.sources import archives
 
 #: Columns and types of the raw tables, in file order: fixed values of the data format.
 SCHEMAS: dict[str, dict[str, str]] = {
@@ -64,34 +61,10 @@ def plan_archives(spark: SparkSession, symbol: str, endpoint: str, start: dt.dat
 
 
 def read_archives(spark: SparkSession, folder: str, symbol: str, kind: str) -> DataFrame:
-    """All rows of a symbol's zip archives as text columns, members in name order.
-
-    Archives are read as binary files and unpacked in tasks, line by line.
-    """
-    names = list(schema_of(kind))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{symbol}-*.zip").load(folder)
-    schema = ", ".join(f"`{n}` string" for n in names) + ", archive_day string"
-    middle = re.compile(r"\d{4}-\d{2}-\d{2}")
-
-    def unpack(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                day = middle.search(path.rsplit("/", 1)[-1])
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in sorted(n for n in z.namelist() if n.endswith(".csv")):
-                        rows = []
-                        for row in csv.reader(io.TextIOWrapper(z.open(member), "utf-8")):
-                            rows.append((row + [None] * len(names))[: len(names)] + [day.group() if day else None])
-                            if len(rows) == 10_000:
-                                yield pd.DataFrame(rows, columns=[*names, "archive_day"])
-                                rows = []
-                        if rows:
-                            yield pd.DataFrame(rows, columns=[*names, "archive_day"])
-
-    wanted = F.col("path").rlike(f"/{re.escape(symbol)}-.*" + ("" if kind == "klines" else re.escape(kind)) + r".*\.zip$")
-    return files.filter(wanted).select("path", "content").mapInPandas(unpack, schema)
+    """All rows of a symbol's zip archives as text columns, with ``archive_day``; only its archives are opened."""
+    archives.register(spark)
+    rows = spark.read.format("market_archives").option("kind", kind).load(folder)
+    return rows.filter(F.col("archive_symbol") == symbol).select(*schema_of(kind), "archive_day")
 
 
 def epoch_ms(text: Column) -> Column:
@@ -136,7 +109,7 @@ def load_parts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
-def ingest(spark: SparkSession, archives: str, store: str, symbol: str, kind: str) -> DataFrame:
+def ingest(spark: SparkSession, folder_of_archives: str, store: str, symbol: str, kind: str) -> DataFrame:
     """The typed rows of a symbol: from Parquet parts if there are any, else from its archives, which become parts."""
     from pyspark.errors import AnalysisException
 
@@ -146,7 +119,7 @@ def ingest(spark: SparkSession, archives: str, store: str, symbol: str, kind: st
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
-    rows = require_schema(typed(read_archives(spark, archives, symbol, kind), kind), kind)
+    rows = require_schema(typed(read_archives(spark, folder_of_archives, symbol, kind), kind), kind)
     if rows.isEmpty():
         raise FileNotFoundError(f"no data of {symbol} {kind}")
     save_parts(rows, folder, ROWS_PER_PART[kind])
