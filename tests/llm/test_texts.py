@@ -319,7 +319,7 @@ def test_whole_tables_at_small_scale(spark):
     from marketloom.llm.queries import QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     for name, sql in ORACLES.items():
         want = con.sql(sql)
