@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm import textcore
+from marketloom.llm.scratch import Scratch
+from marketloom.llm.skew import spread_join
 
 MIN_WORDS = 5
 THRESHOLD = 0.5
@@ -201,7 +203,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     index = _bounded_index(items, min_words, broadcast_words)
     if index is None:
         found = _joined(slim, items, min_words).filter(F.col("coverage") >= threshold)
-        pairs = slim.select("id", *_text_key()).join(found, ["h", "g"]).select("id", "item", "covered", "item_words", "coverage")
+        pairs = spread_join(slim.select("id", *_text_key()), found, ["h", "g"]).select("id", "item", "covered", "item_words", "coverage")
     else:
         shared = documents.sparkSession.sparkContext.broadcast(index)
 
@@ -257,10 +259,11 @@ def _joined(documents: DataFrame, items: DataFrame, min_words: int) -> DataFrame
     own = items.select("item", "text", *_text_key())
     left = keyed.mapInArrow(_seed_rows(lengths, min_words), "h long, g long, seed long")
     right = own.select("text", "h", "g").mapInArrow(_seed_rows(None, min_words), "h long, g long, seed long").toDF("ih", "ig", "seed").distinct()
-    met = left.join(right, "seed").select("h", "g", "ih", "ig").distinct()
+    met = spread_join(left, right, "seed").select("h", "g", "ih", "ig").distinct()  # a common phrase is in many texts
+    met = Scratch(documents.sparkSession, "tiling").save(met, "met")  # counted and joined below
     texts = met.select("h", "g").distinct().join(keyed, ["h", "g"]).groupBy("h", "g").agg(F.min("text").alias("t"))
     itexts = own.groupBy(F.col("h").alias("ih"), F.col("g").alias("ig")).agg(F.min("text").alias("it"))
-    full = met.join(texts, ["h", "g"]).join(itexts, ["ih", "ig"])
+    full = spread_join(spread_join(met, texts, ["h", "g"]), itexts, ["ih", "ig"])  # so may be an item, or a text of many items
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

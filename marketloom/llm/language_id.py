@@ -162,7 +162,7 @@ def fit_language_model(documents: DataFrame, text_col: str = "text", lang_col: s
     from marketloom.llm.sampling import bounded_sample
 
     labelled = documents.select(F.col(key_col).alias("k"), F.col(lang_col).alias("l"), F.col(text_col).alias("x")).filter(F.col("l").isNotNull() & F.col("x").isNotNull())
-    sample = sorted((r.k is None, r.k or 0, r.l, r.x) for r in bounded_sample(labelled, "k", "l", most_per_language).select("k", "l", "x").collect())
+    sample = sorted((r.k is None, r.k or 0, r.l, r.x) for r in bounded_sample(labelled, "l", most_per_language).collect())
     return train([r[3] for r in sample], [r[2] for r in sample], **options)
 
 

@@ -172,10 +172,10 @@ def fit_quality_model(documents: DataFrame, labels: DataFrame, id_col: str = "do
     from marketloom.llm.sampling import bounded_sample
 
     one = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("k")).agg(F.min(label_col).alias("y"))
-    chosen = bounded_sample(one, "k", "y", most_per_class)
+    chosen = bounded_sample(one, "y", most_per_class)
     texts = documents.select(F.col(id_col).alias("k"), F.col(text_col).alias("x"), F.col(meta_col).cast("double").alias("m"))
-    joined = texts.join(F.broadcast(chosen), "k")  # at most about 2 * most_per_class rows
-    sample = sorted((r.k, r.x or "", -1.0 if r.m is None else r.m, r.y) for r in joined.select("k", "x", "m", "y").collect())
+    joined = texts.join(F.broadcast(chosen), "k")  # ids that repeat are drawn once more, by row
+    sample = sorted((r.k, r.x or "", -1.0 if r.m is None else r.m, r.y) for r in bounded_sample(joined, "y", most_per_class).collect())
     return train([r[1] for r in sample], [None if r[2] < 0 else r[2] for r in sample], [r[3] for r in sample], **options)
 
 

@@ -142,3 +142,38 @@ def test_long_turns_are_read_back_in_little_memory():
     assert tracemalloc.get_traced_memory()[1] < 12 * len(rendered)
     with pytest.raises(ValueError):
         chat.parse(rendered[:-3])
+
+
+@pytest.mark.parametrize("same", ["id", "row"])
+def test_samples_stay_bounded_where_ids_or_rows_repeat(spark, same):
+    from pyspark.sql import functions as F
+
+    from marketloom.llm.sampling import bounded_sample
+
+    text = F.concat(F.lit("text "), F.col("id") % (4000 if same == "id" else 1))
+    for key in (F.lit(7), F.lit(None).cast("long")):
+        rows = spark.range(4000).select(key.alias("k"), text.alias("x"), F.lit("en").alias("l"))
+        rows = rows.unionByName(spark.range(100, 200).select(F.col("id").alias("k"), F.lit("other").alias("x"), F.lit("de").alias("l")))
+        rows = rows.unionByName(spark.range(50).select(F.col("id").alias("k"), F.lit("none").alias("x"), F.lit(None).cast("string").alias("l")))
+        got = [tuple(r) for r in bounded_sample(rows, "l", 200).collect()]
+        again = [tuple(r) for r in bounded_sample(rows.repartition(7), "l", 200).collect()]
+        assert sorted(got, key=str) == sorted(again, key=str) and len(got) == len(set(got))
+        en = sum(r[2] == "en" for r in got)
+        assert 120 < en < 280 if same == "id" else en <= 1
+        assert sum(r[2] == "de" for r in got) == 100 and all(r[2] for r in got)
+    assert bounded_sample(rows.limit(0), "l", 200).count() == 0
+
+
+def test_a_common_item_is_joined_as_it_is_broadcast(spark):
+    """Over a thousand texts hold one item, so its seeds and texts are dealt to salts."""
+    from marketloom.llm import decontaminate
+
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(25))) for i in range(4)]
+    rows = [(i, f"start {i} {items[0][1]} end {i}") for i in range(2500)] + [(3000 + i, f"{items[1][1]} {items[2][1]} {i}") for i in range(20)] + [(4000 + i, f"clean text {i} of few words") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    both = [sorted(tuple(r) for r in decontaminate.contamination(docs, benchmark, broadcast_words=n).collect()) for n in (10_000, 0)]
+    assert both[0] == both[1]
+    assert {(d, i) for d, i, *_ in both[0]} >= {(i, 0) for i in range(2500)} | {(3000 + i, k) for i in range(20) for k in (1, 2)}
+    assert all(d < 4000 for d, *_ in both[0])
