@@ -12,11 +12,12 @@ from marketloom.operators.validate import ValidationError
 BANDS = (-5, -4, -3, -2, -1, 1, 2, 3, 4, 5)
 
 
-def pivot_book(book: DataFrame, ts: str = "timestamp", bands: tuple[int, ...] = BANDS, check: bool = True) -> DataFrame:
-    """One row a timestamp with depth_{band} and notional_{band}; a repeated (ts, band) raises."""
-    if check and not book.groupBy(ts, "percentage").count().filter("count > 1").isEmpty():
+def pivot_book(book: DataFrame, ts: str = "timestamp", bands: tuple[int, ...] = BANDS, check: bool = True, series: list[str] | None = None) -> DataFrame:
+    """One row a timestamp (of a series) with depth_{band} and notional_{band}; a repeated (ts, band) raises."""
+    keys = [*(series or []), ts]
+    if check and not book.groupBy(*keys, "percentage").count().filter("count > 1").isEmpty():
         raise ValidationError("a timestamp has a band twice")
-    wide = book.groupBy(ts)
+    wide = book.groupBy(*keys)
     pick = lambda c, b: F.max(F.when(F.col("percentage") == b, F.col(c))).alias(f"{c}_{b}")
     return wide.agg(*[pick(c, b) for c in ("depth", "notional") for b in bands])
 
@@ -25,26 +26,38 @@ def round_half_up(ts: Column, step: int) -> Column:
     return F.floor((ts + step // 2) / step) * step
 
 
-def extend_metrics(metrics: DataFrame, step: int, ts: str = "create_time") -> DataFrame:
+def extend_metrics(metrics: DataFrame, step: int, ts: str = "create_time", series: list[str] | None = None) -> DataFrame:
     """Rows on the grid of ``step``: the last non-null value of each column at each rounded time, NULL in gaps."""
-    values = [c for c in metrics.columns if c != ts]
+    series = series or []
+    values = [c for c in metrics.columns if c not in (ts, *series)]
     rounded = metrics.withColumn("__g", round_half_up(F.col(ts), step))
     # the latest non-null value of each column, without a sort of the group
     last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in values]
-    points = rounded.groupBy(F.col("__g").alias(ts)).agg(*last)
-    return densify(points, ts, step)
+    points = rounded.groupBy(*series, F.col("__g").alias(ts)).agg(*last)
+    return densify(points, ts, step, series)
 
 
-def densify(df: DataFrame, ts: str, step: int) -> DataFrame:
-    """``df`` with a row of NULLs for each missing grid time between its first and last.
+def densify(df: DataFrame, ts: str, step: int, series: list[str] | None = None) -> DataFrame:
+    """``df`` with a row of NULLs for each missing grid time between the first and last of each series.
 
-    Day-sized pieces of the grid are made in parallel and joined by time.
+    Pieces of the grids, 100,000 times each, are made in parallel and joined by series and time, so a
+    long series is spread over tasks.  A null series is one of its own.
     """
-    ends = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).filter("lo is not null")
+    series = series or []
+    ends = df.groupBy(*series).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi")).filter("__lo is not null")
     chunk = step * 100_000
-    starts = ends.select(F.explode(F.sequence("lo", "hi", F.lit(chunk))).alias("a"), "hi")
-    grid = starts.select(F.explode(F.sequence("a", F.least(F.col("a") + chunk - step, F.col("hi")), F.lit(step))).alias(ts))
-    return grid.join(df, ts, "left")
+    starts = ends.select(*series, F.explode(F.sequence("__lo", "__hi", F.lit(chunk))).alias("__a"), "__hi")
+    grid = starts.select(*series, F.explode(F.sequence("__a", F.least(F.col("__a") + chunk - step, F.col("__hi")), F.lit(step))).alias(ts))
+    return _beside(grid, df.withColumnRenamed(ts, "__t"), ts, "__t", series).drop("__t").select(*df.columns)
+
+
+def _beside(left: DataFrame, right: DataFrame, ts: str, right_ts: str, series: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right`` at the same time of the same series; null series meet."""
+    named = right.withColumnsRenamed({c: f"__s{i}" for i, c in enumerate(series)})
+    same = left[ts] == named[right_ts]
+    for i, c in enumerate(series):
+        same = same & left[c].eqNullSafe(named[f"__s{i}"])
+    return left.join(named, same, "left").drop(*[f"__s{i}" for i in range(len(series))])
 
 
 def carry_forward(df: DataFrame, ts: str = "create_time", series: list[str] | None = None, span: int = blocks.SPAN) -> DataFrame:
@@ -80,10 +93,19 @@ def interpolate_to_grid(df: DataFrame, ts: str, step: int, series: list[str] | N
     return blocks.interpolated(df, [c for c in df.columns if c not in (ts, *series)], series, ts, step, span)
 
 
-def align_by_time(df: DataFrame, main: DataFrame, ts: str, main_ts: str) -> DataFrame:
-    """Rows not before the first row of ``main``."""
-    first = main.agg(F.min(main_ts).alias("__first"))  # one row
-    return df.join(F.broadcast(first), F.col(ts) >= F.col("__first")).drop("__first")
+def align_by_time(df: DataFrame, main: DataFrame, ts: str, main_ts: str, series: list[str] | None = None) -> DataFrame:
+    """Rows not before the first row of ``main``, of the same series if ``series`` names its columns.
+
+    Rows of a series that ``main`` lacks go, as all rows do where ``main`` is empty.
+    """
+    first = main.groupBy(*(series or [])).agg(F.min(main_ts).alias("__first"))
+    if not series:
+        return df.join(F.broadcast(first), F.col(ts) >= F.col("__first")).drop("__first")  # one row
+    first = first.withColumnsRenamed({c: f"__s{i}" for i, c in enumerate(series)})
+    same = F.col(ts) >= F.col("__first")
+    for i, c in enumerate(series):
+        same = same & F.col(c).eqNullSafe(F.col(f"__s{i}"))
+    return df.join(first, same, "left_semi")
 
 
 def sort_by_time(df: DataFrame, ts: str, ascending: bool = True, ties: list[str] | None = None) -> DataFrame:
@@ -103,17 +125,23 @@ def asof_backward(left: DataFrame, right: DataFrame, ts: str, values: list[str],
     return tagged.withColumns({c: S.ffill(F.col(c), w) for c in values}).filter("__left = 1").drop("__left")
 
 
-def combine(book_long: DataFrame, klines: DataFrame, metrics: DataFrame, step: int, metrics_step: int | None = None, bands: tuple[int, ...] = BANDS, check: bool = True) -> DataFrame:
-    """Order book, candles and metrics of one symbol on one grid: two left joins on the book's times.
+def combine(
+    book_long: DataFrame, klines: DataFrame, metrics: DataFrame, step: int, metrics_step: int | None = None,
+    bands: tuple[int, ...] = BANDS, check: bool = True, series: list[str] | None = None,
+) -> DataFrame:
+    """Order book, candles and metrics on one grid: two left joins on the times of the book.
 
-    A repeated (time, band) of the book raises; ``check=False`` spares that pass.
+    ``series`` names columns that all three tables hold, such as the symbol: each series gets its own
+    grid, and all are worked on together.  Without it the tables are those of one symbol.  Times
+    before the book's first one meet nothing.  A repeated (series, time, band) of the book raises;
+    ``check=False`` spares that pass.
     """
-    dense = carry_forward(extend_metrics(metrics.drop("symbol"), metrics_step or step))
-    book = interpolate_to_grid(pivot_book(book_long, bands=bands, check=check), "timestamp", step)
-    klines = align_by_time(klines.drop("ignore"), book, "open_time", "timestamp")
-    dense = align_by_time(dense, book, "create_time", "timestamp")
-    both = book.join(klines, book["timestamp"] == klines["open_time"], "left")
-    return both.join(dense, both["timestamp"] == dense["create_time"], "left")
+    series = series or []
+    slim = metrics if "symbol" in series else metrics.drop("symbol")
+    dense = carry_forward(extend_metrics(slim, metrics_step or step, series=series), series=series)
+    book = interpolate_to_grid(pivot_book(book_long, bands=bands, check=check, series=series), "timestamp", step, series)
+    both = _beside(book, klines.drop("ignore"), "timestamp", "open_time", series)
+    return _beside(both, dense, "timestamp", "create_time", series)
 
 
 def common_times(a: DataFrame, b: DataFrame, ts: str) -> DataFrame:

@@ -136,13 +136,19 @@ def book_pivot(spark, sf_dir):
 def _interpolated_sql() -> str:
     """Neighbouring known points by last_value over the grid united with the raw times."""
     cols = _BOOK_NAMES.split()
-    near = ", ".join(f"last_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER a AS pt_{c}, last_value({c} IGNORE NULLS) OVER a AS pv_{c}, last_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER d AS nt_{c}, last_value({c} IGNORE NULLS) OVER d AS nv_{c}" for c in cols)
-    value = ", ".join(f"CASE WHEN pt_{c} IS NULL THEN nv_{c} WHEN nt_{c} IS NULL OR nt_{c} = pt_{c} THEN pv_{c} ELSE pv_{c} + (nv_{c} - pv_{c}) * (ts - pt_{c}) / (nt_{c} - pt_{c}) END AS {c}" for c in cols)
+    near, value = _between_sql(cols)
     return f"""wide AS ({_pivot_sql()}), grid AS (SELECT unnest(range((SELECT min(ts) FROM wide), (SELECT max(ts) FROM wide) + 1, 1800000)) AS ts),
 near AS (SELECT ts, {near} FROM grid LEFT JOIN wide USING (ts) WINDOW a AS (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), d AS (ORDER BY ts DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 filled AS (SELECT ts AS timestamp, {value} FROM near)"""
 
 
+def _between_sql(cols: list[str]) -> tuple[str, str]:
+    """The known points around each time, and the value between them."""
+    near = ", ".join(f"last_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER a AS pt_{c}, last_value({c} IGNORE NULLS) OVER a AS pv_{c}, last_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER d AS nt_{c}, last_value({c} IGNORE NULLS) OVER d AS nv_{c}" for c in cols)
+    value = ", ".join(f"CASE WHEN pt_{c} IS NULL THEN nv_{c} WHEN nt_{c} IS NULL OR nt_{c} = pt_{c} THEN pv_{c} ELSE pv_{c} + (nv_{c} - pv_{c}) * (ts - pt_{c}) / (nt_{c} - pt_{c}) END AS {c}" for c in cols)
+    return near, value
+
+
 @register("book_interpolated", "SELECT * FROM filled", "timestamp", _BOOK_NAMES, _interpolated_sql())
 def book_interpolated(spark, sf_dir):
     return _plain(reshape.interpolate_to_grid(reshape.pivot_book(views.book_depth(spark, sf_dir)), "timestamp", views.HALF_HOUR))
@@ -178,6 +184,39 @@ def combined(spark, sf_dir):
     return c.select("timestamp", "open_time", "create_time", "cnt", "oi", "depth_m1", "depth_1", "notional_m5", "notional_5", "open", "high", "low", "close", "volume", "oi_value", "r1", "r2", "distance")
 
 
+def _combined_by_type_sql() -> str:
+    near, value = _between_sql(_BOOK_NAMES.split())
+    wide = _pivot_sql().replace("SELECT ts, ", "SELECT event_type, ts, ").replace("FROM book GROUP BY ts", "FROM tbook GROUP BY event_type, ts")
+    up_to = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    return f"""tbook AS (SELECT event_type, (t // 1800000) * 1800000 AS ts,
+  CASE WHEN event_id % 10 < 5 THEN CAST(event_id % 10 AS INT) - 5 ELSE CAST(event_id % 10 AS INT) - 4 END AS p, round(sum(value), 6) AS depth, round(sum(value * k), 6) AS notional FROM b GROUP BY 1, 2, 3),
+twide AS ({wide}), tends AS (SELECT event_type, min(ts) AS lo, max(ts) AS hi FROM twide GROUP BY 1),
+tgrid AS (SELECT event_type, unnest(range(lo, hi + 1, 1800000)) AS ts FROM tends),
+tnear AS (SELECT event_type, ts, {near} FROM tgrid LEFT JOIN twide USING (event_type, ts)
+  WINDOW a AS (PARTITION BY event_type ORDER BY ts {up_to}), d AS (PARTITION BY event_type ORDER BY ts DESC {up_to})),
+tfilled AS (SELECT event_type, ts AS timestamp, {value} FROM tnear),
+tklines AS (SELECT event_type, (t // 3600000) * 3600000 AS open_time, max(value) AS high, min(value) AS low, round(sum(value), 6) AS volume, count(*) AS cnt FROM b GROUP BY 1, 2),
+tpts AS (SELECT event_type, ((create_time + 7200000) // 14400000) * 14400000 AS g, arg_max(oi, create_time) FILTER (WHERE oi IS NOT NULL) AS oi,
+  arg_max(oi_value, create_time) FILTER (WHERE oi_value IS NOT NULL) AS oi_value
+  FROM (SELECT event_type, min(t) AS create_time, sum(k) AS oi, round(sum(value * k), 6) AS oi_value FROM b GROUP BY event_type, t // 14400000) GROUP BY 1, 2),
+tspan AS (SELECT event_type, min(g) AS lo, max(g) AS hi FROM tpts GROUP BY 1),
+tdense AS (SELECT event_type, g AS create_time, oi, oi_value FROM (SELECT event_type, unnest(range(lo, hi + 1, 14400000)) AS g FROM tspan) LEFT JOIN tpts USING (event_type, g)),
+tcarried AS (SELECT event_type, create_time, last_value(oi IGNORE NULLS) OVER f AS oi, last_value(oi_value IGNORE NULLS) OVER f AS oi_value,
+  CAST(rn - max(CASE WHEN coalesce(oi, oi_value) IS NOT NULL THEN rn END) OVER f AS DOUBLE) AS distance
+  FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY create_time) AS rn FROM tdense) WINDOW f AS (PARTITION BY event_type ORDER BY create_time {up_to})),
+typed_rows AS (SELECT * FROM tfilled f LEFT JOIN tklines k ON k.event_type = f.event_type AND timestamp = open_time LEFT JOIN tcarried c ON c.event_type = f.event_type AND timestamp = create_time)"""
+
+
+@register(
+    "combined_by_type", "SELECT * FROM typed_rows", "event_type timestamp open_time create_time cnt oi", "depth_m1 depth_5 notional_m5 notional_5 high low volume oi_value distance", _combined_by_type_sql())
+def combined_by_type(spark, sf_dir):
+    """All event types as series of their own, on their own grids, in one pass."""
+    klines = views.klines(spark, sf_dir, by_type=True)
+    book = views.book_depth(spark, sf_dir, by_type=True)
+    c = _plain(reshape.combine(book, klines, views.typed_metrics(spark, sf_dir), views.HALF_HOUR, views.FOUR_HOURS, series=["event_type"]))
+    return c.select(*"event_type timestamp open_time create_time cnt oi depth_m1 depth_5 notional_m5 notional_5 high low volume oi_value distance".split())
+
+
 def _ob_sql() -> str:
     sq = lambda e: f"sign({e}) * ln(1 + abs({e}))"
     cols = [f"{sq(f'(depth_{_name(b)} / (close + 2e-8))')} AS depth_{_name(b)}_n, {sq(f'(notional_{_name(b)} / ((close + 2e-8) * (close + 2e-8)))')} AS notional_{_name(b)}_n" for b in _BANDS]

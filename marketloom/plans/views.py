@@ -24,11 +24,11 @@ def klines(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame
     return b.groupBy(*keys).agg(F.min_by("value", "t").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "t").alias("close"), F.round(F.sum("value"), 6).alias("volume"), F.count(F.lit(1)).alias("cnt"))
 
 
-def book_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def book_depth(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
     b = base(spark, sf_dir).withColumn("timestamp", _bucket(HALF_HOUR))
     band = (F.col("event_id") % 10).cast("int")
     b = b.withColumn("percentage", F.when(band < 5, band - 5).otherwise(band - 4))
-    return b.groupBy("timestamp", "percentage").agg(F.round(F.sum("value"), 6).alias("depth"), F.round(F.sum(F.col("value") * F.col("k")), 6).alias("notional"))
+    return b.groupBy("timestamp", "percentage", *(["event_type"] if by_type else [])).agg(F.round(F.sum("value"), 6).alias("depth"), F.round(F.sum(F.col("value") * F.col("k")), 6).alias("notional"))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,12 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(some("purchase", F.lit(1.0)) / of("view", F.lit(1.0)), 6).alias("r1"), F.round(some("purchase", F.col("value")) / of("view", F.col("value")), 6).alias("r2")).drop("g")
 
 
+def typed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = base(spark, sf_dir)
+    held = F.round(F.sum(F.col("value") * F.col("k")), 6)
+    return b.groupBy("event_type", F.expr(f"t div {FOUR_HOURS}").alias("g")).agg(F.min("t").alias("create_time"), F.sum("k").alias("oi"), held.alias("oi_value")).drop("g")
+
+
 #: The same tables in DuckDB SQL, as the start of a WITH clause.
 SQL = """
 b AS (SELECT epoch_us(ts) // 1000 AS t, event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),

@@ -302,6 +302,39 @@ def test_book_with_a_band_twice(spark):
         reshape.combine(book, spark.createDataFrame([(0, 1.0)], "open_time long, close double"), spark.createDataFrame([(0, 1.0)], "create_time long, oi double"), 60_000)
 
 
+def test_series_are_combined_as_each_alone(spark):
+    """Three symbols, one of them null, of other lengths and gaps; one has no candles, one no metrics."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from marketloom.operators import reshape
+
+    rng = random.Random(8)
+    symbols, step = ("A", "B", None), 60_000
+    book = [(s, t * 30_000 + 7 * i, b, rng.random(), rng.random()) for i, s in enumerate(symbols) for t in range(5 * i, 30 + 9 * i) for b in (-1, 1) if rng.random() < 0.6]
+    klines = [(s, t * step, rng.random(), 0) for s in ("A", None) for t in range(-3, 25)]
+    metrics = [(s, t * step + rng.randrange(-20_000, 20_000), rng.random() if rng.random() < 0.7 else None) for s in ("A", "B") for t in range(-4, 20) if t % 5]
+    book = spark.createDataFrame(book, "symbol string, timestamp long, percentage int, depth double, notional double")
+    klines = spark.createDataFrame(klines, "symbol string, open_time long, close double, ignore int")
+    metrics = spark.createDataFrame(metrics, "symbol string, create_time long, oi double")
+    got = reshape.combine(book, klines, metrics, step, bands=(-1, 1), series=["symbol"])
+    assert len(set(got.columns)) == len(got.columns)
+    total = 0
+    for s in symbols:
+        of = lambda df, s=s: df.filter(F.col("symbol").eqNullSafe(F.lit(s))).drop("symbol")
+        want = reshape.combine(of(book), of(klines), of(metrics), step, bands=(-1, 1))
+        mine = of(got).select(*[f"`{c}`" for c in want.columns])
+        a, b = (sorted((tuple(None if v is None else round(v, 9) for v in r) for r in d.collect()), key=str) for d in (mine, want))
+        assert a == b and len(a) > 10
+        total += len(a)
+    assert got.count() == total
+    main = spark.createDataFrame([("A", 5), ("A", 9), (None, 20)], "symbol string, t long")
+    rows = spark.createDataFrame([(s, t) for s in ("A", "B", None) for t in range(0, 30, 5)], "symbol string, u long")
+    kept = {tuple(r) for r in reshape.align_by_time(rows, main, "u", "t", ["symbol"]).collect()}
+    assert kept == {("A", t) for t in range(5, 30, 5)} | {(None, 20), (None, 25)}
+
+
 class Doubled:
     """A transformer of a user: the double of v less its learned mean."""
 
