@@ -19,9 +19,13 @@ def _bucket(step: int):
 
 
 def klines(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
+    """Hourly candles; events without a value have no part in open and close, ties at a millisecond go to the smallest event_id."""
     keys = ["open_time", *(["event_type"] if by_type else [])]
     b = base(spark, sf_dir).withColumn("open_time", _bucket(HOUR))
-    return b.groupBy(*keys).agg(F.min_by("value", "t").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "t").alias("close"), F.round(F.sum("value"), 6).alias("volume"), F.count(F.lit(1)).alias("cnt"))
+    valued = F.col("t").isNotNull() & F.col("value").isNotNull()
+    first = F.when(valued, F.struct("t", "event_id"))
+    last = F.when(valued, F.struct("t", F.bitwise_not("event_id").alias("before")))  # falls as event_id grows, without overflow
+    return b.groupBy(*keys).agg(F.min_by("value", first).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", last).alias("close"), F.round(F.sum("value"), 6).alias("volume"), F.count(F.lit(1)).alias("cnt"))
 
 
 def book_depth(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
