@@ -37,6 +37,6 @@ def differing(spark, folder, name):
     return [(x, y) for x, y in zip(a, b, strict=True) if x != y]
 
 
-@pytest.mark.parametrize("name", ["combined", "csv_round_trip", "ohlcv_features"])
+@pytest.mark.parametrize("name", ["combined", "csv_round_trip", "ohlcv_features", "ohlcv_zscores"])
 def test_ties_at_a_millisecond(spark, tied, name):
     assert differing(spark, tied, name) == []
