@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm import textcore
+from marketloom.llm import textcore, workers
 from marketloom.llm.scratch import Scratch
 from marketloom.llm.skew import spread_join
 
@@ -216,7 +216,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 share = pa.array([x[2] / x[3] for x in found], pa.float64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), items, covered, total, share], names=["id", "item", "covered", "item_words", "coverage"])
 
-        pairs = slim.mapInArrow(run, f"id long, item long, {_PAIRS}")
+        pairs = slim.mapInArrow(workers.tidy(run, "decontamination"), f"id long, item long, {_PAIRS}")
     return pairs.filter(F.col("coverage") >= threshold).withColumnsRenamed({"id": id_col, "item": item_col})
 
 
@@ -299,4 +299,4 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str
                 clean[row] &= covered < threshold * total
             yield batch.filter(pa.array(clean))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(workers.tidy(run, "decontamination"), documents.schema)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from marketloom.llm import textcore
+from marketloom.llm import textcore, workers
 from marketloom.llm.scratch import Scratch
 from marketloom.llm.skew import spread_join
 
@@ -177,7 +177,7 @@ def repeated_keys(documents: DataFrame, scratch: Scratch, min_chars: int) -> tup
                 yield pa.RecordBatch.from_arrays([pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), part.column(0).take(take), part.column(2).take(take)], names=["hi", "lo", "id", "t"])
 
     seen = Observation()
-    keys = documents.mapInArrow(run, "hi long, lo long, id long, t long")
+    keys = documents.mapInArrow(workers.tidy(run, "line_dedup"), "hi long, lo long, id long, t long")
     named, text = F.col("id"), F.when(F.col("id").isNull(), F.col("t"))
     counted = keys.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(named).alias("a"), F.max(named).alias("b"), F.min(text).alias("c"), F.max(text).alias("d"))
     counted = counted.observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("probes"))
@@ -219,7 +219,7 @@ def dropped_keys(documents: DataFrame, scratch: Scratch, min_chars: int, keys_pe
                 take = pa.array([x[2] for x in out], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in out], pa.int32()) for i in (0, 1)), part.column(0).take(take), part.column(2).take(take), pa.array([x[3] for x in out], pa.binary())], names=["shard", "salt", "id", "t", "keys"])
 
-    sent = documents.mapInArrow(run, "shard int, salt int, id long, t long, keys binary")
+    sent = documents.mapInArrow(workers.tidy(run, "line_dedup"), "shard int, salt int, id long, t long, keys binary")
     probed = ["shard", "bits", "sizes", "rest", "fingerprints", "counts", "nameless", "owners", "salt"]
     return sent.groupBy("shard", "salt").cogroup(built.select(*probed).groupBy("shard", "salt")).applyInArrow(_probe, "id long, t long, keys binary")
 
@@ -261,7 +261,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     kept.append(text)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
-    done = joined.mapInArrow(run, schema)
+    done = joined.mapInArrow(workers.tidy(run, "line_dedup"), schema)
     if keep:
         done = done.withColumn(text_col, F.col("kept_text")).drop("n_lines", "n_dropped", "kept_text")
     return done

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm import textcore
+from marketloom.llm import textcore, workers
 from marketloom.llm.components import components
 from marketloom.llm.scratch import Scratch
 from marketloom.llm.skew import spread_join
@@ -124,7 +124,7 @@ def signatures(documents: DataFrame, k: int, bands: int, rows: int) -> DataFrame
                     start = end
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "t", "n", "node", "bands"])
 
-    return documents.mapInArrow(run, "id long, t long, n long, node binary, bands array<long>")
+    return documents.mapInArrow(workers.tidy(run, "near_dedup"), "id long, t long, n long, node binary, bands array<long>")
 
 
 _BLOOM_BITS = 27  # at most 2**27 bits: 16 MB, whatever the number of candidates
@@ -173,7 +173,7 @@ def candidate_sets(documents: DataFrame, chosen: DataFrame, k: int) -> DataFrame
                         sets.append(elements[a:b].astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    made = documents.select("text", _row_key().alias("key"), spot(1).alias("s1"), spot(2).alias("s2")).mapInArrow(run, "node binary, shingles binary")
+    made = documents.select("text", _row_key().alias("key"), spot(1).alias("s1"), spot(2).alias("s2")).mapInArrow(workers.tidy(run, "near_dedup"), "node binary, shingles binary")
     return made.join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -194,7 +194,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s"))
     counts = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
     joined = spread_join(pairs.join(side("v"), "v"), side("u"), "u", counts=counts).select("u", "v", "us", "vs")
-    return joined.mapInArrow(run, "u binary, v binary")
+    return joined.mapInArrow(workers.tidy(run, "near_dedup"), "u binary, v binary")
 
 
 def _grouped(documents: DataFrame, id_col: str, text_col: str, k: int, percent: int, bands: int, rows: int) -> DataFrame:

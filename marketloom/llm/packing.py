@@ -23,8 +23,6 @@ only the named columns are read.
 
 from __future__ import annotations
 
-import ctypes
-import ctypes.util
 import json
 import os
 import zlib
@@ -36,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm import textcore
+from marketloom.llm import textcore, workers
 from marketloom.llm.scratch import Scratch
 
 ITEMS_PER_GROUP = 8192
 _MOST_TASKS = 20_000
 _BLOCK = 2 << 20
-_CACHE = 1_000_000  # distinct chunks a task remembers
+_CACHE = 1_000_000  # distinct chunks a worker remembers
 _RUN = 500  # chunks that one call encodes as one text
 
 _AFTER = np.ones(256, dtype=bool)  # bytes that may follow a space at which a chunk begins
@@ -76,8 +74,10 @@ class ChunkTokenizer:
             self.token_bytes[i] = len(token) if all(c in of for c in token) else len(token.encode())
         self._clear()
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], at_once: int) -> Iterator[np.ndarray]:
+        for i in range(0, len(texts), at_once):  # encodings are far larger than ids
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False):
+                yield np.array(e.ids, np.uint32)
 
     def _encoded(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The chunks in another order, all their ids in a row, and the number of each one's ids."""
@@ -91,7 +91,7 @@ class ChunkTokenizer:
             (apart if alone or added and any(a in c for a in added) else joined).append(c)
         runs = [joined[i : i + _RUN] for i in range(0, len(joined), _RUN)]
         order, ids, sizes = [], [], []
-        for run, made in zip(runs, self._ids([b"".join(run).decode() for run in runs]), strict=True):
+        for run, made in zip(runs, self._ids([b"".join(run).decode() for run in runs], 20), strict=True):
             ends, reached = np.cumsum([len(c) for c in run]), np.cumsum(self.token_bytes[made])
             at = np.searchsorted(reached, ends)
             if len(made) == 0 or at[-1] >= len(made) or (reached[at] != ends).any():
@@ -100,7 +100,7 @@ class ChunkTokenizer:
             order += run
             ids.append(made)
             sizes.append(np.diff(at + 1, prepend=0))
-        for made in self._ids([c.decode() for c in apart]):
+        for made in self._ids([c.decode() for c in apart], 20 * _RUN):
             ids.append(made)
             sizes.append(np.array([len(made)]))
         return order + apart, np.concatenate(ids), np.concatenate(sizes)
@@ -161,19 +161,12 @@ class ChunkTokenizer:
             yield first, end, ids, total[np.searchsorted(starts, offsets)]
 
 
-def _give_back() -> None:
-    """Return freed memory to the system: Python workers outlive their tasks."""
-    pa.default_memory_pool().release_unused()
-    libc = ctypes.util.find_library("c")
-    if libc and hasattr(trim := ctypes.CDLL(libc), "malloc_trim"):
-        trim.malloc_trim(0)
-
-
 _tokenizers: dict[str, ChunkTokenizer] = {}
 
 
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
-    """The tokenizer of this Python worker."""
+    """The tokenizer of this Python worker, with its chunks until another operator's task."""
+    workers.hold("packing", _tokenizers.clear)
     if path not in _tokenizers:
         _tokenizers[path] = ChunkTokenizer(path)
     return _tokenizers[path]
@@ -211,10 +204,9 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int, end_id: int
                 serial += len(rows)
                 names = ["id", "piece", "start", "length", "ids_crc32", "serial"]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []), names=names + ["ids"] * with_ids)
-        _give_back()
 
     schema = f"id {id_type}, piece int, start long, length long, ids_crc32 long, serial long" + ", ids array<int>" * with_ids
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(workers.tidy(run, "packing"), schema)
 
 
 def vector_best_fit(lengths: np.ndarray, capacities: tuple[float, float, float], weights: tuple[float, float, float] = (1.0, 1.0, 1.0), measure: str = "norm") -> tuple[np.ndarray, np.ndarray]:

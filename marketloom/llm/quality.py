@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm import textcore
+from marketloom.llm import textcore, workers
 
 #: Upper bounds of the buckets of a share between 0 and 1.
 SHARES = np.array([0.0, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.999])
@@ -196,4 +196,4 @@ def score(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", tex
                 out[first:end] = _sigmoid(m.scale * _raw(m.w0, m.w, m.v, offsets, ids, x)[0] + m.shift)
             yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(out)], names=schema.names)
 
-    return inputs.mapInArrow(run, schema)
+    return inputs.mapInArrow(workers.tidy(run, "quality"), schema)

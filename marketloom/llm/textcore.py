@@ -53,16 +53,17 @@ def spaced(column: pa.Array) -> pa.Array:
 
 
 def _powers(field: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo the prime of a field for i < n."""
+    """base**i and base**-i modulo the prime of a field for i < n, in 32 bits; as many as a block of some power of two takes."""
     if field not in _tables or len(_tables[field][0]) < n:
         prime, base = _FIELDS[field]
+        n = 1 + (1 << max(n - 2, 0).bit_length())
         made = []
         for b in (base, pow(base, -1, prime)):
             table, step = np.ones(1, _U), b
             while len(table) < n:  # doubling: table[i + len] = table[i] * base**len
-                table = np.concatenate([table, table * _U(step) % _U(prime)])
+                table = np.concatenate([table, table[: n - len(table)] * _U(step) % _U(prime)])
                 step = step * step % prime
-            made.append(table)
+            made.append(table.astype(np.uint32))
         _tables[field] = (made[0], made[1])
     return _tables[field]
 
