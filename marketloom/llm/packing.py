@@ -13,8 +13,8 @@ Tokenising cuts the text at single spaces, where byte-level BPE never merges, an
 ``tokenizers`` encodes each distinct chunk of a task once, many chunks at a call; the
 bytes of each token tell where a chunk's ids end.  Chunks that white space could join to a
 neighbour are encoded apart, and where no token ends at a chunk's end its whole call is
-encoded chunk by chunk, so ids never depend on what else is encoded.  Chunks are known by
-their bytes.
+encoded chunk by chunk, so ids never depend on what else is encoded.  Chunks are found
+by hash and compared byte by byte.
 
 Defined results: null and empty texts are one piece holding ``end_id`` alone; repeated
 rows are packed one by one; a null id is kept; an empty table gives an empty result;
@@ -39,7 +39,7 @@ from marketloom.llm.scratch import Scratch
 
 ITEMS_PER_GROUP = 8192
 _MOST_TASKS = 20_000
-_BLOCK = 2 << 20
+_BLOCK = 1 << 20
 _CACHE = 1_000_000  # distinct chunks a worker remembers
 _RUN = 500  # chunks that one call encodes as one text
 
@@ -79,20 +79,20 @@ class ChunkTokenizer:
             for e in self.tokenizer.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False):
                 yield np.array(e.ids, np.uint32)
 
-    def _encoded(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The chunks in another order, all their ids in a row, and the number of each one's ids."""
+    def _encoded(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The chunks' numbers in another order, all their ids in a row, and the number of each one's ids."""
         added = [a.encode() for a in self.added]
         whole = b"".join(chunks)
         added = [a for a in added if a in whole]  # hardly ever one
         joined, apart = [], []
-        for c in chunks:
+        for i, c in enumerate(chunks):
             # white space before " x" ends a token; only a second character of white space could join what comes before
             alone = c[0] != 32 or len(c) < 2 or c[1] <= 32 or c[1] > 127 and c.decode()[1].isspace()
-            (apart if alone or added and any(a in c for a in added) else joined).append(c)
+            (apart if alone or added and any(a in c for a in added) else joined).append(i)
         runs = [joined[i : i + _RUN] for i in range(0, len(joined), _RUN)]
         order, ids, sizes = [], [], []
-        for run, made in zip(runs, self._ids([b"".join(run).decode() for run in runs], 20), strict=True):
-            ends, reached = np.cumsum([len(c) for c in run]), np.cumsum(self.token_bytes[made])
+        for run, made in zip(runs, self._ids([b"".join(chunks[i] for i in run).decode() for run in runs], 20), strict=True):
+            ends, reached = np.cumsum([len(chunks[i]) for i in run]), np.cumsum(self.token_bytes[made])
             at = np.searchsorted(reached, ends)
             if len(made) == 0 or at[-1] >= len(made) or (reached[at] != ends).any():
                 apart += run
@@ -100,28 +100,58 @@ class ChunkTokenizer:
             order += run
             ids.append(made)
             sizes.append(np.diff(at + 1, prepend=0))
-        for made in self._ids([c.decode() for c in apart], 20 * _RUN):
+        for made in self._ids([chunks[i].decode() for i in apart], 20 * _RUN):
             ids.append(made)
             sizes.append(np.array([len(made)]))
-        return order + apart, np.concatenate(ids), np.concatenate(sizes)
+        return np.array(order + apart, np.int64), np.concatenate(ids), np.concatenate(sizes)
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes of the chunks known, and their places below
+        self.known = 0
+        self.starts, self.sizes = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
-
-    def _remember(self, chunks: list[bytes]) -> None:
-        chunks, new, sizes = self._encoded(chunks)
-        first = len(self.known)
-        while len(self.starts) < first + len(chunks):
-            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        while len(self.flat) < self.used + len(new):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.sizes[first : first + len(chunks)] = sizes
-        self.starts[first : first + len(chunks)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + len(new)] = new
-        self.used += len(new)
-        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        self.places, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.text, self.filled = np.zeros(1 << 14, np.uint8), 0
+
+    def _found(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each chunk data[start:end], -1 if its hash is new; and whether another chunk has its hash."""
+        slot, other = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), dtype=bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == hashes)
+            slot[hit] = self.slots[at[hit]]
+            size = ends[hit] - starts[hit]
+            other[hit] = self.lengths[slot[hit]] != size
+            hit, size = hit[~other[hit]], size[~other[hit]]
+            shift = np.cumsum(size) - size
+            place = np.arange(int(size.sum()))
+            differs = np.flatnonzero(data[np.repeat(starts[hit] - shift, size) + place] != self.text[np.repeat(self.places[slot[hit]] - shift, size) + place])
+            other[hit[np.searchsorted(shift, differs, side="right") - 1]] = True
+        return slot, other
+
+    def _remember(self, chunks: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """Encode the chunks, of which the first ones have these hashes, and return their slots."""
+        order, new, sizes = self._encoded(chunks)
+        first, n = self.known, len(chunks)
+        lengths = np.array([len(chunks[i]) for i in order.tolist()], np.int64)
+        text = np.frombuffer(b"".join(chunks[i] for i in order.tolist()), np.uint8)
+        for name, used, value in (
+            ("starts", first, self.used + np.cumsum(sizes) - sizes), ("sizes", first, sizes), ("places", first, self.filled + np.cumsum(lengths) - lengths), ("lengths", first, lengths),
+            ("flat", self.used, new), ("text", self.filled, text),
+        ):
+            array = getattr(self, name)
+            if len(array) < used + len(value):
+                grown = np.empty(max(2 * len(array), used + len(value)), array.dtype)
+                grown[:used] = array[:used]
+                setattr(self, name, array := grown)
+            array[used : used + len(value)] = value
+        self.known, self.used, self.filled = first + n, self.used + len(new), self.filled + len(text)
+        slot = np.empty(n, np.int64)
+        slot[order] = np.arange(first, first + n)
+        turn = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[turn])
+        self.hashes, self.slots = np.insert(self.hashes, at, hashes[turn]), np.insert(self.slots, at, slot[: len(hashes)][turn].astype(np.int32))
+        return slot
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, offsets) block by block."""
@@ -138,25 +168,27 @@ class ChunkTokenizer:
             inverse = pa.array(hashes).dictionary_encode().indices.to_numpy().astype(np.int64)
             at = np.empty(int(inverse.max(initial=-1)) + 1, np.int64)
             at[inverse[::-1]] = np.arange(len(inverse))[::-1]
-            raw = data.tobytes()
-            names = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            # a chunk that only hashes like its group's first one gets a place of its own
+            # a chunk that only hashes like its group's first one, or like a known one, is encoded on its own
             same = ends - starts == (ends - starts)[at][inverse]
             index = np.int32 if len(data) < 1 << 31 else np.int64
             place = np.repeat((starts[at][inverse] - starts).astype(index), ends - starts) + np.arange(len(data), dtype=index)
             differs = np.flatnonzero(data != data.take(place, mode="clip"))
             same[np.searchsorted(starts, differs, side="right") - 1] = False
-            for i in np.flatnonzero(~same).tolist():
-                inverse[i] = len(names)
-                names.append(raw[starts[i] : ends[i]])
-            if len(self.known) + len(names) > max(_CACHE, len(names)):
+            of, other = self._found(hashes[at], data, starts[at], ends[at])
+            if self.known and self.known + int((of < 0).sum()) > _CACHE:
                 self._clear()
-            missing = list(dict.fromkeys(n for n in names if n not in self.known))
-            if missing:
-                self._remember(missing)
-            slot = np.fromiter((self.known[n] for n in names), dtype=np.int64, count=len(names))[inverse]
+                of, other = self._found(hashes[at], data, starts[at], ends[at])
+            new = np.flatnonzero(of < 0)
+            odd = np.flatnonzero(~same | other[inverse])
+            slot = of[inverse]
+            if len(new) or len(odd):
+                raw, chosen = data.tobytes(), np.concatenate([at[new], odd])
+                made = self._remember([raw[a:b] for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)], hashes[at[new]])
+                of[new] = made[: len(new)]
+                slot = of[inverse]
+                slot[odd] = made[len(new) :]
             sizes = self.sizes[slot]
-            total = np.concatenate([[0], np.cumsum(sizes)])
+            total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
             ids = self.flat[np.repeat(self.starts[slot] - total[:-1], sizes) + np.arange(total[-1])]
             yield first, end, ids, total[np.searchsorted(starts, offsets)]
 

@@ -26,3 +26,21 @@ def test_power_tables_are_as_long_as_a_block_and_of_32_bits():
         power, inverse = textcore._tables[field]
         assert [int(power[i]) for i in (0, 1, 4096)] == [1, base, pow(base, 4096, prime)]
         assert int(power[4096]) * int(inverse[4096]) % prime == 1
+
+
+def test_known_chunks_take_little_memory_and_equal_hashes_are_told_apart(monkeypatch):
+    texts = pa.array([" ".join(f"w{i * 7919 % 100_003}" for i in range(a, a + 500)) for a in range(0, 30_000, 250)])
+    tokenizer = packing.ChunkTokenizer(tokenizer_path())
+    plain = [tokenizer.tokenizer.encode(x, add_special_tokens=False).ids for x in texts.to_pylist()]
+
+    def encoded(column):
+        return [ids[a:b].tolist() for _, _, ids, at in tokenizer.encode(column) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    assert encoded(texts) == plain and encoded(texts) == plain
+    held = sum(x.nbytes for x in vars(tokenizer).values() if isinstance(x, np.ndarray)) - tokenizer.token_bytes.nbytes
+    assert tokenizer.known > 20_000 and held < 120 * tokenizer.known and not any(isinstance(x, dict) for x in vars(tokenizer).values())
+    tokenizer._clear()
+    hashes = textcore.span_hashes
+    monkeypatch.setattr(textcore, "span_hashes", lambda *spans: hashes(*spans) % np.uint64(50))
+    few = texts.slice(0, 6)
+    assert encoded(few) == plain[:6] and encoded(texts.slice(3, 6)) == plain[3:9]
