@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 HOUR, HALF_HOUR, FOUR_HOURS = 3_600_000, 1_800_000, 14_400_000
 
 
-def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def base(spark: SparkSession, sf_dir: str, places: bool = False) -> DataFrame:
+    """The events; with ``places`` also where each is stored: ``file`` and ``row`` within it."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("int")
-    return events.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), "event_id", "event_type", "value", k.alias("k"))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if places else []
+    return events.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), "event_id", "event_type", "value", k.alias("k"), *place)
 
 
 def _bucket(step: int):
@@ -19,13 +21,13 @@ def _bucket(step: int):
 
 
 def klines(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
-    """Hourly candles; events without a value have no part in open and close, ties at a millisecond go to the smallest event_id."""
+    """Hourly candles; events without a value have no part in open and close, ties at a millisecond go to the event stored first."""
     keys = ["open_time", *(["event_type"] if by_type else [])]
-    b = base(spark, sf_dir).withColumn("open_time", _bucket(HOUR))
+    b = base(spark, sf_dir, places=True).withColumn("open_time", _bucket(HOUR))
     valued = F.col("t").isNotNull() & F.col("value").isNotNull()
-    first = F.when(valued, F.struct("t", "event_id"))
-    last = F.when(valued, F.struct("t", F.bitwise_not("event_id").alias("before")))  # falls as event_id grows, without overflow
-    return b.groupBy(*keys).agg(F.min_by("value", first).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", last).alias("close"), F.round(F.sum("value"), 6).alias("volume"), F.count(F.lit(1)).alias("cnt"))
+    first = F.when(valued, F.struct("t", "file", "row"))
+    last = F.when(valued, F.struct((-F.col("t")).alias("before"), "file", "row"))
+    return b.groupBy(*keys).agg(F.min_by("value", first).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.min_by("value", last).alias("close"), F.round(F.sum("value"), 6).alias("volume"), F.count(F.lit(1)).alias("cnt"))
 
 
 def book_depth(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
