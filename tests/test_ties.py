@@ -56,7 +56,7 @@ def reordered(spark, tied, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["csv_round_trip", "combined", "ohlcv_features"])
+@pytest.mark.parametrize("name", ["csv_round_trip", "combined", "ohlcv_features", "ohlcv_zscores"])
 def test_ties_go_to_the_event_stored_first(spark, reordered, name):
     assert differing(spark, reordered, name) == []
 
