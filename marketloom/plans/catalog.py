@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions import series as S
@@ -23,8 +23,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def six_digits(x: Column) -> Column:
+    """``x`` rounded as the SQL's round(x, 6) does it, whose scaling moves the last bit of ratios beyond 1e10."""
+    return F.when(F.abs(x) < 1e300, F.round(x * 1e6) / 1e6).otherwise(x) + 0.0
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[(F.round(F.col(f"`{n}`"), 6) + 0.0).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
+    return df.select(*[six_digits(F.col(f"`{n}`")).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
 def register(name: str, sql: str | None = None, keys: str = "", floats: str = "", ctes: str = ""):
